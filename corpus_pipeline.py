@@ -1,4 +1,63 @@
-STAGES = []
+"""From raw documents to packed training sequences: five stages, each one operator of formledger.llm.
+
+run() writes each stage as Parquet and reads it again for the next, so that a lost executor costs one stage's tasks.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formledger.llm import mixing, ngram_join, packing, quality_rules, secret_scan
+from formledger.llm.common import n_words
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule of the current policy rejects."""
+    return quality_rules.apply_policy(quality_rules.ledger(docs)).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a shingle similarity of 0.8 or more."""
+    return ngram_join.keep_first(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with what the scan finds replaced by a mark; n_chars follows."""
+    cleaned = secret_scan.redacted(docs)
+    return cleaned.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole copies of the documents by source weights, in curriculum order; a document may come twice or not at all."""
+    sized = docs.withColumn("size", n_words(F.col("text")))
+    return mixing.copies(mixing.mix(sized)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens, with their ids."""
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_join", near_duplicates),
+    ("secret_scan", secrets),
+    ("mixing", mix),
+    ("packing", pack),
+]
+#: Tokenizing cannot be told in SQL: tests compare with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    folder = f"{shared}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

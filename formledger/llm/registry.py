@@ -1,7 +1,7 @@
 """The training-text queries by name, and the SQL of those that SQL can express."""
 
-from formledger.llm import mixing, ngram_join, quality_rules
+from formledger.llm import mixing, ngram_join, packing, quality_rules, secret_scan
 
-_MODULES = (mixing, ngram_join, quality_rules)
+_MODULES = (mixing, ngram_join, packing, quality_rules, secret_scan)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
