@@ -1,7 +1,7 @@
 """The training-text queries by name, and the SQL of those that SQL can express."""
 
-from formledger.llm import language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan
+from formledger.llm import audio, language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, url_filter
 
-_MODULES = (language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan)
+_MODULES = (audio, language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, url_filter)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
