@@ -1,4 +1,7 @@
 """Every query of the library by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from formledger.plans import records
+
+_MODULES = (records,)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
