@@ -278,6 +278,7 @@ def resolve_boxes(fields: DataFrame, transforms: DataFrame, y_maps: DataFrame, r
     boxes = solved.join(flags, ["field", *on]).withColumn("box", F.concat_ws("/", "doc_id", "page_no", "zone", "field"))
 
     def apply(rows: DataFrame, when: Column, operator) -> DataFrame:
+        rows = rows.persist()  # read by both branches of every step
         moved = operator(rows.where(when)).select("box", "x0", "y0", "x1", "y1")
         rest = rows.drop("x0", "y0", "x1", "y1")
         return rest.join(moved, "box").unionByName(rows.where(~when))
