@@ -28,18 +28,18 @@ def align_to_header(rows: DataFrame, header: Sequence[str], keep: Sequence[str]
 def upsert_summary(existing: DataFrame, batch: DataFrame, key: str = f.TAX_ID) -> DataFrame:
     """A1: existing and batch carry seq (batch seqs are larger); the existing ledger's header wins."""
     header = [c for c in existing.columns if c != "seq"]
-    rows = existing.unionByName(align_to_header(batch, header, keep=("seq",)).select(*[v.column(c) for c in existing.columns]))
+    aligned = align_to_header(batch, header, keep=("seq",)).select(*[v.column(c) for c in existing.columns])
+    rows = existing.withColumn("__new", F.lit(0)).unionByName(aligned.withColumn("__new", F.lit(1)))
     if key not in header:
-        return rows
+        return rows.drop("__new")
     keyed, free = rows.where(v.blank(v.column(key)) != ""), rows.where(v.blank(v.column(key)) == "")
     same = W.partitionBy(v.column(key))
     latest = (
-        keyed.withColumns({"__last": F.max("seq").over(same), "__first": F.min("seq").over(same)})
-        .where("seq = __last")
+        keyed.withColumns({"__n": F.row_number().over(same.orderBy(F.desc("seq"), F.desc("__new"))), "__first": F.min("seq").over(same)})
+        .where("__n = 1")
         .withColumn("seq", F.col("__first"))
-        .drop("__last", "__first")
     )
-    return latest.unionByName(free)
+    return latest.drop("__n", "__first", "__new").unionByName(free.drop("__new"))
 
 
 def upsert_rollup(existing: DataFrame, rollups: DataFrame, match: str | None = f.SUPPLIER, marker: str = f.UNIT, prefix: str = f.ROLLUP_PREFIX) -> DataFrame:

@@ -16,11 +16,12 @@ def unit_rows(rows: DataFrame) -> DataFrame:
 
 def item_means(rows: DataFrame, key: str, extra: tuple[Column, ...] = ()) -> DataFrame:
     """The mean of each item over the rows whose value is a number; bonuses are capped after averaging."""
-    cap = F.lit(float(f.BONUS_CAP))
+    # least() would take the cap for a mean that is not there.
+    capped = lambda mean: F.when(mean.isNotNull(), F.least(mean, F.lit(float(f.BONUS_CAP))))
     return rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.avg(v.to_number(v.column(f"{i}_{f.SCORE}"))).alias(f"{i}_mean") for i in f.EVAL_ITEMS],
-        *[F.least(F.avg(v.to_number(v.column(f"{i}_{f.BONUS}"))), cap).alias(f"{i}_mean") for i in f.BONUS_ITEMS],
+        *[capped(F.avg(v.to_number(v.column(f"{i}_{f.BONUS}")))).alias(f"{i}_mean") for i in f.BONUS_ITEMS],
         *extra,
     )
 

@@ -189,7 +189,7 @@ def v1_parse_number(spark, sf_dir):
     return rows(spark, sf_dir, a.eval_units).select("seq", v.parse_number(v.column(f"b1_{f.SCORE}")).alias("number"))
 
 
-_SUB = " + ".join([f"coalesce({num_comma(Q(f'{i}_{f.SCORE}'))}, 0.0)" for i in f.EVAL_ITEMS] + [f"coalesce(least({num_comma(Q(f'{i}_{f.BONUS}'))}, 10.0), 0.0)" for i in f.BONUS_ITEMS])
+_SUB = " + ".join([f"coalesce({num_comma(Q(f'{i}_{f.SCORE}'))}, 0.0)" for i in f.EVAL_ITEMS] + [f"CASE WHEN ({num_comma(Q(f'{i}_{f.BONUS}'))}) > 10 THEN 10.0 ELSE coalesce({num_comma(Q(f'{i}_{f.BONUS}'))}, 0.0) END" for i in f.BONUS_ITEMS])
 _FULL = " + ".join(f"CASE WHEN ({num_comma(Q(f'{i}_{f.SCORE}'))}) IS NOT NULL THEN coalesce({num_comma(Q(f'{i}_{f.LIMIT}'))}, 0.0) ELSE 0.0 END" for i in f.EVAL_ITEMS)
 _BAD = " + ".join(
     [f"CASE WHEN {strip(Q(n))} <> '' AND ({num_comma(Q(n))}) IS NULL THEN 1 ELSE 0 END" for i in f.EVAL_ITEMS for n in (f"{i}_{f.SCORE}", f"{i}_{f.LIMIT}")]
@@ -267,7 +267,7 @@ def keyed_units(spark: SparkSession, sf_dir: str, adapter=a.eval_units) -> DataF
 
 
 _UNIT = f"NOT coalesce(starts_with({Q(f.UNIT)}, '{f.ROLLUP_PREFIX}'), false)"
-_MEANS = ", ".join([f"avg({num(Q(f'{i}_{f.SCORE}'))}) AS {i}_mean" for i in f.EVAL_ITEMS] + [f"least(avg({num(Q(f'{i}_{f.BONUS}'))}), 10.0) AS {i}_mean" for i in f.BONUS_ITEMS])
+_MEANS = ", ".join([f"avg({num(Q(f'{i}_{f.SCORE}'))}) AS {i}_mean" for i in f.EVAL_ITEMS] + [f"CASE WHEN avg({num(Q(f'{i}_{f.BONUS}'))}) > 10 THEN 10.0 ELSE avg({num(Q(f'{i}_{f.BONUS}'))}) END AS {i}_mean" for i in f.BONUS_ITEMS])
 _TOTAL = "0.0::DOUBLE + " + " + ".join(f"coalesce({i}_mean, 0.0)" for i in (*f.EVAL_ITEMS, *f.BONUS_ITEMS))
 
 
