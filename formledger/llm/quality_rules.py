@@ -28,7 +28,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 RULES: dict[str, str] = {
     "too_few_words": "n_words < 10",
     "repeated_windows": "100 * n_repeat_words > 20 * n_words",
-    "symbols": "n_symbols > 10 AND 2 * n_symbols > n_words",
+    "symbols": "n_symbols > 10 AND 4 * n_symbols > n_words",
     "duplicate_lines": "n_lines >= 4 AND 2 * n_dup_lines > n_lines",
     "word_length": "n_words >= 10 AND (word_chars < 2 * n_words OR word_chars > 25 * n_words)",
 }
@@ -168,7 +168,7 @@ g AS (
   FROM r LEFT JOIN c USING (rid)
 ), f AS (
   SELECT *, n_words < 10 AS f0, 100 * n_repeat_words > 20 * n_words AS f1,
-         n_symbols > 10 AND 2 * n_symbols > n_words AS f2, n_lines >= 4 AND 2 * n_dup_lines > n_lines AS f3,
+         n_symbols > 10 AND 4 * n_symbols > n_words AS f2, n_lines >= 4 AND 2 * n_dup_lines > n_lines AS f3,
          n_words >= 10 AND (word_chars < 2 * n_words OR word_chars > 25 * n_words) AS f4
   FROM m
 )

@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables
 def plain_kept(text):
     w, chars, symbols, dup, repeat = plain_measures(text)
     lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
-    bad = w < 10 or 100 * repeat > 20 * w or (symbols > 10 and 2 * symbols > w) or (lines >= 4 and 2 * dup > lines)
+    bad = w < 10 or 100 * repeat > 20 * w or (symbols > 10 and 4 * symbols > w) or (lines >= 4 and 2 * dup > lines)
     return not (bad or (w >= 10 and not 2 * w <= chars <= 25 * w))
 
 
