@@ -219,27 +219,26 @@ def label_line_seeds(seeds: DataFrame) -> DataFrame:
     return kept.select("doc_id", "page_no", "zone", F.col("x.t").alias("template_y"), F.col("x.y").alias("y"))
 
 
-def _row_rules(boxes: DataFrame, runs: DataFrame, cover: float = 0.85) -> DataFrame:
-    """Boxes (box, doc_id, page_no, x0, y0, x1, y1) beside the places of the rules that run through their row: (box, pos)."""
+def _beside_rules(boxes: DataFrame, runs: DataFrame, expected: dict[str, Column], radius: int, least: int, cover: float = 0.85) -> DataFrame:
+    """boxes with, for each name, the place of the rule nearest to what is expected, the left one on a tie; null if there is
+    none within the radius, or the row is lower than ``least``. Rules run through the box's row."""
     top, bottom = F.greatest(F.lit(0), F.col("y0") + 3), F.col("y1") - 3
     need = F.greatest(F.floor((bottom - top) * cover), F.lit(10))
-    beside = _at(boxes, runs, "v", F.lit(0), F.lit(1 << 30))
-    return beside.where(_kept_length(top, bottom, need) > 0).select("box", "pos").distinct()
-
-
-def _nearest(rules: DataFrame, wanted: DataFrame, radius: int, name: str) -> DataFrame:
-    """wanted (box, expected) -> (box, name): the nearest rule within the radius, the left one on a tie."""
-    near = rules.join(wanted, "box").where((F.col("pos") >= F.col("expected") - radius) & (F.col("pos") < F.col("expected") + radius))
-    return near.groupBy("box").agg(F.min(F.struct(F.abs(F.col("pos") - F.col("expected")).alias("off"), "pos"))["pos"].alias(name))
+    asked = boxes.where(bottom - top >= least).withColumns(expected)
+    rules = _at(asked, runs, "v", F.lit(0), F.lit(1 << 30)).where(_kept_length(top, bottom, need) > 0)
+    off = lambda n: F.col("pos") - F.col(n)
+    near = lambda n: F.min(F.when((off(n) >= -radius) & (off(n) < radius), F.struct(F.abs(off(n)).alias("off"), "pos")))["pos"].alias(n)
+    return boxes.join(rules.groupBy("box").agg(*[near(n) for n in expected]), "box", "left")
 
 
 def row_local_x(boxes: DataFrame, runs: DataFrame, radius: int = 110) -> DataFrame:
     """Boxes (box, doc_id, page_no, x0, y0, x1, y1, t_x0, t_x1, anchor_left, anchor_right): x by the row's own frame."""
-    rules = _row_rules(boxes.where("y1 - 3 - greatest(0, y0 + 3) >= 15"), runs)
     scale = (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), F.col("t_x1") - F.col("t_x0"))
-    left = boxes.select("box", F.bround(F.col("x0") - (F.col("t_x0") - F.col("anchor_left")) * scale).alias("expected"))
-    right = boxes.select("box", F.bround(F.col("x1") + (F.col("anchor_right") - F.col("t_x1")) * scale).alias("expected"))
-    both = boxes.join(_nearest(rules, left, radius, "l"), "box", "left").join(_nearest(rules, right, radius, "r"), "box", "left")
+    sides = {
+        "l": F.bround(F.col("x0") - (F.col("t_x0") - F.col("anchor_left")) * scale),
+        "r": F.bround(F.col("x1") + (F.col("anchor_right") - F.col("t_x1")) * scale),
+    }
+    both = _beside_rules(boxes, runs, sides, radius, 15)
     frame = F.col("anchor_right") - F.col("anchor_left")
     good = F.coalesce(F.col("r") - F.col("l") >= frame * 0.7, F.lit(False))
     moved = lambda t, old: F.when(good, F.bround(F.col("l") + (F.col(t) - F.col("anchor_left")) * (F.col("r") - F.col("l")) / frame).cast("int")).otherwise(F.col(old))
@@ -248,9 +247,7 @@ def row_local_x(boxes: DataFrame, runs: DataFrame, radius: int = 110) -> DataFra
 
 def snap_cell_x(boxes: DataFrame, runs: DataFrame, radius: int = 90) -> DataFrame:
     """Boxes with left and right edges on the nearest rules of their row; kept where the width would shrink below half."""
-    rules = _row_rules(boxes.where("y1 - 3 - greatest(0, y0 + 3) >= 20"), runs)
-    sides = [_nearest(rules, boxes.select("box", F.col(c).alias("expected")), radius, n) for c, n in (("x0", "l"), ("x1", "r"))]
-    both = boxes.join(sides[0], "box", "left").join(sides[1], "box", "left")
+    both = _beside_rules(boxes, runs, {"l": F.col("x0"), "r": F.col("x1")}, radius, 20)
     l, r = F.coalesce("l", "x0"), F.coalesce("r", "x1")  # noqa: E741
     good = r - l >= (F.col("x1") - F.col("x0")) * 0.5
     return both.select("box", "doc_id", "page_no", F.when(good, l).otherwise(F.col("x0")).alias("x0"), "y0", F.when(good, r).otherwise(F.col("x1")).alias("x1"), "y1")
