@@ -267,7 +267,8 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> D
     keys = durable(
         rows.where("n > 0").groupBy("key").agg(F.min(F.struct("doc", "row")).alias("r")).select("key", F.col("r.doc").alias("first"), F.col("r.row").alias("id"))
     )
-    classes = durable(keys.select("id").join(rows.select(F.col("row").alias("id"), "n", "tokens"), "id"))
+    # Read from the one table of sets each time: a second copy of it would take more disk than the reading costs.
+    classes = semi(rows.select(F.col("row").alias("id"), "n", "tokens"), keys.select("id"), "id")
     groups = components(_links(classes, percent)).select(F.col("node").alias("id"), "component")
     named = keys.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
