@@ -178,7 +178,8 @@ def _sets(docs: DataFrame, ngram: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n, s, l): the adaptive prefix of each class that may have a partner; s of its n shingles are shared."""
+    """(token, at, id, n, s, l): the adaptive prefix of each class that may have a partner; s of its n shingles are shared,
+    and the token is the at-th of these."""
     each = classes.select("id", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     lists = each.join(shared.hint("shuffle_hash"), "token").groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("t"))
@@ -194,8 +195,8 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     check = F.col("n") / 32  # a verification next to a visit
     costs = F.array(*[visits(m) * (1 + check / m) for m in range(1, MATCHES + 1)])
     chosen = viable.withColumn("costs", costs).withColumn("l", F.array_position("costs", F.array_min("costs")).cast("int"))
-    return chosen.select("id", "n", "s", "l", F.explode(F.slice("t", F.lit(1), length(F.col("l")))).alias("x")).select(
-        F.col("x.token").alias("token"), "id", "n", "s", "l"
+    return chosen.select("id", "n", "s", "l", F.posexplode(F.slice("t", F.lit(1), length(F.col("l")))).alias("at", "x")).select(
+        F.col("x.token").alias("token"), (F.col("at") + 1).alias("at"), "id", "n", "s", "l"
     )
 
 
@@ -204,6 +205,47 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * F.least(F.col(f"{a}.s"), F.col(f"{b}.s")) >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _among_first(a: str, b: str, percent: int) -> Column:
+    """Can the token be one of the first l common ones of a pair that reaches the threshold?"""
+    after = lambda x: F.col(f"{x}.s") - F.col(f"{x}.at") + F.least(F.col(f"{a}.l"), F.col(f"{b}.l"))
+    return (100 + percent) * F.least(after(a), after(b)) >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+#: Longs that hold the bits of what a set lacks of its hub.
+LACKS = 4
+
+
+def _differences(lists: DataFrame, hub: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, hub, size, e, m0 ...): a class next to one hub of its lists. e: shared shingles that the hub does not have;
+    m: bits of the hub's shingles that it lacks."""
+    near = lists.join(hub.select("token", "own", F.col("id").alias("hub")), "token").groupBy("id").agg(
+        F.min(F.struct("own", "hub"))["hub"].alias("hub"), F.first(F.col("n") - F.col("s")).alias("alone")
+    )
+    sets = classes.select("id", "tokens")
+    both = near.join(sets.withColumnRenamed("tokens", "tx"), "id").join(sets.select(F.col("id").alias("hub"), F.col("tokens").alias("th")), "hub")
+    lacking = both.withColumn("m", F.array_except("th", "tx"))
+    bits = lambda k: F.aggregate(
+        F.filter("m", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(LACKS - 1)) == k),
+        F.lit(0).cast("long"),
+        lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))),
+    )
+    return lacking.select(
+        "id",
+        "hub",
+        F.size("th").alias("size"),
+        (F.size(F.array_except("tx", "th")) - F.col("alone")).alias("e"),
+        *[bits(k).alias(f"m{k}") for k in range(LACKS)],
+    )
+
+
+def _near_enough(a: str, b: str, percent: int) -> Column:
+    """What two neighbours of one hub can have in common: its shingles that neither lacks, and shared ones it does not have.
+    Bits that fall together only make the bound wider."""
+    lacked = sum((F.bit_count(F.col(f"{a}.m{k}").bitwiseOR(F.col(f"{b}.m{k}"))) for k in range(LACKS)), F.lit(0))
+    most = F.col(f"{a}.size") - lacked + F.least(F.col(f"{a}.e"), F.col(f"{b}.e"))
+    return (F.col(f"{a}.hub") != F.col(f"{b}.hub")) | ((100 + percent) * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n")))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ids whose Jaccard similarity reaches the threshold."""
     sets = classes.select("id", "n", "tokens")
@@ -219,7 +261,7 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
     lists = durable(_prefixes(classes, percent))
     hub = lists.groupBy("token").agg(
         F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), "id", "n", "s")).alias("h")
-    ).select("token", "h.id", "h.n", "h.s")
+    ).select("token", "h.own", "h.id", "h.n", "h.s")
     star = (
         lists.alias("x")
         .join(hub.alias("h"), (F.col("x.token") == F.col("h.token")) & (F.col("x.id") != F.col("h.id")) & _may_link("x", "h", percent))
@@ -235,7 +277,8 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
         # What most members of a group of copies belong to; its members need no pairs among themselves.
         F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), "id", "component"))["component"].alias("major"),
     ).where("low <> high").select("token", "major")
-    rest = durable(named.join(mixed, "token"))
+    rest = named.join(mixed, "token")
+    rest = durable(rest.join(_differences(rest, hub, classes), "id"))
     x, y = rest.where("component <> major").alias("x"), rest.alias("y")
     across = (
         x.join(
@@ -243,7 +286,9 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
             (F.col("x.token") == F.col("y.token"))
             & (F.col("x.component") != F.col("y.component"))
             & ((F.col("y.component") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
-            & _may_link("x", "y", percent),
+            & _may_link("x", "y", percent)
+            & _among_first("x", "y", percent)
+            & _near_enough("x", "y", percent),
         )
         .groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .agg(F.count(F.lit(1)).alias("matches"), F.min(F.least("x.l", "y.l")).alias("l"))
