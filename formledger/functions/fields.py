@@ -12,6 +12,7 @@ UNNAMED = "未命名供應商"
 ATTACHMENT_PREFIX = "附件"
 BONUS_CAP = 10
 
+# Payload keys, document types and their other names, limits.
 HEADER_FIELDS = (SUPPLIER, CATEGORY, PURCHASE, UNIT, PERSON, DATE)
 SUPPLIER_KEYS = {
     "公司全名(中文)": "company_name_zh",

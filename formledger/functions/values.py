@@ -9,7 +9,7 @@ from formledger.functions import fields as f
 
 #: What counts as a number; "nan" and "inf" do not.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-#: Characters that a reader takes for digits, and the digits they stand for.
+# Characters that a reader takes for digits, and the digits they stand for.
 LOOKALIKES = "Oo〇ＯDlI|｜丨qgZzSsbBTㄱ$&０１２３４５６７８９．"
 MEANT = "00000111119922556877880123456789."
 
