@@ -331,14 +331,16 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> D
 
 
 def keep_first(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id (of repeated ones, any)."""
+    """docs with one document of each component: the one with the smallest id.
+
+    Rows of a repeated id stay or go together, equal texts among them once; rows without an id always stay.
+    """
     joined = durable(ngram_join(docs, ngram, percent))
-    # Ids that stand in several rows are settled row by row; all others by the id alone.
-    repeated = joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = semi(docs, gone, "doc_id", "left_anti")
-    few = durable(semi(kept.where("doc_id IS NOT NULL"), repeated, "doc_id").withColumn("__key", F.md5(F.col("text").cast("binary"))))
-    once = few.dropDuplicates(["doc_id"]).drop("__key")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = durable(joined.groupBy("doc_id").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("rows")))
+    kept = semi(docs, ids.where("NOT first").select("doc_id"), "doc_id", "left_anti")
+    repeated = ids.where("first AND rows > 1 AND doc_id IS NOT NULL").select("doc_id")
+    once = semi(kept, repeated, "doc_id").withColumn("__key", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "__key"]).drop("__key")
     return semi(kept, repeated, "doc_id", "left_anti").unionByName(once)
 
 

@@ -183,6 +183,12 @@ def test_ngram_join_is_exact(spark):
     assert got == plain_components(rows)
 
 
+def test_first_of_each_group_stays(spark):
+    kept = [(r["doc_id"], (r["text"] or "")[:5]) for r in ngram_join.keep_first(awkward(spark)).collect()]
+    want = [(1, "one t"), (1, "anoth"), (3, ""), (4, ""), (5, " \t\n\x0b\x0c"), (6, "short"), (None, "id is"), (8, "w0 w1"), (9, "\x1c odd")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_join(awkward(spark).limit(0)).count() == 0
     assert ngram_join.keep_first(awkward(spark).limit(0)).count() == 0
