@@ -67,16 +67,16 @@ def _kept(low: str, high: str, k: str) -> str:
     return f"CASE WHEN {inside} > 0 AND {inside} >= {need} THEN {inside} ELSE 0 END"
 
 
-def strength(asked: str, ladder=lines.LADDER, axis: str = "h") -> str:
-    """CTEs that end in s(request, pos, strength)."""
+def strength(asked: str, ladder=lines.LADDER, axis: str = "h", p: str = "") -> str:
+    """CTEs that end in s(request, pos, strength), their names prefixed by p."""
     steps = " UNION ALL ".join(
-        f"SELECT request, {i} AS step, pos, {_kept('x0', 'x1', f'greatest(floor((x1 - x0) * {p}), 10)')} AS kept FROM z q JOIN runs r "
+        f"SELECT request, {i} AS step, pos, {_kept('x0', 'x1', f'greatest(floor((x1 - x0) * {share}), 10)')} AS kept FROM {p}z q JOIN runs r "
         f"ON r.doc_id = q.doc_id AND r.page_no = q.page_no AND axis = '{axis}' AND pos >= lo AND pos < hi"
-        for i, p in enumerate(ladder)
+        for i, share in enumerate(ladder)
     )
-    return f"""z AS ({asked}), y AS ({steps}),
-x AS (SELECT request, step, pos, sum(kept) AS strength FROM y WHERE kept > 0 GROUP BY 1, 2, 3),
-s AS (SELECT request, pos, CAST(strength AS BIGINT) AS strength FROM (SELECT *, min(step) OVER (PARTITION BY request) AS first FROM x) WHERE step = first)"""
+    return f"""{p}z AS ({asked}), {p}y AS ({steps}),
+{p}x AS (SELECT request, step, pos, sum(kept) AS strength FROM {p}y WHERE kept > 0 GROUP BY 1, 2, 3),
+{p}s AS (SELECT request, pos, CAST(strength AS BIGINT) AS strength FROM (SELECT *, min(step) OVER (PARTITION BY request) AS first FROM {p}x) WHERE step = first)"""
 
 
 _STRIP = "SELECT *, greatest(0, expected - back) AS lo, expected + fwd AS hi FROM requests"
@@ -159,7 +159,38 @@ def zones(q, t) -> str:
       FROM {t("events")} WHERE event_id % 20 = 3"""
 
 
-@query()
+_SLACK = "CASE WHEN page_top_line IS NOT NULL THEN floor(abs({}) * 0.04::DOUBLE)::INT ELSE 0 END"
+
+
+def _found(asked: str, name: str, p: str, axis: str = "h") -> str:
+    """CTEs that end in a table ``name``: the zones of ``asked`` with the line found as one more column of that name."""
+    best = (
+        f"SELECT s.request, arg_min(pos, (abs(pos - expected), pos)) AS pos FROM (SELECT *, max(strength) OVER (PARTITION BY request) AS most FROM {p}s) s "
+        f"JOIN {p}z q ON q.request = s.request WHERE 2 * strength >= most GROUP BY 1"
+        if axis == "h"
+        else f"SELECT request, arg_max(pos, (strength, -pos)) AS pos FROM {p}s GROUP BY 1"
+    )
+    ladder = lines.LADDER if axis == "h" else (0.7,)
+    return strength(asked, ladder, axis, p) + f""", {p}p AS ({best}),
+{name}_of AS (SELECT q.* EXCLUDE (x0, x1, expected, lo, hi), coalesce(pos, expected) AS "{name}" FROM {p}z q LEFT JOIN {p}p ON {p}p.request = q.request)"""
+
+
+def _strip(of: str, expected: str, wide: str, x0: str = "anchor_left", x1: str = "anchor_right") -> str:
+    return f"SELECT *, greatest(0, expected - wide) AS lo, expected + wide AS hi FROM (SELECT *, {x0} AS x0, {x1} AS x1, {expected} AS expected, {wide} AS wide FROM {of})"
+
+
+_ZONES = a.cte(runs, zones) + ", " + ", ".join(
+    (
+        _found(_strip("zones", "anchor_top + dy", "y_search + " + _SLACK.format("anchor_top - coalesce(page_top_line, 0)")), "top", "t_"),
+        _found(_strip("(SELECT * EXCLUDE (wide) FROM top_of)", "CASE WHEN page_top_line IS NOT NULL THEN top + anchor_bottom - anchor_top ELSE anchor_bottom + dy END", "y_search + " + _SLACK.format("anchor_bottom - anchor_top")), "bottom", "b_"),
+        _found(_strip("(SELECT * EXCLUDE (wide) FROM bottom_of)", "anchor_left", "x_search", "top", "bottom"), "left", "l_", "v"),
+        _found(_strip("(SELECT * EXCLUDE (wide) FROM left_of)", "anchor_right", "x_search", "top", "bottom"), "right", "r_", "v"),
+    )
+)
+
+
+@query(_ZONES + """ SELECT request, doc_id, "left" AS x0, top AS y0, (("right" - "left") / (anchor_right - anchor_left))::DOUBLE AS x_scale,
+  CASE WHEN anchor_bottom = anchor_top THEN 1.0 ELSE (bottom - top) / (anchor_bottom - anchor_top) END::DOUBLE AS y_scale FROM right_of""")
 def g10_zone_affine(spark, sf_dir):
     return lines.zone_affine(rows(spark, sf_dir, zones), rows(spark, sf_dir, runs)).select("request", "doc_id", "x0", "y0", "x_scale", "y_scale")
 
