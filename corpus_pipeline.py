@@ -15,9 +15,14 @@ from formledger.llm import mixing, ngram_join, packing, quality_rules, secret_sc
 from formledger.llm.common import n_words
 
 
+def _whole(docs: DataFrame):
+    """The row as one column, so that no name an operator adds can clash with it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the current policy rejects."""
-    return quality_rules.apply_policy(quality_rules.ledger(docs)).where("kept").select(*docs.columns)
+    return quality_rules.apply_policy(quality_rules.ledger(docs.select("text", _whole(docs)))).where("kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +38,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole copies of the documents by source weights, in curriculum order; a document may come twice or not at all."""
-    sized = docs.withColumn("size", n_words(F.col("text")))
-    return mixing.copies(mixing.mix(sized)).select(*docs.columns)
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _whole(docs))
+    return mixing.copies(mixing.mix(sized)).select("__row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ A source's place of each document is a prefix sum of sizes in hash order. It is
 is never one group: sums by (source, bucket), prefix sums over buckets, then a window inside each bucket.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its own; repeated rows (and
-repeated ids) are separate documents; an empty table gives an empty mix; extra columns stay.
+repeated ids) are separate documents; an empty table gives an empty mix; extra columns stay, but
+those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -104,6 +105,7 @@ def mix(
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """docs (doc_id, source, size, any others) -> with source_size, target, rank, at (words of the source before it)."""
+    docs = docs.drop("source_size", "target", "rank", "at")  # names that this adds
     keyed = docs.withColumn("__hash", order_hash(F.col("doc_id"))).withColumn("__bucket", F.pmod(F.col("__hash"), F.lit(buckets)))
     sums = durable(keyed.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum")))
     sources = targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, budget, least, most)

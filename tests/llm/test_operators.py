@@ -104,7 +104,7 @@ def test_targets(spark, least):
 
 
 def test_mix_of_awkward_documents(spark):
-    docs = awkward(spark).drop("size", "n", "row").withColumn("size", mixing.n_words(F.col("text")))
+    docs = awkward(spark).withColumn("size", mixing.n_words(F.col("text"))).withColumns({"rank": F.lit("x"), "at": F.lit("y"), "target": F.lit("z")})
     mixed = mixing.mix(docs).withColumn("taken", mixing.taken(0) + mixing.taken(1)).collect()
     assert len(mixed) == docs.count()
     by = defaultdict(int)

@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from formledger.llm import packing, secret_scan
-from tests.llm.test_operators import WORD, plain_components, plain_measures
+from tests.llm.test_operators import WORD, awkward, plain_components, plain_measures
 from tests.oracle import SMALL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
@@ -22,6 +23,18 @@ def plain_kept(text):
     return not (bad or (w >= 10 and not 2 * w <= chars <= 25 * w))
 
 
+def test_stages_on_awkward_documents(spark, tmp_path):
+    for rows in (awkward(spark), awkward(spark).limit(0)):
+        docs = rows.withColumns({"rank": F.lit(1), "kept": F.lit("k"), "n_words": F.lit("w"), "ids": F.lit("i"), "first": F.lit(2)})
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, SMALL).write.mode("overwrite").parquet(str(tmp_path / name))
+            docs = spark.read.parquet(str(tmp_path / name))
+            if name != "packing":
+                assert docs.columns == columns
+                assert {r["kept"] for r in docs.collect()} <= {"k"}
+
+
 def test_stages(spark, tmp_path):
     from tokenizers import Tokenizer
 
