@@ -13,12 +13,17 @@ are separate documents; an empty table gives no pieces; extra columns are ignore
 
 from __future__ import annotations
 
+import os
+import unicodedata
 from collections import deque
 from collections.abc import Iterator
+from itertools import compress
+from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,9 +34,13 @@ WINDOW, END_ID = 2048, 1
 BUCKET_TOKENS, OVERDRAW = 1 << 21, 256
 #: Sequence ids of a bucket start at this multiple of its number.
 STRIDE = 1 << 32
-#: Words whose ids a worker keeps; when it is full it starts anew.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker keeps in each half of its cache.
+CACHE_WORDS = 400_000
+#: How the tokenizer parts a chunk without special tokens into words.
+_WORD = regex.compile(r"(?i)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PIECES = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Marks that the tokenizer keeps together as one word.
+_MARKS = ".,;:!?#$%&*"
 _cache: dict[str, tuple] = {}
 
 
@@ -42,35 +51,96 @@ def default_tokenizer() -> str:
 
 
 def encoder(path: str):
-    """text -> bytes of its ids as unsigned 16- or 32-bit numbers, and that dtype.
+    """texts -> bytes of each one's ids as unsigned 16- or 32-bit numbers, and that dtype.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its white-space-separated
     chunks; each distinct chunk is encoded once. (Only the six ASCII spaces part chunks: other ones stay within.)
     """
     if path not in _cache:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark runs the others
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        _cache[path] = (model, np.dtype("<u2" if model.get_vocab_size() <= 1 << 16 else "<u4"), {})
-    model, dtype, known = _cache[path]
+        last = np.zeros(model.get_vocab_size(), bool)
+        for piece, number in model.get_vocab().items():
+            last[number] = piece.endswith("</w>")
+        _cache[path] = (model, np.dtype("<u2" if len(last) <= 1 << 16 else "<u4"), last, [{}, {}], [{}, {}])
+    model, dtype, last, kept, parts = _cache[path]
+
+    def cuts_of(texts: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of all texts as bytes, and where each text's begin and end."""
+        joined = "\n".join(texts)
+        if "<|" not in joined:  # a special token is no word
+            found = model.encode_batch_fast([joined], add_special_tokens=False)[0]
+            # A text of letters is one word of the tokenizer; others are split by its rule.
+            counts = [1 if t.isalpha() and t.lower().isalpha() else len(_WORD.findall(unicodedata.normalize("NFC", t))) for t in texts]
+            ids = np.array(found.ids, dtype)
+            ends = np.concatenate(([0], np.flatnonzero(last[ids]) + 1))  # a word's last piece says so
+            bounds = np.cumsum([0, *counts])
+            if len(ends) == bounds[-1] + 1 and ends[-1] == len(ids):
+                return ids.tobytes(), ends[bounds].tolist()
+        found = model.encode(joined, add_special_tokens=False)
+        begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+        return np.array(found.ids, dtype).tobytes(), np.searchsorted(begins, np.cumsum([0] + [len(t) + 1 for t in texts])).tolist()
+
+    def ids_of(words: set[str]) -> dict[str, bytes] | None:
+        """A table with the ids of these words, each a single one for the tokenizer; None if it sees them otherwise."""
+        if len(parts[0]) > CACHE_WORDS:
+            parts[:] = {}, parts[0]
+        young, older = parts
+        if missing := list(words.difference(young)):
+            if older:
+                young.update((w, older[w]) for w in missing if w in older)
+                missing = [w for w in missing if w not in young]
+        if missing:
+            ids = np.array(model.encode_batch_fast(["\n".join(missing)], add_special_tokens=False)[0].ids, dtype)
+            ends = (np.concatenate(([0], np.flatnonzero(last[ids]) + 1)) * dtype.itemsize).tolist()
+            if len(ends) != len(missing) + 1:
+                return None
+            raw = ids.tobytes()
+            young.update(zip(missing, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+        return young
 
     def learn(chunks: list[bytes]) -> None:
-        texts = [c.decode() for c in chunks]
-        found = model.encode("\n".join(texts), add_special_tokens=False)
-        raw = np.array(found.ids, dtype).tobytes()
-        begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        cuts = (np.searchsorted(begins, starts) * dtype.itemsize).tolist()
-        known.update(zip(chunks, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
-
-    def encode(text: str | None) -> bytes:
-        chunks = text.encode().split() if text else []
-        if missing := list({c for c in chunks if c not in known}):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                missing = list(set(chunks))
-            learn(missing)
-        return b"".join(map(known.__getitem__, chunks))
+        known, older = kept
+        if older:
+            known.update((c, older[c]) for c in chunks if c in older)
+            chunks = [c for c in chunks if c not in known]
+        # Most chunks are letters with marks behind them: two words of the tokenizer, which drops case. (Not so with a
+        # sigma, whose lower case depends on its place.)
+        text = b"\n".join(chunks).decode()
+        other = []
+        if "\u03a3" in text:
+            other = [c for c in chunks if b"\xce\xa3" in c]
+            chunks = [c for c in chunks if b"\xce\xa3" not in c]
+            text = b"\n".join(chunks).decode()
+        low = text.lower().split("\n") if chunks else []
+        stems = [x.rstrip(_MARKS) for x in low]
+        plain = [not x or x.isalpha() for x in stems]
+        marks = [x[len(y) :] for x, y in zip(low, stems, strict=True)]
+        words = set(compress(stems, plain)).union(compress(marks, plain))
+        words.discard("")
+        found = ids_of(words)
+        if found is None:
+            other += chunks
+        else:
+            found[""] = b""
+            known.update(zip(compress(chunks, plain), map(add, map(found.__getitem__, compress(stems, plain)), map(found.__getitem__, compress(marks, plain))), strict=True))
+            other += [c for c, p in zip(chunks, plain, strict=True) if not p]
+        if other:
+            raw, cuts = cuts_of([c.decode() for c in other])
+            n = dtype.itemsize
+            known.update(zip(other, (raw[n * a : n * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+
+    def encode(texts: list[str | None]) -> list[bytes]:
+        split = [t.encode().split() if t else () for t in texts]
+        distinct = set().union(*split)
+        if missing := distinct.difference(kept[0]):
+            if len(kept[0]) > CACHE_WORDS:
+                kept[:] = {}, kept[0]  # what is still in use comes back from the older half
+                missing = distinct
+            learn(list(missing))
+        return [b"".join(map(kept[0].__getitem__, chunks)) for chunks in split]
 
     return encode, dtype
 
@@ -82,10 +152,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
         encode, dtype = encoder(path)
         end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         for batch in batches:
-            texts = batch.column("text")
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [encode(texts[at + i].as_py()) + end for i in range(part.num_rows)]
+                ids = [x + end for x in encode(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
