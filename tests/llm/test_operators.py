@@ -388,6 +388,49 @@ def test_language_model_without_training(spark):
     assert (tokens, vocabulary, len(got)) == (0, 0, 12) and all(r["n_known"] == 0 and r["score"] == 0 for r in got)
 
 
+@pytest.mark.parametrize("known", [100_000, 3])
+def test_word_order_counts(spark, monkeypatch, known):
+    monkeypatch.setattr(pitman_yor, "KNOWN_WORDS", known)
+    rows = [(i, "red cat sat on the mat", True) for i in range(30)] + [(98, "the mat sat on red cat", False), (99, "red cat sat on the mat", False), (None, "the zebra", False), (97, None, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    pairs, words, contexts, unknown = pitman_yor.fit_contexts(pitman_yor.stored(pitman_yor.pair_counts(docs.where("train"))))
+    got = {r["doc_id"]: r for r in pitman_yor.score_contexts(docs.where("not train"), pairs, words, contexts, unknown).collect()}
+    assert got[98]["base_score"] == pytest.approx(got[99]["base_score"])
+    assert got[99]["score"] > got[98]["score"] + 1
+    assert [(got[d]["n_tokens"], got[d]["n_known"]) for d in (99, None, 97)] == [(7, 7), (3, 2), (1, 1)]
+    # The words that follow "the", unknown ones and those never seen there included, share a probability of 1.
+    p = {bytes(r["word"]): r["p"] for r in words.collect()}
+    back = {bytes(r["before"]): r["back"] for r in contexts.collect()}[b"the"]
+    seen = {bytes(r["word"]): 10 ** r["lp"] for r in pairs.where(F.col("before") == F.lit(b"the")).collect()}
+    mean = lambda q: sum(x * y for x, y in zip(back, q, strict=True)) / len(back)
+    assert abs(sum(seen.get(w, mean(q)) for w, q in p.items()) + mean(unknown) - 1) < 0.02
+
+
+def test_contexts_on_awkward_documents(spark, monkeypatch):
+    docs = awkward(spark).select("doc_id", "text")
+    split = lambda t: [w.lower() for w in WORD.findall(t or "")] + [None]
+    for known, train in ((3, F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 1), (100_000, F.lit(False))):
+        monkeypatch.setattr(pitman_yor, "KNOWN_WORDS", known)
+        fitted = pitman_yor.fit_contexts(pitman_yor.stored(pitman_yor.pair_counts(docs.where(train))))
+        counts = Counter(w for r in docs.where(train).collect() for w in split(r["text"]))
+        want, got = [], pitman_yor.score_contexts(docs, *fitted).collect()
+        for d, t in texts(docs):
+            w = split(t)
+            want.append((d, len(w), sum(counts[x] > 0 for x in w), round(sum(np.log10((counts[x] + 1) / (sum(counts.values()) + len(counts) + 1)) for x in w), 6)))
+        assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got), key=repr) == sorted(want, key=repr)
+        assert all(r["score"] < 0 if counts else r["score"] == 0 for r in got)
+
+
+def test_table_counts():
+    rng = np.random.default_rng(3)
+    # Three customers: weights of 1, 2 and 3 tables are (1-d)(2-d), 3(1-d)a and a^2.
+    d, a = 0.5, 0.7
+    want = np.array([(1 - d) * (2 - d), 3 * (1 - d) * a, a * a])
+    got = np.bincount(pitman_yor.table_counts(np.full(40_000, 3), np.full(40_000, a), d, rng), minlength=4)[1:] / 40_000
+    assert np.abs(got - want / want.sum()).max() < 0.015
+    assert pitman_yor.table_counts(np.array([1_000_000]), np.array([2000.0]), d, rng)[0] > 5000
+
+
 # --- urls, audio
 
 
