@@ -43,8 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, with their ids."""
-    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+    """Pieces of sequences of 2048 tokens, with their ids, in the order of the rows that mixing wrote."""
+    return packing.pack(docs, place=packing.place_in_files()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

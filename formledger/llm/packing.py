@@ -7,6 +7,9 @@ or more, so that small sources wait for a fair turn and are not cut to crumbs. D
 from bucket to bucket: a bucket starts with what each source is owed by all buckets before it, a prefix sum over one row
 a (bucket, source). Every id lies in one piece; the rest of a bucket is laid out in powers of two, so nothing is padded.
 
+With a place (a training order: the pipeline's), buckets are ranges of it and queues stand in its order, so sequence ids follow
+it up to a bucket. A source's share is then its share of the bucket, which serves all that it holds: nothing is owed beyond it.
+
 Defined results: a null or empty text is its end id alone; a null source is a queue of its own; repeated rows and ids
 are separate documents; an empty table gives no pieces; extra columns are ignored.
 """
@@ -24,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ WINDOW, END_ID = 2048, 1
 BUCKET_TOKENS, OVERDRAW = 1 << 21, 256
 #: Sequence ids of a bucket start at this multiple of its number.
 STRIDE = 1 << 32
+#: A place is the number of a file and, in the lower bits, of a row in it.
+PLACE_BITS = 40
 #: Words whose ids a worker keeps in each half of its cache.
 CACHE_WORDS = 400_000
 #: How the tokenizer parts a chunk without special tokens into words.
@@ -145,8 +150,8 @@ def encoder(path: str):
     return encode, dtype
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """docs (doc_id, source, text) -> doc_id, source, hash, n, ids (with the end id)."""
+def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID, place: Column | None = None) -> DataFrame:
+    """docs (doc_id, source, text) -> doc_id, source, hash (or place), n, ids (with the end id)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, dtype = encoder(path)
@@ -166,7 +171,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
                     ["doc_id", "source", "hash", "n", "ids"],
                 )
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("doc_id").alias("hash"), "text")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", (F.xxhash64("doc_id") if place is None else place).alias("hash"), "text")
     return named.mapInArrow(emit, "doc_id long, source string, hash long, n long, ids binary")
 
 
@@ -211,14 +216,41 @@ def round_robin(queues: list[deque], shares: list[float], owed: list[float], win
                 owed[s] -= most
 
 
+def place_in_files() -> Column:
+    """Where a row stands in a sorted table that Spark wrote: file after file, row after row."""
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    return F.shiftleft(file, PLACE_BITS) + F.col("_metadata.row_index")
+
+
+def _ranges(tokens: DataFrame, rows: int, total: int, bucket_tokens: int) -> DataFrame:
+    """tokens with the bucket of their place: blocks of rows, about 16 a bucket, go to buckets by the tokens before them."""
+    height = max(1, bucket_tokens * rows // (16 * max(total, 1)))
+    file = F.shiftright("hash", PLACE_BITS)
+    keyed = tokens.withColumn("file", file).withColumn("block", F.floor((F.col("hash") - F.shiftleft(file, PLACE_BITS)) / height))
+    # The windows hold one row a block, and one a file.
+    sums = keyed.groupBy("file", "block").agg(F.sum("n").alias("n"))
+    files = sums.groupBy("file").agg(F.sum("n").alias("n"))
+    ahead = files.select("file", F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.select("file", "block", inside.alias("inside")).join(ahead, "file")
+    blocks = blocks.select("file", "block", F.floor((F.col("ahead") + F.col("inside")) / bucket_tokens).alias("bucket"))
+    return keyed.join(F.broadcast(blocks), ["file", "block"]).drop("file", "block")
+
+
 def pack(
-    docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, overdraw: int = OVERDRAW, bucket_tokens: int = BUCKET_TOKENS
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    window: int = WINDOW,
+    end_id: int | None = END_ID,
+    overdraw: int = OVERDRAW,
+    bucket_tokens: int = BUCKET_TOKENS,
+    place: Column | None = None,
 ) -> DataFrame:
     """docs (doc_id, source, text) -> pieces, PIECES: ids are little-endian unsigned 32-bit numbers."""
-    tokens = durable(tokenized(docs, tokenizer or default_tokenizer(), end_id))
-    total = tokens.agg(F.sum("n")).first()[0] or 0
+    tokens = durable(tokenized(docs, tokenizer or default_tokenizer(), end_id, place))
+    total, rows = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, -(-total // bucket_tokens))
-    tokens = tokens.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    tokens = tokens.withColumn("bucket", F.pmod("hash", F.lit(buckets))) if place is None else _ranges(tokens, rows, total, bucket_tokens)
     sums = tokens.groupBy("bucket", "source").agg(F.sum("n").alias("n"))
     # One row a bucket and source, and a bucket holds millions of tokens: small next to the documents.
     earlier = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -230,6 +262,8 @@ def pack(
     ).select("a.bucket", "a.source", "s.share", "a.before", "a.n")
     so_far = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     owed = had.withColumn("owed", F.col("share") * F.col("before") - F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+    if place is not None:
+        owed = sums.join(ahead, "bucket").select("bucket", "source", (F.col("n") / F.greatest("all", F.lit(1))).alias("share"), F.lit(0.0).alias("owed"))
     owed = owed.select(F.col("bucket").alias("of"), F.col("source").alias("queue"), "share", "owed")
 
     def fill(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -66,3 +66,28 @@ def test_stages(spark, tmp_path):
     assert tokens == Counter({d: n * ids[d] for d, n in copies.items()})
     assert not any(re.search("[0-9a-f]{24}", t) for t in cleaned.values())
     assert np.isfinite(len(tokens))
+
+
+def test_packing_keeps_the_curriculum(spark, tmp_path):
+    # Copies in training order, each twice, far apart; ids fall in no order.
+    ids = [(i * 37) % 101 for i in range(1, 61)] * 2
+    rows = [(d, f"word{d} " * 20, "ab"[n % 2]) for n, d in enumerate(ids)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "doc_id long, text string, source string")
+    docs.where("source = 'a'").write.parquet(str(tmp_path / "one"))
+    pieces = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "one")), SMALL).orderBy("sequence_id", "offset").collect()
+    assert [r["doc_id"] for r in pieces if r["start"] == 0] == [d for d, _, s in rows if s == "a"]
+    # In several buckets, each is a range of the order, and a document's copies part.
+    docs.write.parquet(str(tmp_path / "two"))
+    read = spark.read.parquet(str(tmp_path / "two"))
+    pieces = packing.pack(read, bucket_tokens=800, place=packing.place_in_files()).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(ids)
+    number = {b: i for i, b in enumerate(sorted({r["sequence_id"] // packing.STRIDE for r in pieces}))}
+    buckets = [[] for _ in number]
+    for r in pieces:
+        if r["start"] == 0:
+            buckets[number[r["sequence_id"] // packing.STRIDE]].append(r["doc_id"])
+    assert len(buckets) > 3
+    at = 0
+    for b in buckets:
+        assert Counter(b) == Counter(ids[at : at + len(b)])
+        at += len(b)
