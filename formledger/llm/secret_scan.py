@@ -1,7 +1,7 @@
 """Secret scan by assignment-aware lexing.
 
 A text is read as source or configuration syntax: ``name = literal``, ``name: literal``, ``"name": "literal"``,
-``name => literal``, ``export NAME=literal``, ``<name>literal</name>`` attributes included. A right side may be a quoted or
+``name => literal``, ``name := literal``, ``export NAME=literal``, ``<name>literal</name>`` attributes included. A right side may be a quoted or
 bare literal, another name, or a sum of them; constants are propagated in text order, so that in ``a = "k1"`` followed by
 ``db.password = a`` the literal k1 is charged to db.password. A literal is scored by the sensitive parts of the names it
 reaches, its length, its variety of characters and their entropy; placeholders (``changeme``, ``${VAR}``, ``xxxx``) score
@@ -41,9 +41,13 @@ NAME_SCORES = {
     "signing": 1.0, "encryption": 1.0, "bearer": 2.0,
 }
 THRESHOLD = 5.0
-_PLACEHOLDER = re.compile(r"(?i)^(?:change_?me|your[_-].*|example.*|placeholder|todo|none|null|true|false|test|dummy|redacted|[*x.#-]+|\$\{.*|\$\(.*|<.*|\{\{.*)$")
-_OPERATOR = re.compile(r"[:=]")
-_RIGHT = re.compile(r"""[>\x20\t]*(?:(?P<q>["'`])(?P<quoted>[^"'`\n]*)(?P=q)|(?P<bare>[A-Za-z0-9_+/.=@-]+))""")
+_PLACEHOLDER = re.compile(r"(?i)^(?:change_?me|your[_-].*|example.*|placeholder|todo|none|null|true|false|test|dummy|redacted|[*x.#-]+|\$\{.*|\$\(.*|<.*|\{\{.*|\$[a-z_][a-z0-9_]*|%[a-z_][a-z0-9_]*%)$")
+_OPERATOR = re.compile(r":=|[:=]")
+#: A quoted literal ends at its own quote; a bare one stops at & only where another assignment follows, as in a query string.
+_RIGHT = re.compile(
+    r"""[>\x20\t]*(?:(?P<q>["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>(?:[A-Za-z0-9_+/.=@!#$%^*~?|\\-]|&(?![A-Za-z_][A-Za-z0-9_.-]*=))+))"""
+)
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*)(?:\s[^<>]*)?>([^<>]*)</\1\s*>")
 _PLUS = re.compile(r"[\x20\t]*[+.]{1,2}(?=[\x20\t\"'])")
 _NAME_END = re.compile(r"""["'\]]?[\x20\t]*$""")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*$")
@@ -102,16 +106,19 @@ def lexed_spans(text: str) -> list[tuple[int, str, int]]:
     at = 0
     while m := _OPERATOR.search(text, at):
         at = m.end()
-        if text[at : at + 1] in "=:/" or text[m.start() - 1 : m.start()] in ("=", "!", "<", ">"):
+        if text[at : at + 1] in ("=", ":") or (m[0] == ":" and text.startswith("//", at)) or text[m.start() - 1 : m.start()] in ("=", "!", "<", ">"):
             continue  # a comparison, a URL, a scope
         name = _name_before(text, m.start())
         if not name:
             continue
         reach: list[tuple[int, int]] = []
+        within = None
         while right := _RIGHT.match(text, at):
             at = right.end()
             if right["q"]:
                 reach.append(right.span("quoted"))
+                if within is None and any(q in right["quoted"] for q in "\"'`"):
+                    within = right.start("quoted")  # what is quoted may hold assignments of its own
             elif (word := right["bare"]) in known:
                 reach += known[word]
             else:
@@ -119,6 +126,7 @@ def lexed_spans(text: str) -> list[tuple[int, str, int]]:
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
+        at = at if within is None else within
         if reach:
             known[name] = reach
             weight = name_score(name)
@@ -126,6 +134,14 @@ def lexed_spans(text: str) -> list[tuple[int, str, int]]:
                 for span in reach:
                     value = literal_score(text[span[0] : span[1]])
                     scores[span] = max(scores.get(span, 0.0), weight + value if value else 0.0)
+    for m in _ELEMENT.finditer(text) if "</" in text else ():
+        if weight := name_score(m[1]):
+            literal = m[2].strip()
+            start = m.start(2) + len(m[2]) - len(m[2].lstrip())
+            value = literal_score(literal)
+            if value:
+                span = (start, start + len(literal))
+                scores[span] = max(scores.get(span, 0.0), weight + value)
     return [(a, "lexed", b) for (a, b), score in scores.items() if score >= THRESHOLD]
 
 

@@ -431,6 +431,27 @@ def test_table_counts():
     assert pitman_yor.table_counts(np.array([1_000_000]), np.array([2000.0]), d, rng)[0] > 5000
 
 
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        ("<password>Xy12ab34Cd</password>", ["Xy12ab34Cd"]),
+        ('<db.password type="s"> Xy12ab34Cd\n</db.password>', ["Xy12ab34Cd"]),
+        ('dbPassword := "Xy12ab34Cd"', ["Xy12ab34Cd"]),
+        ("AWS_SECRET_ACCESS_KEY=/bPxRfiCYEXAMPLEKEY12", ["/bPxRfiCYEXAMPLEKEY12"]),
+        ("signing_key=/9j4AAQSkZJRg12xyz", ["/9j4AAQSkZJRg12xyz"]),
+        ("password = \"Xy12'ab34Cd\"", ["Xy12'ab34Cd"]),
+        (r'password = "Xy12\"ab34Cd"', [r"Xy12\"ab34Cd"]),
+        ("my_password=Xy!2#b$4%d^", ["Xy!2#b$4%d^"]),
+        ("?my_secret=Xy12ab34Cd&password=Zz98yx76Wv", ["Xy12ab34Cd", "Zz98yx76Wv"]),
+        ("""data: '{"password": "Xy12ab34Cd"}'""", ["Xy12ab34Cd"]),
+        ("secret: https://example.org/a1B2c3D4", []),
+        ("db_password=$DB_PASSWORD1", []),
+    ],
+)
+def test_lexed_forms(text, literals):
+    assert [text[a:b] for a, _, b in sorted(secret_scan.lexed_spans(text))] == literals
+
+
 # --- urls, audio
 
 
