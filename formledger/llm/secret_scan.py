@@ -49,8 +49,7 @@ _RIGHT = re.compile(
 )
 _ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*)(?:\s[^<>]*)?>([^<>]*)</\1\s*>")
 _PLUS = re.compile(r"[\x20\t]*[+.]{1,2}(?=[\x20\t\"'])")
-_NAME_END = re.compile(r"""["'\]]?[\x20\t]*$""")
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*$")
+_PARTS = re.compile(r"[.-]")
 _NAME_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -95,14 +94,24 @@ def _name_before(text: str, at: int) -> str:
     start = end
     while start and text[start - 1] in _NAME_CHARACTERS:
         start -= 1
-    m = _IDENTIFIER.search(text, start, end)
-    return m[0] if m else ""
+    # Parts between dots and dashes begin with a letter or an underline; the first one may follow digits.
+    begin = end
+    for part in reversed(_PARTS.split(text[start:end])):
+        rest = part.lstrip("0123456789")
+        if not rest:
+            break
+        begin -= len(rest) + (begin < end)
+        if len(rest) < len(part):
+            break
+    return text[begin:end]
 
 
 def lexed_spans(text: str) -> list[tuple[int, str, int]]:
     """Literals that reach a sensitive name, directly or through other names."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    scores: dict[tuple[int, int], float] = {}
+    latest: dict[str, int] = {}
+    # By assignment: the weight of its name, and what it is given: spans of literals, and numbers of earlier assignments.
+    weights: list[float] = []
+    given: list[list[tuple[int, int] | int]] = []
     at = 0
     while m := _OPERATOR.search(text, at):
         at = m.end()
@@ -111,38 +120,39 @@ def lexed_spans(text: str) -> list[tuple[int, str, int]]:
         name = _name_before(text, m.start())
         if not name:
             continue
-        reach: list[tuple[int, int]] = []
+        sources: list[tuple[int, int] | int] = []
         within = None
         while right := _RIGHT.match(text, at):
             at = right.end()
             if right["q"]:
-                reach.append(right.span("quoted"))
+                sources.append(right.span("quoted"))
                 if within is None and any(q in right["quoted"] for q in "\"'`"):
                     within = right.start("quoted")  # what is quoted may hold assignments of its own
-            elif (word := right["bare"]) in known:
-                reach += known[word]
             else:
-                reach.append(right.span("bare"))
+                sources.append(latest.get(right["bare"], right.span("bare")))
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
         at = at if within is None else within
-        if reach:
-            known[name] = reach
-            weight = name_score(name)
-            if weight:
-                for span in reach:
-                    value = literal_score(text[span[0] : span[1]])
-                    scores[span] = max(scores.get(span, 0.0), weight + value if value else 0.0)
+        if sources:
+            latest[name] = len(given)
+            weights.append(name_score(name))
+            given.append(sources)
+    # From the last assignment to the first, each hands its weight on: one step a link, however names build on each other.
+    reached: dict[tuple[int, int], float] = {}
+    for weight, sources in zip(map(weights.__getitem__, range(len(given) - 1, -1, -1)), reversed(given), strict=True):
+        for source in sources if weight else ():
+            if isinstance(source, int):
+                weights[source] = max(weights[source], weight)
+            else:
+                reached[source] = max(reached.get(source, 0.0), weight)
     for m in _ELEMENT.finditer(text) if "</" in text else ():
         if weight := name_score(m[1]):
             literal = m[2].strip()
             start = m.start(2) + len(m[2]) - len(m[2].lstrip())
-            value = literal_score(literal)
-            if value:
-                span = (start, start + len(literal))
-                scores[span] = max(scores.get(span, 0.0), weight + value)
-    return [(a, "lexed", b) for (a, b), score in scores.items() if score >= THRESHOLD]
+            span = (start, start + len(literal))
+            reached[span] = max(reached.get(span, 0.0), weight)
+    return [(a, "lexed", b) for (a, b), weight in reached.items() if (value := literal_score(text[a:b])) and weight + value >= THRESHOLD]
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:

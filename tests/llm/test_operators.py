@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -500,3 +501,26 @@ def test_integral_filters_as_sums():
 def test_digest_of_no_spans():
     assert hashlib.sha256(secret_scan.written([]).encode()).hexdigest().startswith("e3b0c442")
     assert zlib.crc32(b"") == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "\n".join(["v0=Zx81kq0PvT77mmQ2", *(f"v{i + 1}=v{i} + v{i}" for i in range(20_000)), "password=v20000"]),
+        "\n".join(["x='Zx81kq0PvT77mmQ2'", *["x = x + 'q1w2e3r4'"] * 20_000, "password = x"]),
+        "a" * 300_000 + "-=x", "9" * 300_000 + "=x", "a-" * 150_000 + "=x", "a:" * 150_000, "token" + " " * 300_000, "a='" * 100_000,
+        "a=\"b='" * 50_000, "a='x' + " * 40_000, "<a" * 150_000, "<a>x</a" + " " * 300_000, "a=" + "&b" * 150_000,
+    ],
+    ids=range(13),
+)
+def test_scan_takes_linear_time(text):
+    began = time.perf_counter()
+    spans = secret_scan.scan(text)[1]
+    assert time.perf_counter() - began < 5
+    if text.startswith(("v0", "x=")):  # the first literal reaches the password through all the names
+        assert text.index("Zx81") in {a for a, kind, _ in spans if kind == "lexed"}
+
+
+@pytest.mark.parametrize(("before", "name"), [("x-9", ""), ("9abc", "abc"), ("a.b-c_1", "a.b-c_1"), ("a.9b", "b"), ("a--b", "b"), ("a.9.b", "b"), ('{"key" ', "key"), ("", "")])
+def test_name_before(before, name):
+    assert secret_scan._name_before(before + "=", len(before)) == name
