@@ -16,14 +16,14 @@ share at least l within their first m - o + l and n - o + l. A set of size n nee
 
 Defined results: null or empty texts have no shingles and are linked with nothing; a text with fewer than n words is one
 shingle; a null id comes last among ids; repeated rows and repeated ids are documents of their own; an empty table gives
-no rows. Shingles are told apart by 64-bit hashes.
+no rows. Shingles are told apart by 64 bits of a fold of
+their words' BLAKE2 digests.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,26 +41,40 @@ BROADCAST_IDS = 1_000_000
 #: Stands for a null id within; the largest long, so that real ids come first.
 NO_ID = (1 << 63) - 1
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_BASE = 0x9E3779B97F4A7C15
+#: Words whose hashes a worker keeps: up to so many bytes of them, long words left out.
+KEPT_BYTES, KEPT_WORD = 1 << 24, 64
 
 
-@lru_cache(maxsize=1)
-def _codes() -> np.ndarray:
-    """A random 64-bit number for each byte value, fixed."""
-    return np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+class WordHashes(dict):
+    """Word -> 64 bits of its BLAKE2 digest, kept for the words met last."""
 
+    held = 0
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    def __missing__(self, word: bytes) -> int:
+        number = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= KEPT_WORD:
+            if self.held > KEPT_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = number
+            self.held += len(word) + 64
+        return number
 
+    def of(self, tokens: Sequence[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse modulo 2^64, at least n of each."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
+
+_hashes = WordHashes()
+
+
+def folded(hashes: Sequence[np.ndarray]) -> np.ndarray:
+    """One number for each row of equally long arrays of hashes, by turns of adding, multiplying and shifting: no sum of them,
+    so that sequences whose differences cancel out stay apart."""
+    out = np.full(len(hashes[0]), len(hashes), np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for h in hashes:
+        out = (out ^ h) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out
 
 
 def shingles(text: str | None, n: int = NGRAM) -> np.ndarray:
@@ -68,21 +82,8 @@ def shingles(text: str | None, n: int = NGRAM) -> np.ndarray:
     tokens = text.encode().translate(LOWER).split() if text else ()
     if not tokens:
         return np.empty(0, np.int64)
-    flat = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
-    up, down = _powers(len(flat) + 1)
-    total = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum(_codes()[flat] * up[: len(flat)], out=total[1:])
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    k = min(n, len(tokens))
-    first, last = starts[: len(tokens) - k + 1], ends[k - 1 :]
-    h = (total[last] - total[first]) * down[first]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    if len(tokens) < n:
-        h ^= np.uint64(0xA5A5A5A5A5A5A5A5)
-    return np.unique(h.view(np.int64))
+    words, k = _hashes.of(tokens), min(n, len(tokens))
+    return np.unique(folded([words[i : len(words) - k + 1 + i] for i in range(k)]).view(np.int64))
 
 
 def least_overlap(n, percent: int):
@@ -182,7 +183,7 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     and the token is the at-th of these."""
     each = classes.select("id", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = each.join(shared.hint("shuffle_hash"), "token").groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("t"))
+    lists = each.join(shared, "token").groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("t"))
     slack = (F.col("n") - least_overlap(F.col("n"), percent)).cast("int")
     viable = (
         lists.withColumn("s", F.size("t"))

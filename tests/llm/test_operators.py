@@ -190,6 +190,18 @@ def test_first_of_each_group_stays(spark):
     assert sorted(kept, key=repr) == sorted(want, key=repr)
 
 
+def test_shingles_apart():
+    # Words that a polynomial hash modulo 2^64 cannot tell apart, whatever its odd base.
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = [f"one two three four {a}", f"one two three four {b}", f"{a} two three four one", "one two three four", "one two three four five", "five one two three four", "a a a a a", "b b b b b", "ab a a a a", "a ba a a a"]
+    found = [ngram_join.shingles(t).tolist() for t in texts]
+    assert len({x[0] for x in found}) == len(texts) and all(len(x) == 1 for x in found)
+    rng = random.Random(14)
+    long = [rng.choice("xyz") + rng.choice("ab") * rng.randrange(3) for _ in range(20_000)]
+    assert len(ngram_join.shingles(" ".join(long))) == len(plain_sets(" ".join(long)))
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_join(awkward(spark).limit(0)).count() == 0
     assert ngram_join.keep_first(awkward(spark).limit(0)).count() == 0
