@@ -348,100 +348,114 @@ def test_density_difference():
 # --- language model
 
 
-def score_rows(spark, docs):
-    counts = pitman_yor.stored(pitman_yor.word_counts(docs.where("train")))
-    tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    model = pitman_yor.fit(counts)
-    scores = pitman_yor.stored(pitman_yor.word_scores(counts, model))
-    return tokens, vocabulary, model, pitman_yor.score(docs, scores, tokens, vocabulary, float(np.log10(model.unknown()))).collect()
-
-
-def test_base_scores(spark, monkeypatch):
-    monkeypatch.setattr(pitman_yor, "KNOWN_WORDS", 3)  # so that most words go by the join
-    docs = awkward(spark).select("doc_id", "text").withColumn("train", F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 1)
-    tokens, vocabulary, _, got = score_rows(spark, docs)
-    split = lambda t: [w.lower() for w in WORD.findall(t or "")] + [None]
-    counts = Counter(w for d, t in texts(docs) if (d or 0) % 2 == 1 for w in split(t))
-    assert (tokens, vocabulary) == (sum(counts.values()), len(counts))
-    want = []
+def plain_scores(docs, model, chosen):
+    """Base scores from counted texts, and scores word by word from the fitted tables."""
+    split = lambda t: [WORD_END, *(w.encode().lower() for w in WORD.findall(t or "")), WORD_END]
+    counts = Counter(w for d, t in texts(docs) if chosen(d) for w in split(t)[1:])
+    whole = sum(counts.values()) + len(counts) + 1
+    digest = dict(zip(WORDS := sorted({w for _, t in texts(docs) for w in split(t)}), ngram_join.WordHashes().of(WORDS).view(np.int64).tolist(), strict=True))
+    word = {r["h"]: r for r in model.words.collect()}
+    pair = {(r["b"], r["w"]): r for r in model.pairs.collect()}
+    out = []
     for d, t in texts(docs):
-        w = split(t)
-        want.append((d, len(w), sum(counts[x] > 0 for x in w), round(sum(np.log10((counts[x] + 1) / (tokens + vocabulary + 1)) for x in w), 6)))
-    assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got), key=repr) == sorted(want, key=repr)
-    assert all(r["score"] < 0 for r in got)
-
-
-def test_probabilities_add_up(spark):
-    docs = spark.createDataFrame([(1, "ab ab ab cd cd e", True), (2, "ab x1", True)], "doc_id long, text string, train boolean")
-    counts = pitman_yor.stored(pitman_yor.word_counts(docs))
-    model = pitman_yor.fit(counts)
-    for spelling, _, _ in model.samples:
-        context = np.arange(64) | (int(pitman_yor._CLASS[ord("a")]) << 6)
-        assert abs(spelling.probability(context).sum() - 1) < 1e-9
-    held = {bytes(r["word"]): r["c"] for r in counts.collect()}
-    names = sorted(held)
-    p = model.probabilities(names, np.array([held[w] for w in names]))
-    assert p[names.index(b"ab")] > p[names.index(b"e")]
-    assert abs(p.sum() + model.unknown() - 1) < 0.02  # seatings of one total, drawn twice
-
-
-def test_seating_keeps_customers():
-    rng = np.random.default_rng(11)
-    c = rng.integers(0, 60, 200)
-    c[:5] = (0, 1, 1, 2, 100_000)
-    seats = pitman_yor.Seating(np.maximum(c, 1), np.full(200, 0.01), np.full(200, 50.0))
-    for _ in range(20):
-        seats.move(np.full(200, 0.01), np.full(200, 50.0), 0.6, rng)
-        assert (np.bincount(seats.owner, seats.size, 200) == np.maximum(c, 1)).all() and seats.size.min() >= 1
-
-
-def test_language_model_without_training(spark):
-    docs = awkward(spark).select("doc_id", "text").withColumn("train", F.lit(False))
-    tokens, vocabulary, _, got = score_rows(spark, docs)
-    assert (tokens, vocabulary, len(got)) == (0, 0, 12) and all(r["n_known"] == 0 and r["score"] == 0 for r in got)
-
-
-@pytest.mark.parametrize("known", [100_000, 3])
-def test_word_order_counts(spark, monkeypatch, known):
-    monkeypatch.setattr(pitman_yor, "KNOWN_WORDS", known)
+        w, s = split(t), 0.0
+        for u, v in zip(w[:-1], w[1:], strict=True):
+            u, v = digest[u], digest[v]
+            p = (word[u]["back"] if u in word else 1.0) * (word[v]["p"] if v in word else model.unknown)
+            if (u, v) in pair:
+                p += (pair[u, v]["c"] - model.discount * pair[u, v]["t"]) / (pitman_yor.CONTEXT_THETA + word[u]["c"])
+            s += np.log10(p)
+        base = sum(np.log10((counts[x] + 1) / whole) for x in w[1:])
+        out.append((d, len(w) - 1, sum(counts[x] > 0 for x in w[1:]), round(float(base), 6) + 0.0, round(float(s), 5) + 0.0))
+    return counts, sorted(out, key=repr)
+
+
+WORD_END = b""
+
+
+@pytest.mark.parametrize("known", [500_000, 3])
+@pytest.mark.parametrize("train", ["coalesce(doc_id, 0) % 2 = 1", "true", "false"])
+def test_language_model_scores(spark, monkeypatch, known, train):
+    monkeypatch.setattr(pitman_yor, "KNOWN_WORDS", known)  # so that most words, and pairs, go by the join
+    monkeypatch.setattr(pitman_yor, "KNOWN_PAIRS", known)
+    monkeypatch.setattr(pitman_yor, "BITS", 20)
+    made = [(200 + i, " ".join(random.Random(i).choices(["red", "cat", "sat", "on", "the", "mat.", "É1"], k=i % 9))) for i in range(60)]
+    docs = awkward(spark).select("doc_id", "text", "token").union(spark.createDataFrame([(*r, "x") for r in made], "doc_id long, text string, token string"))
+    model = pitman_yor.fit(docs.where(train))
+    chosen = {"true": lambda d: True, "false": lambda d: False}.get(train, lambda d: (d or 0) % 2 == 1)
+    counts, want = plain_scores(docs, model, chosen)
+    got = pitman_yor.score(docs, model).collect()
+    assert (model.tokens, model.vocabulary) == (sum(counts.values()), len(counts))
+    rounded = [(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6) + 0.0, round(r["score"], 5) + 0.0) for r in got]
+    assert [r[:3] for r in sorted(rounded, key=repr)] == [r[:3] for r in want]
+    for r, w in zip(sorted(rounded, key=repr), want, strict=True):
+        assert r[3:] == pytest.approx(w[3:], rel=1e-5, abs=1e-4), w
+    # Of every context: the kept pairs' own shares and what is left to the parent, whose outcomes share 1, make 1.
+    words = model.words.collect()
+    assert abs(sum(r["p"] for r in words) + model.unknown - 1) < 1e-9
+    own = Counter()
+    for r in model.pairs.collect():
+        own[r["b"]] += r["c"] - model.discount * r["t"]
+    assert all(abs(own[r["h"]] / (pitman_yor.CONTEXT_THETA + r["c"]) + r["back"] - 1) < 1e-9 for r in words)
+    assert pitman_yor.score(docs.limit(0), model).count() == 0
+
+
+def test_word_order_counts(spark):
     rows = [(i, "red cat sat on the mat", True) for i in range(30)] + [(98, "the mat sat on red cat", False), (99, "red cat sat on the mat", False), (None, "the zebra", False), (97, None, False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
-    pairs, words, contexts, unknown = pitman_yor.fit_contexts(pitman_yor.stored(pitman_yor.pair_counts(docs.where("train"))))
-    got = {r["doc_id"]: r for r in pitman_yor.score_contexts(docs.where("not train"), pairs, words, contexts, unknown).collect()}
+    got = {r["doc_id"]: r for r in pitman_yor.score(docs.where("not train"), pitman_yor.fit(docs.where("train"))).collect()}
     assert got[98]["base_score"] == pytest.approx(got[99]["base_score"])
     assert got[99]["score"] > got[98]["score"] + 1
     assert [(got[d]["n_tokens"], got[d]["n_known"]) for d in (99, None, 97)] == [(7, 7), (3, 2), (1, 1)]
-    # The words that follow "the", unknown ones and those never seen there included, share a probability of 1.
-    p = {bytes(r["word"]): r["p"] for r in words.collect()}
-    back = {bytes(r["before"]): r["back"] for r in contexts.collect()}[b"the"]
-    seen = {bytes(r["word"]): 10 ** r["lp"] for r in pairs.where(F.col("before") == F.lit(b"the")).collect()}
-    mean = lambda q: sum(x * y for x, y in zip(back, q, strict=True)) / len(back)
-    assert abs(sum(seen.get(w, mean(q)) for w, q in p.items()) + mean(unknown) - 1) < 0.02
-
-
-def test_contexts_on_awkward_documents(spark, monkeypatch):
-    docs = awkward(spark).select("doc_id", "text")
-    split = lambda t: [w.lower() for w in WORD.findall(t or "")] + [None]
-    for known, train in ((3, F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 1), (100_000, F.lit(False))):
-        monkeypatch.setattr(pitman_yor, "KNOWN_WORDS", known)
-        fitted = pitman_yor.fit_contexts(pitman_yor.stored(pitman_yor.pair_counts(docs.where(train))))
-        counts = Counter(w for r in docs.where(train).collect() for w in split(r["text"]))
-        want, got = [], pitman_yor.score_contexts(docs, *fitted).collect()
-        for d, t in texts(docs):
-            w = split(t)
-            want.append((d, len(w), sum(counts[x] > 0 for x in w), round(sum(np.log10((counts[x] + 1) / (sum(counts.values()) + len(counts) + 1)) for x in w), 6)))
-        assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got), key=repr) == sorted(want, key=repr)
-        assert all(r["score"] < 0 if counts else r["score"] == 0 for r in got)
-
-
-def test_table_counts():
+
+
+def test_counts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "COUNTED", 50)
+    docs = awkward(spark).select("text")
+    split = lambda t: [WORD_END, *(w.encode().lower() for w in WORD.findall(t or "")), WORD_END]
+    rows = [split(r["text"]) for r in docs.collect()]
+    assert {bytes(r["word"]): r["c"] for r in pitman_yor.word_counts(docs).collect()} == Counter(w for r in rows for w in r[1:])
+    pairs = Counter(p for r in rows for p in zip(r[:-1], r[1:], strict=True))
+    hashes = ngram_join.WordHashes()
+    number = lambda w: int(hashes.of([w]).view(np.int64)[0])
+    assert {(r["b"], r["w"]): r["c"] for r in pitman_yor.pair_counts(docs).collect()} == {(number(a), number(b)): c for (a, b), c in pairs.items()}
+    numbered = spark.createDataFrame([(number(a), number(b)) for a, b in pairs], "b long, w long").select(pitman_yor.pair_number(F.col("b"), F.col("w"))).collect()
+    assert [r[0] for r in numbered] == [int(pitman_yor._pair_numbers(hashes.of(list(p)).view(np.int64))[0]) for p in pairs]
+
+
+def test_frequent(spark):
+    counts = spark.createDataFrame([(c,) for c in [1] * 50 + [2] * 9 + [7, 30, 1000]], "c long")
+    for most in (0, 1, 3, 12, 40, 62, 100):
+        least = pitman_yor.frequent(counts, most)
+        assert counts.where(F.col("c") >= least).count() <= most
+    assert pitman_yor.frequent(counts, 12) == 2 and pitman_yor.frequent(counts, 62) <= 1
+
+
+def test_spellings_add_up():
+    model, rng = pitman_yor.Spelling(), np.random.default_rng(2)
+    code, _, _ = pitman_yor.spelled([b"ab", b"abc", b"b", b"", b"zz1"])
+    cells, n = np.unique(code, return_counts=True)
+    for _ in range(3):
+        model = model.swept(cells, n, rng)
+    for a, b in ((0, 0), (1, 0), (2, 1), (26, 26)):
+        assert abs(model.probability(np.arange(64) | a << 6 | b << 12).sum() - 1) < 1e-9
+
+
+def test_seatings():
     rng = np.random.default_rng(3)
     # Three customers: weights of 1, 2 and 3 tables are (1-d)(2-d), 3(1-d)a and a^2.
     d, a = 0.5, 0.7
     want = np.array([(1 - d) * (2 - d), 3 * (1 - d) * a, a * a])
-    got = np.bincount(pitman_yor.table_counts(np.full(40_000, 3), np.full(40_000, a), d, rng), minlength=4)[1:] / 40_000
+    got = np.bincount(pitman_yor.seat(np.full(40_000, 3), np.full(40_000, a), d, rng), minlength=4)[1:] / 40_000
     assert np.abs(got - want / want.sum()).max() < 0.015
-    assert pitman_yor.table_counts(np.array([1_000_000]), np.array([2000.0]), d, rng)[0] > 5000
+    # Both ways agree where one takes over from the other.
+    n = pitman_yor.EXACT
+    for d in (0.3, 0.5, 0.8):
+        for a in (0.3, 1.3, 5.0, 20.0, 100.0, 1000.0):
+            exact, limit = (draw(np.full(20_000, n), np.full(20_000, a), d, rng) for draw in (pitman_yor.seat, pitman_yor._seat_many))
+            assert abs(exact.mean() - limit.mean()) < 0.05 * exact.mean() and abs(exact.std() - limit.std()) < 0.15 * exact.std()
+    assert pitman_yor.seat(np.array([1_000_000]), np.array([2000.0]), 0.5, rng)[0] > 5000
+    assert pitman_yor.seat(np.array([0, 1, 1]), np.array([1.0, 0.0, 9.0]), d, rng).tolist() == [0, 1, 1]
 
 
 @pytest.mark.parametrize(
