@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The six white-space characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -36,6 +37,21 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def summed_before(rows: DataFrame, at: str, value: str, name: str, by: str | None = None, height: int = 4096) -> DataFrame:
+    """rows with name: the sum of value over the rows of a smaller at (a whole number), within each by, null being one.
+
+    In two steps, so that no task holds all rows: sums of blocks of ``height`` values of at, then a window inside each.
+    """
+    keyed = rows.withColumn("__block", F.floor(F.col(at) / height))
+    part = F.lit(0) if by is None else F.col(by)
+    blocks = keyed.groupBy(part.alias("__by"), F.col("__block").alias("__of")).agg(F.sum(value).alias("__sum"))
+    earlier = (W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__ahead", F.coalesce(F.sum("__sum").over(W.partitionBy("__by").orderBy("__of").rowsBetween(*earlier)), F.lit(0))).drop("__sum")
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(part, "__block").orderBy(at).rowsBetween(*earlier)), F.lit(0))
+    joined = keyed.withColumn("__inside", inside).join(blocks, part.eqNullSafe(F.col("__by")) & (F.col("__block") == F.col("__of")))
+    return joined.withColumn(name, F.col("__ahead") + F.col("__inside")).drop("__block", "__by", "__of", "__ahead", "__inside")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where intermediate tables lie: spark.checkpoint.dir. Only a local session may go without it, as in tests."""
     context = spark.sparkContext

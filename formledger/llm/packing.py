@@ -1,6 +1,6 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills fixed windows with tokens.
 
-Documents are tokenised once and dealt by a hash of the id into buckets of about BUCKET_TOKENS tokens. A bucket is one
+Documents are tokenised once and dealt by a hash of the id and the row into buckets of about BUCKET_TOKENS tokens. A bucket is one
 task's work: its sources are queues, visited in turn; each visit adds the source's share of a window to its deficit and
 serves pieces against it. A document goes whole if the deficit and OVERDRAW cover it, else in pieces of OVERDRAW tokens
 or more, so that small sources wait for a fair turn and are not cut to crumbs. Deficits run on from window to window, and
@@ -19,19 +19,19 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import compress
 from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from formledger.llm.common import durable, table
+from formledger.llm.common import durable, summed_before, table
 
 WINDOW, END_ID = 2048, 1
 BUCKET_TOKENS, OVERDRAW = 1 << 21, 256
@@ -39,8 +39,13 @@ BUCKET_TOKENS, OVERDRAW = 1 << 21, 256
 STRIDE = 1 << 32
 #: A place is the number of a file and, in the lower bits, of a row in it.
 PLACE_BITS = 40
-#: Words whose ids a worker keeps in each half of its cache.
-CACHE_WORDS = 400_000
+#: Bytes of chunks, and of words, whose ids a worker keeps in each half of its two caches; longer ones than LONGEST_KEPT
+#: characters are not kept.
+KEPT_CHUNKS, KEPT_WORDS, LONGEST_KEPT = 28 << 20, 12 << 20, 64
+#: What an entry takes beside its characters; bytes of text whose chunks are looked up at once, words that are encoded at
+#: once, and texts that are laid out at once.
+ENTRY_BYTES, SLICE_BYTES, BATCH_WORDS, SLICE_TEXTS = 200, 8 << 20, 20_000, 256
+BROADCAST_BLOCKS = 1_000_000
 #: How the tokenizer parts a chunk without special tokens into words.
 _WORD = regex.compile(r"(?i)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PIECES = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -49,37 +54,77 @@ _MARKS = ".,;:!?#$%&*"
 _cache: dict[str, tuple] = {}
 
 
+class Recent:
+    """The entries met last, in two halves: what is still in use comes back from the older one."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.older, self.held = most, {}, {}, 0
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Those of the distinct keys that are not in the young half now; those of the older half move there."""
+        if self.held > self.most:
+            self.young, self.older, self.held = {}, self.young, 0
+        missing = [k for k in keys if k not in self.young]
+        if self.older and missing:
+            again = [k for k in missing if k in self.older]
+            self.add(again, map(self.older.__getitem__, again))
+            missing = [k for k in missing if k not in self.older]
+        return missing
+
+    def add(self, keys: list[str], values: Iterable[bytes]) -> None:
+        self.held += 2 * sum(map(len, keys)) + ENTRY_BYTES * len(keys)
+        self.young.update(zip(keys, values, strict=True))
+
+    def drop_long(self, keys: Iterable[str]) -> None:
+        for key in keys:
+            if len(key) > LONGEST_KEPT and self.young.pop(key, None) is not None:
+                self.held -= 2 * len(key) + ENTRY_BYTES
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words on which the tokenizer with and without its normalizer and word rule must agree.
+_PROBE = "the of straße naïve übergrößen señor kitab слово 漢字 日本語 zqxjkv"
+
+
+def ids_by(model, text: str) -> list[int]:
+    return model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
 def encoder(path: str):
-    """texts -> bytes of each one's ids as unsigned 16- or 32-bit numbers, and that dtype.
+    """texts -> by parts of them: the first text's number, all ids as unsigned 16- or 32-bit numbers, and where each
+    text's end; and that dtype.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its white-space-separated
     chunks; each distinct chunk is encoded once. (Only the six ASCII spaces part chunks: other ones stay within.)
     """
     if path not in _cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark runs the others
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         model = Tokenizer.from_file(path)
         last = np.zeros(model.get_vocab_size(), bool)
         for piece, number in model.get_vocab().items():
             last[number] = piece.endswith("</w>")
-        _cache[path] = (model, np.dtype("<u2" if len(last) <= 1 << 16 else "<u4"), last, [{}, {}], [{}, {}])
-    model, dtype, last, kept, parts = _cache[path]
+        # Words of lower-case letters in normal form need neither normalizer nor word rule.
+        bare = Tokenizer(model.model)
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        bare = bare if ids_by(bare, _PROBE) == ids_by(model, _PROBE) else model
+        _cache[path] = (model, bare, np.dtype("<u2" if len(last) <= 1 << 16 else "<u4"), last, Recent(KEPT_CHUNKS), Recent(KEPT_WORDS))
+    model, bare, dtype, last, kept, parts = _cache[path]
 
     def cuts_of(texts: list[str]) -> tuple[bytes, list[int]]:
         """The ids of all texts as bytes, and where each text's begin and end."""
         joined = "\n".join(texts)
         if "<|" not in joined:  # a special token is no word
-            found = model.encode_batch_fast([joined], add_special_tokens=False)[0]
+            found = ids_by(model, joined)
             # A text of letters is one word of the tokenizer; others are split by its rule.
             counts = [1 if t.isalpha() and t.lower().isalpha() else len(_WORD.findall(unicodedata.normalize("NFC", t))) for t in texts]
-            ids = np.array(found.ids, dtype)
+            ids = np.array(found, dtype)
             ends = np.concatenate(([0], np.flatnonzero(last[ids]) + 1))  # a word's last piece says so
             bounds = np.cumsum([0, *counts])
             if len(ends) == bounds[-1] + 1 and ends[-1] == len(ids):
@@ -90,36 +135,24 @@ def encoder(path: str):
 
     def ids_of(words: set[str]) -> dict[str, bytes] | None:
         """A table with the ids of these words, each a single one for the tokenizer; None if it sees them otherwise."""
-        if len(parts[0]) > CACHE_WORDS:
-            parts[:] = {}, parts[0]
-        young, older = parts
-        if missing := list(words.difference(young)):
-            if older:
-                young.update((w, older[w]) for w in missing if w in older)
-                missing = [w for w in missing if w not in young]
-        if missing:
-            ids = np.array(model.encode_batch_fast(["\n".join(missing)], add_special_tokens=False)[0].ids, dtype)
+        missing = parts.missing(words)
+        for at in range(0, len(missing), BATCH_WORDS):
+            some = missing[at : at + BATCH_WORDS]
+            text = "\n".join(some)
+            ids = np.array(ids_by(bare if unicodedata.is_normalized("NFC", text) and not any(c in text for c in _MARKS) else model, text), dtype)
             ends = (np.concatenate(([0], np.flatnonzero(last[ids]) + 1)) * dtype.itemsize).tolist()
-            if len(ends) != len(missing) + 1:
+            if len(ends) != len(some) + 1:
                 return None
             raw = ids.tobytes()
-            young.update(zip(missing, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
-        return young
-
-    def learn(chunks: list[bytes]) -> None:
-        known, older = kept
-        if older:
-            known.update((c, older[c]) for c in chunks if c in older)
-            chunks = [c for c in chunks if c not in known]
+            parts.add(some, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])))
+        return parts.young
+
+    def learn(chunks: list[str]) -> None:
         # Most chunks are letters with marks behind them: two words of the tokenizer, which drops case. (Not so with a
         # sigma, whose lower case depends on its place.)
-        text = b"\n".join(chunks).decode()
-        other = []
-        if "\u03a3" in text:
-            other = [c for c in chunks if b"\xce\xa3" in c]
-            chunks = [c for c in chunks if b"\xce\xa3" not in c]
-            text = b"\n".join(chunks).decode()
-        low = text.lower().split("\n") if chunks else []
+        other = [c for c in chunks if "\u03a3" in c]
+        chunks = [c for c in chunks if "\u03a3" not in c] if other else chunks
+        low = "\n".join(chunks).lower().split("\n") if chunks else []
         stems = [x.rstrip(_MARKS) for x in low]
         plain = [not x or x.isalpha() for x in stems]
         marks = [x[len(y) :] for x, y in zip(low, stems, strict=True)]
@@ -130,22 +163,40 @@ def encoder(path: str):
             other += chunks
         else:
             found[""] = b""
-            known.update(zip(compress(chunks, plain), map(add, map(found.__getitem__, compress(stems, plain)), map(found.__getitem__, compress(marks, plain))), strict=True))
+            kept.add(list(compress(chunks, plain)), map(add, map(found.__getitem__, compress(stems, plain)), map(found.__getitem__, compress(marks, plain))))
             other += [c for c, p in zip(chunks, plain, strict=True) if not p]
-        if other:
-            raw, cuts = cuts_of([c.decode() for c in other])
+            parts.drop_long(words)
+        for at in range(0, len(other), BATCH_WORDS):
+            some = other[at : at + BATCH_WORDS]
+            raw, cuts = cuts_of(some)
             n = dtype.itemsize
-            known.update(zip(other, (raw[n * a : n * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        split = [t.encode().split() if t else () for t in texts]
-        distinct = set().union(*split)
-        if missing := distinct.difference(kept[0]):
-            if len(kept[0]) > CACHE_WORDS:
-                kept[:] = {}, kept[0]  # what is still in use comes back from the older half
-                missing = distinct
-            learn(list(missing))
-        return [b"".join(map(kept[0].__getitem__, chunks)) for chunks in split]
+            kept.add(some, (raw[n * a : n * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)))
+
+    def encode(texts: pa.Array, end_id: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if missing := kept.missing(chunks):
+            learn(missing)
+        values = list(map(kept.young.__getitem__, chunks))
+        kept.drop_long(missing)
+        if end_id is not None:
+            values.append(np.array([end_id], dtype).tobytes())
+        ids = np.frombuffer(b"".join(values), dtype)
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // dtype.itemsize
+        starts = np.cumsum(lengths) - lengths
+        offsets, indices = split.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy()
+        offsets = offsets - offsets[0]
+        for begin in range(0, len(texts), SLICE_TEXTS):
+            some = offsets[begin : begin + SLICE_TEXTS + 1]
+            at = indices[some[0] : some[-1]]
+            some = some - some[0]
+            if end_id is not None:  # one more chunk behind each text
+                at = np.insert(at, some[1:], len(values) - 1)
+                some = some + np.arange(len(some))
+            n = lengths[at]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            yield begin, ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])], ends[some]
 
     return encode, dtype
 
@@ -155,23 +206,21 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID, place: Co
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, dtype = encoder(path)
-        end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [x + end for x in encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("source"),
-                        part.column("hash"),
-                        pa.array([len(x) // dtype.itemsize for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    ["doc_id", "source", "hash", "n", "ids"],
-                )
-
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", (F.xxhash64("doc_id") if place is None else place).alias("hash"), "text")
+            # Slices of about SLICE_BYTES of text, a longer text alone.
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64) + 64)
+            at = 0
+            while at < batch.num_rows:
+                until = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+                part = batch.slice(at, until - at)
+                at = until
+                for begin, ids, ends in encode(part.column("text"), end_id):
+                    n = np.diff(ends)
+                    raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * dtype.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                    own = part.slice(begin, len(n))
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("source"), own.column("hash"), pa.array(n), raw], ["doc_id", "source", "hash", "n", "ids"])
+
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", (F.xxhash64("doc_id", F.monotonically_increasing_id()) if place is None else place).alias("hash"), "text")
     return named.mapInArrow(emit, "doc_id long, source string, hash long, n long, ids binary")
 
 
@@ -227,14 +276,12 @@ def _ranges(tokens: DataFrame, rows: int, total: int, bucket_tokens: int) -> Dat
     height = max(1, bucket_tokens * rows // (16 * max(total, 1)))
     file = F.shiftright("hash", PLACE_BITS)
     keyed = tokens.withColumn("file", file).withColumn("block", F.floor((F.col("hash") - F.shiftleft(file, PLACE_BITS)) / height))
-    # The windows hold one row a block, and one a file.
     sums = keyed.groupBy("file", "block").agg(F.sum("n").alias("n"))
-    files = sums.groupBy("file").agg(F.sum("n").alias("n"))
-    ahead = files.select("file", F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    inside = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = sums.select("file", "block", inside.alias("inside")).join(ahead, "file")
+    ahead = summed_before(sums.groupBy("file").agg(F.sum("n").alias("n")), "file", "n", "ahead").drop("n")
+    blocks = summed_before(sums, "block", "n", "inside", "file").join(ahead, "file")
     blocks = blocks.select("file", "block", F.floor((F.col("ahead") + F.col("inside")) / bucket_tokens).alias("bucket"))
-    return keyed.join(F.broadcast(blocks), ["file", "block"]).drop("file", "block")
+    # About 16 rows a bucket: broadcast while they are few, else joined by a shuffle.
+    return keyed.join(F.broadcast(blocks) if rows // height <= BROADCAST_BLOCKS else blocks.hint("merge"), ["file", "block"]).drop("file", "block")
 
 
 def pack(
@@ -253,15 +300,13 @@ def pack(
     tokens = tokens.withColumn("bucket", F.pmod("hash", F.lit(buckets))) if place is None else _ranges(tokens, rows, total, bucket_tokens)
     sums = tokens.groupBy("bucket", "source").agg(F.sum("n").alias("n"))
     # One row a bucket and source, and a bucket holds millions of tokens: small next to the documents.
-    earlier = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    ahead = sums.groupBy("bucket").agg(F.sum("n").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(earlier), F.lit(0)))
+    ahead = summed_before(sums.groupBy("bucket").agg(F.sum("n").alias("all")), "bucket", "all", "before")
     shares = sums.groupBy("source").agg((F.sum("n") / F.lit(float(max(total, 1)))).alias("share"))
     # A source that skips a bucket is owed for it at its next one, so only the pairs that occur are needed.
     had = sums.join(ahead.select("bucket", "before"), "bucket").alias("a").join(
         shares.alias("s"), F.col("a.source").eqNullSafe(F.col("s.source"))
     ).select("a.bucket", "a.source", "s.share", "a.before", "a.n")
-    so_far = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    owed = had.withColumn("owed", F.col("share") * F.col("before") - F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+    owed = summed_before(had, "bucket", "n", "served", "source").withColumn("owed", F.col("share") * F.col("before") - F.col("served"))
     if place is not None:
         owed = sums.join(ahead, "bucket").select("bucket", "source", (F.col("n") / F.greatest("all", F.lit(1))).alias("share"), F.lit(0.0).alias("owed"))
     owed = owed.select(F.col("bucket").alias("of"), F.col("source").alias("queue"), "share", "owed")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from formledger.llm import (
     url_filter,
 )
 
+from formledger.llm.common import summed_before
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, n int, row int, token string, component string"
 
@@ -550,3 +553,34 @@ def test_scan_takes_linear_time(text):
 @pytest.mark.parametrize(("before", "name"), [("x-9", ""), ("9abc", "abc"), ("a.b-c_1", "a.b-c_1"), ("a.9b", "b"), ("a--b", "b"), ("a.9.b", "b"), ('{"key" ', "key"), ("", "")])
 def test_name_before(before, name):
     assert secret_scan._name_before(before + "=", len(before)) == name
+
+
+def test_summed_before(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice(["a", None, "b"]), i, rng.randrange(50)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "source string, bucket long, n long")
+    got = {r["bucket"]: r["s"] for r in summed_before(frame, "bucket", "n", "s", "source", height=7).collect()}
+    assert got == {i: sum(m for t, j, m in rows if t == s and j < i) for s, i, _ in rows}
+    got = {r["bucket"]: r["s"] for r in summed_before(frame, "bucket", "n", "s", height=7).collect()}
+    assert got == {i: sum(m for _, j, m in rows if j < i) for _, i, _ in rows}
+
+
+def test_long_and_many_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_cache", {})
+    for name in ("KEPT_CHUNKS", "KEPT_WORDS"):
+        monkeypatch.setattr(packing, name, 20_000)  # so that the halves turn over
+    monkeypatch.setattr(packing, "BATCH_WORDS", 40)
+    monkeypatch.setattr(packing, "SLICE_TEXTS", 3)
+    encode, _ = packing.encoder(packing.default_tokenizer())
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdeéΣσßİ漢क़Å1'.,#-") for _ in range(rng.randrange(1, 9)))
+    for _ in range(12):
+        made = [None, "", " \x0b", "x" * 9000 + " y", "q7" * 5000, *(" ".join(word() for _ in range(rng.randrange(80))) for _ in range(12))]
+        rng.shuffle(made)
+        got = []
+        for _, ids, ends in encode(pa.array(["cut off", *made], pa.string())[1:], 1):
+            got += [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        assert got == [[*model.encode(t or "", add_special_tokens=False).ids, 1] for t in made]
