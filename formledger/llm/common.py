@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +41,26 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of about ``size`` bytes of text; a longer text comes alone."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64) + 64)
+        at = 0
+        while at < batch.num_rows:
+            until = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, until - at)
+            at = until
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of texts, A-Z lower-cased: where each text's end (0 first), each word's number, and the distinct words by number."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    at, ends = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    word = at != pc.index(coded.dictionary, "").as_py()  # a split leaves empty strings at the ends
+    return np.concatenate(([0], np.cumsum(word)))[ends - ends[0]], at[word], coded.dictionary.cast(pa.binary())
+
+
 def summed_before(rows: DataFrame, at: str, value: str, name: str, by: str | None = None, height: int = 4096) -> DataFrame:
     """rows with name: the sum of value over the rows of a smaller at (a whole number), within each by, null being one.
 

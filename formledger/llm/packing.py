@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formledger.llm.common import durable, summed_before, table
+from formledger.llm.common import durable, slices, summed_before, table
 
 WINDOW, END_ID = 2048, 1
 BUCKET_TOKENS, OVERDRAW = 1 << 21, 256
@@ -206,19 +206,12 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID, place: Co
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, dtype = encoder(path)
-        for batch in batches:
-            # Slices of about SLICE_BYTES of text, a longer text alone.
-            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64) + 64)
-            at = 0
-            while at < batch.num_rows:
-                until = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
-                part = batch.slice(at, until - at)
-                at = until
-                for begin, ids, ends in encode(part.column("text"), end_id):
-                    n = np.diff(ends)
-                    raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * dtype.itemsize).astype(np.int32)), pa.py_buffer(ids)])
-                    own = part.slice(begin, len(n))
-                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("source"), own.column("hash"), pa.array(n), raw], ["doc_id", "source", "hash", "n", "ids"])
+        for part in slices(batches, SLICE_BYTES):
+            for begin, ids, ends in encode(part.column("text"), end_id):
+                n = np.diff(ends)
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * dtype.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                own = part.slice(begin, len(n))
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("source"), own.column("hash"), pa.array(n), raw], ["doc_id", "source", "hash", "n", "ids"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", (F.xxhash64("doc_id", F.monotonically_increasing_id()) if place is None else place).alias("hash"), "text")
     return named.mapInArrow(emit, "doc_id long, source string, hash long, n long, ids binary")

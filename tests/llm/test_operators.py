@@ -356,7 +356,7 @@ def plain_scores(docs, model, chosen):
     split = lambda t: [WORD_END, *(w.encode().lower() for w in WORD.findall(t or "")), WORD_END]
     counts = Counter(w for d, t in texts(docs) if chosen(d) for w in split(t)[1:])
     whole = sum(counts.values()) + len(counts) + 1
-    digest = dict(zip(WORDS := sorted({w for _, t in texts(docs) for w in split(t)}), ngram_join.WordHashes().of(WORDS).view(np.int64).tolist(), strict=True))
+    digest = {w: number(w) for _, t in texts(docs) for w in split(t)}
     word = {r["h"]: r for r in model.words.collect()}
     pair = {(r["b"], r["w"]): r for r in model.pairs.collect()}
     out = []
@@ -376,6 +376,10 @@ def plain_scores(docs, model, chosen):
 WORD_END = b""
 
 
+def number(word):
+    return int(pitman_yor.digests(pa.array([word], pa.binary()))[0])
+
+
 @pytest.mark.parametrize("known", [500_000, 3])
 @pytest.mark.parametrize("train", ["coalesce(doc_id, 0) % 2 = 1", "true", "false"])
 def test_language_model_scores(spark, monkeypatch, known, train):
@@ -414,16 +418,15 @@ def test_word_order_counts(spark):
 
 def test_counts_in_parts(spark, monkeypatch):
     monkeypatch.setattr(pitman_yor, "COUNTED", 50)
+    monkeypatch.setattr(pitman_yor, "ROWS", 7)
     docs = awkward(spark).select("text")
     split = lambda t: [WORD_END, *(w.encode().lower() for w in WORD.findall(t or "")), WORD_END]
     rows = [split(r["text"]) for r in docs.collect()]
     assert {bytes(r["word"]): r["c"] for r in pitman_yor.word_counts(docs).collect()} == Counter(w for r in rows for w in r[1:])
     pairs = Counter(p for r in rows for p in zip(r[:-1], r[1:], strict=True))
-    hashes = ngram_join.WordHashes()
-    number = lambda w: int(hashes.of([w]).view(np.int64)[0])
     assert {(r["b"], r["w"]): r["c"] for r in pitman_yor.pair_counts(docs).collect()} == {(number(a), number(b)): c for (a, b), c in pairs.items()}
     numbered = spark.createDataFrame([(number(a), number(b)) for a, b in pairs], "b long, w long").select(pitman_yor.pair_number(F.col("b"), F.col("w"))).collect()
-    assert [r[0] for r in numbered] == [int(pitman_yor._pair_numbers(hashes.of(list(p)).view(np.int64))[0]) for p in pairs]
+    assert [r[0] for r in numbered] == [int(pitman_yor._pair_numbers(np.array([number(a)]), np.array([number(b)]))[0]) for a, b in pairs]
 
 
 def test_frequent(spark):
