@@ -12,6 +12,9 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Characters that a reader takes for digits, and the digits they stand for.
 LOOKALIKES = "Oo〇ＯDlI|｜丨qgZzSsbBTㄱ$&０１２３４５６７８９．"
 MEANT = "00000111119922556877880123456789."
+# Fixed value: what counts as white space, the ideographic and the no-break space included.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE_DIGITS = "０１２３４５６７８９"
 
 
 def quoted(name: str) -> str:
@@ -27,12 +30,16 @@ def blank(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(blank(text), r"^\s+|\s+$", "")
+    return F.btrim(blank(text), F.lit(SPACE))
+
+
+def without_space(text: Column) -> Column:
+    return F.translate(blank(text), SPACE, "")
 
 
 def to_number(text: Column) -> Column:
-    """A5: the double a trimmed text spells, else null. Commas are not taken out."""
-    trimmed = stripped(text)
+    """A5: the double a trimmed text spells, in ASCII or full-width digits, else null. Commas are not taken out."""
+    trimmed = F.translate(stripped(text), WIDE_DIGITS, "0123456789")
     return F.when(F.rlike(trimmed, F.lit(NUMBER)), trimmed.try_cast("double"))
 
 

@@ -6,6 +6,7 @@ place of its first. Rows without a key are never compared, so the window never s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -63,27 +64,36 @@ def eval_summary_table(units: DataFrame, rollups: DataFrame) -> DataFrame:
     return units.unionByName(rollups.select(*[v.column(c) for c in units.columns]))
 
 
-def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def append_history(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Appends by name; files are split by a hash of the record key, not by key, so that they stay few."""
-    rows.withColumn("bucket", bucket_of(F.col("record_key"), buckets)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+def append_history(rows: DataFrame, path: str, batch: str, buckets: int = BUCKETS) -> None:
+    """Appends one batch by name. A batch of the same name is replaced as a whole, so a repeated or broken write does no harm.
+
+    Files are split by a hash of the record key, not by key, so that they stay few; how many buckets there are is kept with them.
+    """
+    rows.withColumns({"of": F.lit(buckets), "bucket": bucket_of(F.col("record_key"), buckets)}).repartition("bucket").write.mode("overwrite").partitionBy("of", "bucket").parquet(
+        f"{path}/batch={batch}"
+    )
 
 
 def read_history(spark: SparkSession, path: str, schema: str, keys: DataFrame | None = None) -> DataFrame:
-    """The history by name, nulls as ""; empty if there is none yet. keys (record_key): only these, by their buckets."""
+    """The history by name, nulls as ""; empty if there is none yet. keys (record_key): only these; other buckets are not read."""
     try:
-        rows = spark.read.schema(f"{schema}, bucket int").parquet(path)
+        rows = spark.read.schema(f"{schema}, batch string, of int, bucket int").option("basePath", path).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
     if keys is not None:
-        wanted = keys.select("record_key", bucket_of(F.col("record_key")).alias("bucket")).distinct()
-        rows = rows.join(wanted, ["bucket", "record_key"], "left_semi")
-    return rows.drop("bucket").na.fill("")
+        used = F.lit(False)
+        for n in sorted({int(m[1]) for file in rows.inputFiles() if (m := re.search(r"/of=(\d+)/", file))}):
+            # n numbers at most, and literals, so that partitions are pruned before anything is read.
+            wanted = [r[0] for r in keys.select(bucket_of(F.col("record_key"), n)).distinct().collect()]
+            used = used | ((F.col("of") == n) & F.col("bucket").isin(wanted))
+        rows = rows.where(used).join(keys.select("record_key").distinct(), "record_key", "left_semi")
+    return rows.select(*[v.column(c) for c in spark.createDataFrame([], schema).columns]).na.fill("")
 
 
 def write_summary(rows: DataFrame, folder: str, version: str) -> str:

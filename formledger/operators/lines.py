@@ -107,7 +107,7 @@ def has_crossing_line(gaps: DataFrame, runs: DataFrame, threshold: float = 0.8)
     band = gaps.withColumns({"top": F.col("y0") + F.floor(F.col("gap") * 0.35), "bottom": F.col("y0") + F.floor(F.col("gap") * 0.75)})
     inside = F.greatest(F.lit(0), F.least("run_end", "x1") - F.greatest("run_start", "x0"))
     rows = _at(band, runs, "h", F.col("top"), F.col("bottom")).groupBy("box", "pos", (F.col("x1") - F.col("x0")).alias("w")).agg(F.sum(inside).alias("ink"))
-    most = rows.groupBy("box").agg(F.max(F.col("ink") / F.col("w")).alias("most"))
+    most = rows.where("w > 0").groupBy("box").agg(F.max(F.col("ink") / F.col("w")).alias("most"))
     return gaps.join(most, "box", "left").select("box", F.coalesce(F.col("most") > threshold, F.lit(False)).alias("crosses"))
 
 
@@ -126,7 +126,7 @@ def page_y_offset(pages: DataFrame, runs: DataFrame, zones: DataFrame) -> DataFr
 def detect_template_version(documents: DataFrame, runs: DataFrame, rules: DataFrame) -> DataFrame:
     """Documents (doc_id, template, width, dy) and rules (template, version_no, version_template, page, y_from, y_to,
     min_width_frac) -> (doc_id, template): the first version whose rule line is there, else the template itself."""
-    asked = documents.join(F.broadcast(rules), "template")
+    asked = documents.join(rules, "template")  # a few rows a template: adaptive execution broadcasts them if so
     r = runs.where("axis = 'h'").select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), "pos", (F.col("end") - F.col("start")).alias("length"))
     there = asked.join(
         r,
@@ -219,45 +219,59 @@ def label_line_seeds(seeds: DataFrame) -> DataFrame:
     return kept.select("doc_id", "page_no", "zone", F.col("x.t").alias("template_y"), F.col("x.y").alias("y"))
 
 
-def _beside_rules(boxes: DataFrame, runs: DataFrame, expected: dict[str, Column], radius: int, least: int, cover: float = 0.85) -> DataFrame:
+def _beside_rules(boxes: DataFrame, runs: DataFrame, expected: dict[str, Column], radius: int, least: int, when: Column, cover: float = 0.85) -> DataFrame:
     """boxes with, for each name, the place of the rule nearest to what is expected, the left one on a tie; null if there is
-    none within the radius, or the row is lower than ``least``. Rules run through the box's row."""
+    none within the radius, the row is lower than ``least``, or ``when`` does not hold. Rules run through the box's row."""
     top, bottom = F.greatest(F.lit(0), F.col("y0") + 3), F.col("y1") - 3
     need = F.greatest(F.floor((bottom - top) * cover), F.lit(10))
-    asked = boxes.where(bottom - top >= least).withColumns(expected)
-    rules = _at(asked, runs, "v", F.lit(0), F.lit(1 << 30)).where(_kept_length(top, bottom, need) > 0)
-    off = lambda n: F.col("pos") - F.col(n)
+    asked = boxes.withColumns({f"__{n}": c for n, c in expected.items()} | {"__asked": F.coalesce(when, F.lit(False)) & (bottom - top >= least)})
+    names = [F.col(f"__{n}") for n in expected]
+    r = runs.where("axis = 'v'").select(
+        F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), "pos", F.col("start").alias("run_start"), F.col("end").alias("run_end")
+    )
+    # Only rules within the radius of one of the places come beside a box.
+    near_some = (F.col("pos") >= F.least(*names) - radius) & (F.col("pos") < F.greatest(*names) + radius)
+    rules = asked.join(
+        r, (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p")) & F.col("__asked") & near_some & (_kept_length(top, bottom, need) > 0), "left"
+    )
+    off = lambda n: F.col("pos") - F.col(f"__{n}")
     near = lambda n: F.min(F.when((off(n) >= -radius) & (off(n) < radius), F.struct(F.abs(off(n)).alias("off"), "pos")))["pos"].alias(n)
-    return boxes.join(rules.groupBy("box").agg(*[near(n) for n in expected]), "box", "left")
+    return rules.groupBy("box").agg(*[F.first(c).alias(c) for c in boxes.columns if c != "box"], *[near(n) for n in expected])
+
 
+def row_local_x(boxes: DataFrame, runs: DataFrame, radius: int = 110, when: Column | None = None) -> DataFrame:
+    """Boxes (box, doc_id, page_no, x0, y0, x1, y1, t_x0, t_x1, anchor_left, anchor_right): x by the row's own frame.
 
-def row_local_x(boxes: DataFrame, runs: DataFrame, radius: int = 110) -> DataFrame:
-    """Boxes (box, doc_id, page_no, x0, y0, x1, y1, t_x0, t_x1, anchor_left, anchor_right): x by the row's own frame."""
+    Boxes for which ``when`` does not hold stay; other columns stay.
+    """
     scale = (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), F.col("t_x1") - F.col("t_x0"))
     sides = {
         "l": F.bround(F.col("x0") - (F.col("t_x0") - F.col("anchor_left")) * scale),
         "r": F.bround(F.col("x1") + (F.col("anchor_right") - F.col("t_x1")) * scale),
     }
-    both = _beside_rules(boxes, runs, sides, radius, 15)
+    both = _beside_rules(boxes, runs, sides, radius, 15, F.lit(True) if when is None else when)
     frame = F.col("anchor_right") - F.col("anchor_left")
-    good = F.coalesce(F.col("r") - F.col("l") >= frame * 0.7, F.lit(False))
+    good = F.coalesce(F.col("r") - F.col("l") >= frame * 0.7, F.lit(False)) & (frame != 0)
     moved = lambda t, old: F.when(good, F.bround(F.col("l") + (F.col(t) - F.col("anchor_left")) * (F.col("r") - F.col("l")) / frame).cast("int")).otherwise(F.col(old))
-    return both.select("box", "doc_id", "page_no", moved("t_x0", "x0").alias("x0"), "y0", moved("t_x1", "x1").alias("x1"), "y1")
+    return both.withColumns({"x0": moved("t_x0", "x0"), "x1": moved("t_x1", "x1")}).drop("l", "r")
 
 
-def snap_cell_x(boxes: DataFrame, runs: DataFrame, radius: int = 90) -> DataFrame:
+def snap_cell_x(boxes: DataFrame, runs: DataFrame, radius: int = 90, when: Column | None = None) -> DataFrame:
     """Boxes with left and right edges on the nearest rules of their row; kept where the width would shrink below half."""
-    both = _beside_rules(boxes, runs, {"l": F.col("x0"), "r": F.col("x1")}, radius, 20)
+    both = _beside_rules(boxes, runs, {"l": F.col("x0"), "r": F.col("x1")}, radius, 20, F.lit(True) if when is None else when)
     l, r = F.coalesce("l", "x0"), F.coalesce("r", "x1")  # noqa: E741
     good = r - l >= (F.col("x1") - F.col("x0")) * 0.5
-    return both.select("box", "doc_id", "page_no", F.when(good, l).otherwise(F.col("x0")).alias("x0"), "y0", F.when(good, r).otherwise(F.col("x1")).alias("x1"), "y1")
+    return both.withColumns({"x0": F.when(good, l).otherwise(F.col("x0")), "x1": F.when(good, r).otherwise(F.col("x1"))}).drop("l", "r")
 
 
-def refine_divider(boxes: DataFrame, runs: DataFrame, radius: int = 40) -> DataFrame:
+def refine_divider(boxes: DataFrame, runs: DataFrame, radius: int = 40, when: Column | None = None) -> DataFrame:
     """The top is looked for again in the box's own x range; the height stays."""
-    asked = boxes.withColumns({"request": F.col("box"), "expected": F.col("y0"), "back": F.lit(radius), "fwd": F.lit(radius)})
+    asked = (boxes if when is None else boxes.where(F.coalesce(when, F.lit(False)))).withColumns(
+        {"request": F.col("box"), "expected": F.col("y0"), "back": F.lit(radius), "fwd": F.lit(radius)}
+    )
     found = find_hline(asked, runs).withColumnRenamed("request", "box")
-    return boxes.join(found, "box").select("box", "doc_id", "page_no", "x0", F.col("found").alias("y0"), "x1", (F.col("found") + F.col("y1") - F.col("y0")).alias("y1"))
+    top = F.coalesce("found", "y0")
+    return boxes.join(found, "box", "left").withColumns({"y0": top, "y1": top + F.col("y1") - F.col("y0")}).drop("found")
 
 
 def resolve_boxes(fields: DataFrame, transforms: DataFrame, y_maps: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -274,14 +288,7 @@ def resolve_boxes(fields: DataFrame, transforms: DataFrame, y_maps: DataFrame, r
     )
     boxes = solved.join(flags, ["field", *on]).withColumn("box", F.concat_ws("/", "doc_id", "page_no", "zone", "field"))
 
-    def apply(rows: DataFrame, when: Column, operator) -> DataFrame:
-        rows = rows.persist()  # read by both branches of every step
-        moved = operator(rows.where(when)).select("box", "x0", "y0", "x1", "y1")
-        rest = rows.drop("x0", "y0", "x1", "y1")
-        return rest.join(moved, "box").unionByName(rows.where(~when))
-
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    boxes = apply(boxes, yes("row_local_x"), lambda r: row_local_x(r, runs))
-    boxes = apply(boxes, yes("snap_cell_x") & (F.col("type") == "text"), lambda r: snap_cell_x(r, runs))
-    boxes = apply(boxes, yes("column_refine"), lambda r: refine_divider(r, runs))
+    boxes = row_local_x(boxes, runs, when=F.col("row_local_x"))
+    boxes = snap_cell_x(boxes, runs, when=F.col("snap_cell_x") & (F.col("type") == "text"))
+    boxes = refine_divider(boxes, runs, when=F.col("column_refine"))
     return boxes.select("field", *on, "x0", "y0", "x1", "y1").unionByName(raw), lost

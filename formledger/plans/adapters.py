@@ -24,11 +24,11 @@ def ansi_name(name: str) -> str:
 def _score(k: int, key: str = "event_id") -> str:
     return (
         f"CASE WHEN {key} % 11 = {k % 11} THEN '' WHEN {key} % 13 = {k} THEN 'l0' WHEN {key} % 17 = {k} THEN '1,0' WHEN {key} % 19 = {k} THEN 'abc' "
-        f"WHEN {key} % 23 = {k} THEN ' 7.5 ' ELSE CAST(({key} * 7 + {3 * k}) % 11 AS STRING) END"
+        f"WHEN {key} % 23 = {k} THEN '\u3000 7.5\u00a0' WHEN {key} % 27 = {k} THEN '７' ELSE CAST(({key} * 7 + {3 * k}) % 11 AS STRING) END"
     )
 
 
-def eval_units(q, t, key: str = "concat('S', user_id, '-', event_id % 60)") -> str:
+def eval_units(q, t, key: str = "concat('S', user_id, '-', event_id % 60, CASE WHEN event_id % 8 = 3 THEN '\u3000' ELSE '' END)") -> str:
     cells = [f"{_score(k)} AS {q(f'{i}_{f.SCORE}')}" for k, i in enumerate(f.EVAL_ITEMS)]
     cells += [f"CASE WHEN event_id % 29 = {k} THEN 'x' ELSE '10' END AS {q(f'{i}_{f.LIMIT}')}" for k, i in enumerate(f.EVAL_ITEMS)]
     cells += [f"CASE WHEN event_id % 7 = {k} THEN '15' ELSE {_score(k + 10)} END AS {q(f'{i}_{f.BONUS}')}" for k, i in enumerate(f.BONUS_ITEMS)]
@@ -50,9 +50,9 @@ def supplier_rows(q, t) -> str:
     return f"""
       SELECT o_orderkey AS seq, concat('form', o_orderkey % 11, '.pdf') AS {q(f.SOURCE_FILE)}, substring(CAST(o_orderdate AS STRING), 1, 10) AS {q(f.PROCESSED)},
              CASE WHEN o_orderkey % 17 = 0 THEN '' WHEN o_orderkey % 13 = 0 THEN substring(concat('0000000', o_custkey), -7, 7)
-                  ELSE lpad(CAST(o_custkey AS STRING), 8, '0') END AS {q(f.TAX_ID)},
-             CASE WHEN o_orderkey % 19 = 0 THEN '  ' WHEN o_orderkey % 7 = 0 THEN concat(c_name, '/x:y') ELSE c_name END AS {q(f.COMPANY)},
-             o_orderpriority AS {q("服務範疇")}, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE c_mktsegment END AS {q("聯絡人")},
+                  ELSE concat(lpad(CAST(o_custkey AS STRING), 8, '0'), CASE WHEN o_orderkey % 29 = 0 THEN '\u3000' ELSE '' END) END AS {q(f.TAX_ID)},
+             CASE WHEN o_orderkey % 19 = 0 THEN ' \u3000' WHEN o_orderkey % 7 = 0 THEN concat(c_name, '/x:y') ELSE c_name END AS {q(f.COMPANY)},
+             o_orderpriority AS {q("服務範疇")}, CASE WHEN o_orderkey % 5 = 0 THEN '\u00a0' ELSE c_mktsegment END AS {q("聯絡人")},
              o_orderstatus AS {q("附件1_設立證明文件")}, CASE WHEN o_orderkey % 3 = 0 THEN '是' ELSE '否' END AS {q("附件2_存摺封面")}
       FROM {t("orders")} JOIN {t("customer")} ON o_custkey = c_custkey"""
 

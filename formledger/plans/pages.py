@@ -11,19 +11,13 @@ from pyspark.sql import functions as F
 
 from formledger.operators import ink, lines, tokens
 from formledger.plans import adapters as a
+from formledger.plans.registered import register
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return add
+query = register(QUERIES, ORACLES)
 
 
 def rows(spark: SparkSession, sf_dir: str, adapter) -> DataFrame:
@@ -45,14 +39,14 @@ def requests(q, t) -> str:
     return f"""
       SELECT event_id AS request, user_id AS doc_id, 1 AS page_no, CAST(100 + event_id % 200 AS INT) AS x0, CAST(900 + event_id % 500 AS INT) AS x1,
              CAST(event_id * 53 % 2200 AS INT) AS expected, CAST(60 + event_id % 90 AS INT) AS back, CAST(80 + event_id % 50 AS INT) AS fwd
-      FROM {t("events")} WHERE event_id % 5 = 1"""
+      FROM {t("events")}"""
 
 
 def boxes(q, t) -> str:
     return f"""
       SELECT event_id AS box, user_id AS doc_id, 1 AS page_no, CAST(event_id * 11 % 1000 AS INT) AS x0, CAST(event_id * 53 % 2200 AS INT) AS y0,
              CAST(event_id * 11 % 1000 + event_id % 300 AS INT) AS x1, CAST(event_id * 53 % 2200 + event_id % 120 AS INT) AS y1
-      FROM {t("events")} WHERE event_id % 5 = 2"""
+      FROM {t("events")}"""
 
 
 _RS, _RE = '"start"', '"end"'
@@ -121,9 +115,9 @@ def g5_ink_ratio(spark, sf_dir):
 
 @query(a.cte(runs, boxes) + f""", g AS (SELECT *, y0 + floor((y1 - y0) * 0.35::DOUBLE)::INT AS a, y0 + floor((y1 - y0) * 0.75::DOUBLE)::INT AS z FROM boxes),
 i AS (SELECT box, pos, sum({_INK}) / (x1 - x0) AS share FROM g b JOIN runs r ON {_ON} AND pos >= a AND pos < z WHERE x1 > x0 GROUP BY box, pos, x1 - x0)
-SELECT b.box, coalesce(max(share) > 0.8, false) AS crosses FROM boxes b LEFT JOIN i ON i.box = b.box WHERE x1 > x0 GROUP BY b.box""")
+SELECT b.box, coalesce(max(share) > 0.8, false) AS crosses FROM boxes b LEFT JOIN i ON i.box = b.box GROUP BY b.box""")
 def g6_has_crossing_line(spark, sf_dir):
-    gaps = rows(spark, sf_dir, boxes).where("x1 > x0").selectExpr("box", "doc_id", "page_no", "x0", "x1", "y0", "y1 - y0 AS gap")
+    gaps = rows(spark, sf_dir, boxes).selectExpr("box", "doc_id", "page_no", "x0", "x1", "y0", "y1 - y0 AS gap")
     return lines.has_crossing_line(gaps, rows(spark, sf_dir, runs))
 
 
@@ -156,7 +150,7 @@ def zones(q, t) -> str:
       SELECT event_id AS request, user_id AS doc_id, 1 AS page_no, concat('z', event_id) AS zone, 163 AS anchor_left, CAST(300 + event_id % 900 AS INT) AS anchor_top,
              1473 AS anchor_right, CAST(700 + event_id % 1100 AS INT) AS anchor_bottom, CASE WHEN event_id % 2 = 0 THEN 139 END AS page_top_line,
              40 AS y_search, 120 AS x_search, CAST(event_id % 30 AS INT) AS dy
-      FROM {t("events")} WHERE event_id % 20 = 3"""
+      FROM {t("events")}"""
 
 
 _SLACK = "CASE WHEN page_top_line IS NOT NULL THEN floor(abs({}) * 0.04::DOUBLE)::INT ELSE 0 END"
@@ -201,7 +195,7 @@ def placed(q, t) -> str:
              CAST(200 + event_id % 300 AS INT) AS x0, CAST(300 + event_id % 8 * 50 AS INT) AS y0, CAST(600 + event_id % 500 AS INT) AS x1, CAST(350 + event_id % 8 * 50 AS INT) AS y1,
              160 AS tx0, CAST(150 + user_id % 20 AS INT) AS {q("left")}, 1 + CAST(user_id % 7 AS DOUBLE) / 100 AS x_scale, CASE WHEN event_id % 2 = 1 THEN 290 END AS ty0,
              CAST(295 + user_id % 11 AS INT) AS top, 1 - CAST(user_id % 5 AS DOUBLE) / 100 AS y_scale
-      FROM {t("events")} WHERE event_id % 3 = 0"""
+      FROM {t("events")}"""
 
 
 def y_maps(q, t) -> str:
@@ -211,12 +205,18 @@ def y_maps(q, t) -> str:
 
 @query(a.cte(placed, y_maps) + """, b AS (SELECT f.*, a.found AS ny0, z.found AS ny1 FROM placed f
   LEFT JOIN y_maps a ON a.doc_id = f.doc_id AND a.zone = f.zone AND a.template_y = f.y0 LEFT JOIN y_maps z ON z.doc_id = f.doc_id AND z.zone = f.zone AND z.template_y = f.y1)
-SELECT field, doc_id, round_even("left" + (x0 - tx0) * x_scale, 0)::INT AS x0, CASE WHEN ty0 IS NULL THEN ny0 ELSE round_even(top + (y0 - ty0) * y_scale, 0)::INT END AS y0,
+SELECT field, doc_id, 'box' AS status, round_even("left" + (x0 - tx0) * x_scale, 0)::INT AS x0, CASE WHEN ty0 IS NULL THEN ny0 ELSE round_even(top + (y0 - ty0) * y_scale, 0)::INT END AS y0,
   round_even("left" + (x1 - tx0) * x_scale, 0)::INT AS x1, CASE WHEN ty0 IS NULL THEN ny1 ELSE round_even(top + (y1 - ty0) * y_scale, 0)::INT END AS y1
-FROM b WHERE ty0 IS NOT NULL OR (ny0 IS NOT NULL AND ny1 IS NOT NULL)""")
+FROM b WHERE ty0 IS NOT NULL OR (ny0 IS NOT NULL AND ny1 IS NOT NULL)
+UNION ALL SELECT field, doc_id, 'set aside', NULL, NULL, NULL, NULL FROM b WHERE ty0 IS NULL AND (ny0 IS NULL OR ny1 IS NULL)""")
 def g12_remap_boxes(spark, sf_dir):
-    found, _ = lines.remap_boxes(rows(spark, sf_dir, placed), rows(spark, sf_dir, y_maps))
-    return found.drop("page_no", "zone")
+    return _both(*lines.remap_boxes(rows(spark, sf_dir, placed), rows(spark, sf_dir, y_maps)))
+
+
+def _both(found: DataFrame, lost: DataFrame) -> DataFrame:
+    """Boxes, and the fields that no line was declared for."""
+    boxes_ = found.withColumn("status", F.lit("box")).drop("page_no", "zone")
+    return boxes_.unionByName(lost.select("field", "doc_id", F.lit("set aside").alias("status")), allowMissingColumns=True)
 
 
 _ABOVE = a.cte(runs, requests) + ", " + strength("SELECT *, greatest(0, expected - 120) AS lo, greatest(0, expected - 2) AS hi FROM requests", (0.6, 0.4, 0.25))
@@ -285,7 +285,7 @@ def g18_resolve_boxes(spark, sf_dir):
         *[F.first(c).alias(c) for c in ("tx0", "left", "x_scale", "ty0", "top", "y_scale")]
     )
     flags = moved.selectExpr("*", "160 AS anchor_left", "1470 AS anchor_right", "zone = 'rows' AS row_local_x", "zone = 'rows' AS snap_cell_x")
-    return lines.resolve_boxes(fields, flags, rows(spark, sf_dir, y_maps), rows(spark, sf_dir, runs))[0]
+    return _both(*lines.resolve_boxes(fields, flags, rows(spark, sf_dir, y_maps), rows(spark, sf_dir, runs)))
 
 
 # --- helpers on pixels

@@ -9,19 +9,13 @@ from formledger.functions import fields as f
 from formledger.functions import values as v
 from formledger.operators import cells, intake, ledger, scoring, validation
 from formledger.plans import adapters as a
+from formledger.plans.registered import register
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return add
+query = register(QUERIES, ORACLES)
 
 
 Q = a.ansi_name
@@ -29,11 +23,12 @@ NUM = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip(x: str) -> str:
-    return rf"regexp_replace(coalesce({x}, ''), '^\s+|\s+$', '', 'g')"
+    return f"trim(coalesce({x}, ''), '{v.SPACE}')"
 
 
 def num(x: str) -> str:
-    return f"CASE WHEN regexp_matches({strip(x)}, '{NUM}') THEN CAST({strip(x)} AS DOUBLE) END"
+    text = f"translate({strip(x)}, '{v.WIDE_DIGITS}', '0123456789')"
+    return f"CASE WHEN regexp_matches({text}, '{NUM}') THEN CAST({text} AS DOUBLE) END"
 
 
 def num_comma(x: str) -> str:
@@ -174,11 +169,26 @@ def o11_cells_to_record(spark, sf_dir):
     return cells.cells_to_record(rows(spark, sf_dir, a.cells), f.score_fields())
 
 
-@query(a.cte(a.cells) + """SELECT doc_id, field, CASE WHEN event_id % 5 = 0 THEN concat('c', value) ELSE value END AS value FROM cells""")
+@query(a.cte(a.cells) + """SELECT doc_id, field, CASE WHEN event_id % 5 = 0 THEN concat('c', value) ELSE value END AS value FROM cells
+UNION ALL SELECT doc_id, 'added', concat('c', max_by(value, event_id)) FROM cells WHERE event_id % 5 = 0 GROUP BY doc_id""")
 def o12_apply_corrections(spark, sf_dir):
+    """Corrections of a field's cell, an earlier one of the same field, and ones of a field without a cell."""
     suggested = rows(spark, sf_dir, a.cells)
-    fixed = suggested.where("event_id % 5 = 0").select("doc_id", "field", F.concat(F.lit("c"), "value").alias("value"))
-    return cells.apply_corrections(suggested, fixed)
+    fixed = suggested.where("event_id % 5 = 0").select("doc_id", "field", F.concat(F.lit("c"), "value").alias("value"), F.col("event_id").alias("seq"))
+    early = fixed.withColumns({"value": F.lit("early"), "seq": F.lit(-1).cast("long")})
+    return cells.apply_corrections(suggested, fixed.unionByName(early).unionByName(fixed.withColumn("field", F.lit("added"))))
+
+
+_FIRST = {n: f"o{k}" for k, n in enumerate(f.score_fields()) if k % 2}
+
+
+@query(a.cte(a.cells) + f"""SELECT doc_id, field, CASE WHEN event_id % 3 > 0 THEN value
+  ELSE CASE field {' '.join(f"WHEN '{n}' THEN '{first}'" for n, first in _FIRST.items())} ELSE '' END END AS value FROM cells""")
+def o12_default_options(spark, sf_dir):
+    """Groups nobody ticked get their first option, where they have options."""
+    held = rows(spark, sf_dir, a.cells).withColumn("value", F.expr("CASE WHEN event_id % 3 > 0 THEN value ELSE '' END"))
+    options = spark.createDataFrame([(n, k, first if not k else "later") for n, first in _FIRST.items() for k in (1, 0)], "field string, opt_no int, label string")
+    return cells.default_options(held, options)
 
 
 # --- validation
@@ -191,19 +201,32 @@ def v1_parse_number(spark, sf_dir):
 
 _SUB = " + ".join([f"coalesce({num_comma(Q(f'{i}_{f.SCORE}'))}, 0.0)" for i in f.EVAL_ITEMS] + [f"CASE WHEN ({num_comma(Q(f'{i}_{f.BONUS}'))}) > 10 THEN 10.0 ELSE coalesce({num_comma(Q(f'{i}_{f.BONUS}'))}, 0.0) END" for i in f.BONUS_ITEMS])
 _FULL = " + ".join(f"CASE WHEN ({num_comma(Q(f'{i}_{f.SCORE}'))}) IS NOT NULL THEN coalesce({num_comma(Q(f'{i}_{f.LIMIT}'))}, 0.0) ELSE 0.0 END" for i in f.EVAL_ITEMS)
-_BAD = " + ".join(
-    [f"CASE WHEN {strip(Q(n))} <> '' AND ({num_comma(Q(n))}) IS NULL THEN 1 ELSE 0 END" for i in f.EVAL_ITEMS for n in (f"{i}_{f.SCORE}", f"{i}_{f.LIMIT}")]
-    + [f"CASE WHEN ({num_comma(Q(f'{i}_{f.SCORE}'))}) > ({num_comma(Q(f'{i}_{f.LIMIT}'))}) THEN 1 ELSE 0 END" for i in f.EVAL_ITEMS]
-    + [f"CASE WHEN {strip(Q(f'{i}_{f.BONUS}'))} <> '' AND ({num_comma(Q(f'{i}_{f.BONUS}'))}) IS NULL THEN 1 WHEN ({num_comma(Q(f'{i}_{f.BONUS}'))}) > 10 THEN 1 ELSE 0 END" for i in f.BONUS_ITEMS]
-)
 
 
-@query(a.cte(a.eval_units) + f""", c AS (SELECT seq, {_SUB} AS subtotal, {_FULL} AS full_score, {_BAD} AS bad, {num_comma(Q(f.TOTAL))} AS written FROM eval_units)
-SELECT seq, CAST(subtotal AS DOUBLE) AS subtotal, CAST(full_score AS DOUBLE) AS full_score,
-  CAST(bad + CASE WHEN abs(written - subtotal) > 0.01 THEN 1 ELSE 0 END AS INT) AS n_warnings FROM c""")
+def _bad(name: str, most: str) -> list[str]:
+    """Texts of the warnings on one number, null where there is none."""
+    text, n = strip(Q(name)), f"({num_comma(Q(name))})"
+    return [
+        f"CASE WHEN {text} <> '' AND {n} IS NULL THEN concat('not_a_number:{name}:', {text}) END",
+        f"CASE WHEN {n} > {most} THEN concat_ws(':', 'over_limit', '{name}', CAST({n} AS VARCHAR), CAST({most} AS VARCHAR)) END",
+    ]
+
+
+_BAD = []
+for _i in f.EVAL_ITEMS:
+    _score, _over = _bad(f"{_i}_{f.SCORE}", f"({num_comma(Q(f'{_i}_{f.LIMIT}'))})")
+    _BAD += [_score, _bad(f"{_i}_{f.LIMIT}", "NULL")[0], _over]
+for _i in f.BONUS_ITEMS:
+    _BAD += _bad(f"{_i}_{f.BONUS}", "10.0::DOUBLE")
+
+
+@query(a.cte(a.eval_units) + f""", c AS (SELECT *, ({_SUB})::DOUBLE AS subtotal, ({_FULL})::DOUBLE AS full_score, {num_comma(Q(f.TOTAL))} AS written FROM eval_units)
+SELECT seq, subtotal, full_score, concat_ws(',', {', '.join(_BAD)},
+  CASE WHEN abs(written - subtotal) > 0.01 THEN concat_ws(':', 'total_differs', '{f.TOTAL}', CAST(written AS VARCHAR), CAST(subtotal AS VARCHAR)) END) AS warnings FROM c""")
 def v2_check_eval_record(spark, sf_dir):
     checked = validation.check_eval_record(rows(spark, sf_dir, a.eval_units))
-    return checked.select("seq", "subtotal", "full_score", F.size("warnings").alias("n_warnings"))
+    text = F.transform("warnings", lambda w: F.concat_ws(":", w["code"], w["field"], w["value"], w["limit"].cast("string")))
+    return checked.select("seq", "subtotal", "full_score", F.array_join(text, ",").alias("warnings"))
 
 
 @query(a.cte(a.supplier_rows) + f"""SELECT seq, {Q(f.COMPANY)} AS company_name_zh, {Q(f.TAX_ID)} AS tax_id, {Q('聯絡人')} AS contact_person, '' AS bank_name,
@@ -214,12 +237,12 @@ def v3_build_supplier(spark, sf_dir):
     return made.select("seq", "company_name_zh", "tax_id", "contact_person", "bank_name", first, F.size("attachments").alias("n_attachments"))
 
 
-_TAX = rf"regexp_replace({Q(f.TAX_ID)}, '\s', '', 'g')"
+_TAX = f"translate({Q(f.TAX_ID)}, '{v.SPACE}', '')"
 
 
 @query(a.cte(a.supplier_rows) + f"""SELECT seq, concat_ws(',', CASE WHEN {strip(Q(f.COMPANY))} = '' THEN 'blank:{f.COMPANY}' END,
   CASE WHEN {strip(Q('聯絡人'))} = '' THEN 'blank:聯絡人' END,
-  CASE WHEN regexp_matches({_TAX}, '^[0-9]+$') AND length({_TAX}) <> 8 THEN 'tax_id_length:{f.TAX_ID}' END) AS warnings FROM supplier_rows""")
+  CASE WHEN regexp_matches({_TAX}, '^[0-9{v.WIDE_DIGITS}]+$') AND length({_TAX}) <> 8 THEN 'tax_id_length:{f.TAX_ID}' END) AS warnings FROM supplier_rows""")
 def v4_supplier_warnings(spark, sf_dir):
     found = validation.supplier_warnings(rows(spark, sf_dir, a.supplier_rows), (f.COMPANY, "聯絡人"))
     return found.select("seq", F.array_join(F.transform("warnings", lambda w: F.concat_ws(":", w["code"], w["field"])), ",").alias("warnings"))

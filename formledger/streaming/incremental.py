@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -21,26 +24,55 @@ def reaggregate_touched(history: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def ingest_stream(stream: DataFrame, history: str, rollups: str, schema: str, checkpoint: str) -> DataStreamWriter:
-    """Each micro-batch of unit rows is appended to the history once, then its suppliers are scored anew.
+    """Each micro-batch of unit rows is one batch of the history, then its suppliers are scored anew.
 
-    Rows carry the number of their batch, and a batch whose number is in the history already is not appended again, so a
-    replay changes nothing. Roll-ups are written as one version a batch; the latest version of a key is the current one.
+    A batch is written under its number, over whatever a broken attempt left, so a replay changes nothing. Roll-ups are
+    written as one version a batch; the latest version of a key is the current one.
     """
 
     def take(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        keyed = batch.withColumns({"record_key": v.eval_record_key(v.column(f.SUPPLIER)), "batch": F.lit(number).cast("long")})
-        full = f"{schema}, record_key string, batch long"
-        before = ledger.read_history(spark, history, full)
-        if before.where(F.col("batch") == number).isEmpty():
-            ledger.append_history(keyed.select(*before.columns), history)
-        keys = touched(batch)
-        scored = scoring.rollups(ledger.read_history(spark, history, full, keys))
+        keyed = batch.withColumn("record_key", v.eval_record_key(v.column(f.SUPPLIER)))
+        full = f"{schema}, record_key string"
+        ledger.append_history(keyed, history, f"{number:010}")
+        scored = scoring.rollups(ledger.read_history(spark, history, full, touched(batch)))
         scored.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{rollups}/batch={number}")
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 
 
+def ingest_suppliers(stream: DataFrame, summary: str, schema: str, checkpoint: str, key: str = f.TAX_ID) -> DataStreamWriter:
+    """A12 for supplier records: each micro-batch is upserted into the summary of the batch before.
+
+    A batch's summary is a version of its own, written over what a broken attempt left; read_summary gives the latest.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        before = read_summary(batch.sparkSession, summary, schema, number)
+        ledger.write_summary(ledger.upsert_summary(before, batch, key), summary, f"{number:010}")
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+
+
+def read_summary(spark: SparkSession, summary: str, schema: str, before: int | None = None) -> DataFrame:
+    """The latest version of a summary, of those before a number if one is given; empty if there is none."""
+    try:
+        rows = spark.read.schema(f"{schema}, version long").parquet(summary)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    there = {int(m[1]) for file in rows.inputFiles() if (m := re.search(r"/version=(\d+)/", file))}
+    last = max((n for n in there if before is None or n < before), default=-1)
+    return rows.where(F.col("version") == last).drop("version")
+
+
+def eval_summary(history: DataFrame, versions: DataFrame, columns: list[str]) -> DataFrame:
+    """A10 on what the stream keeps: all unit rows, and the current roll-up of each supplier as a row of the ledger."""
+    units = scoring.unit_rows(history).select(*[v.column(c) for c in columns])
+    return ledger.eval_summary_table(units, scoring.as_rollup_rows(current_rollups(versions), columns))
+
+
 def current_rollups(versions: DataFrame) -> DataFrame:
     """The latest version of each record key's roll-up."""
     names = [c for c in versions.columns if c not in ("record_key", "batch")]
