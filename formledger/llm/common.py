@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from formledger.sources.intermediate import discard, shared_folder, stored
+
+__all__ = ["discard", "shared_folder", "stored"]
+
 #: The six white-space characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "[\\x20\\x09-\\x0D]"
 WORD_CHARACTER = "[^\\x20\\x09-\\x0D]"
@@ -76,43 +78,7 @@ def summed_before(rows: DataFrame, at: str, value: str, name: str, by: str | Non
     return joined.withColumn(name, F.col("__ahead") + F.col("__inside")).drop("__block", "__by", "__of", "__ahead", "__inside")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables lie: spark.checkpoint.dir. Only a local session may go without it, as in tests."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="formledger-"))
-    return context.getCheckpointDir()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """df with its lineage cut, held where all executors can read it again after a loss."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
-
-
-#: Spark removes a query's shuffle files when it ends, not when the driver happens to collect garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As durable(), but as a Parquet table: compressed, and read column by column. For the larger intermediate tables."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes what stored() wrote, once nothing reads it any more."""
-    for df in tables:
-        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
