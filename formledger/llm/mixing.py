@@ -90,9 +90,10 @@ def when_reached(share: Column, rank: Column, schedules: Sequence[Sequence[float
     return F.when(share <= 0, F.lit(0.0)).when(share <= half, early).otherwise(F.least(late, F.lit(1.0)))
 
 
-def order_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the id's md5: the order of documents in their source."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def order_hash(doc_id: Column, size: Column) -> Column:
+    """The first 60 bits of the md5 of id and size: the order of documents in their source. Rows without an id part by size."""
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), size.cast("string"))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def mix(
@@ -106,7 +107,7 @@ def mix(
 ) -> DataFrame:
     """docs (doc_id, source, size, any others) -> with source_size, target, rank, at (words of the source before it)."""
     docs = docs.drop("source_size", "target", "rank", "at")  # names that this adds
-    keyed = docs.withColumn("__hash", order_hash(F.col("doc_id"))).withColumn("__bucket", F.pmod(F.col("__hash"), F.lit(buckets)))
+    keyed = docs.withColumn("__hash", order_hash(F.col("doc_id"), F.col("size"))).withColumn("__bucket", F.pmod(F.col("__hash"), F.lit(buckets)))
     sums = durable(keyed.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum")))
     sources = targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, budget, least, most)
     # The window by source holds one row a bucket, never one a document.
@@ -158,9 +159,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
-  FROM documents
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 15))::BIGINT AS h
+  FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rank
   FROM d GROUP BY source
