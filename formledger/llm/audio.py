@@ -6,12 +6,13 @@ both, in sizes given by a rule) costs four look-ups a frame; a filter's value is
 16 filters pack into one 32-bit integer a frame.
 
 Search: recordings with equal fingerprints are one class. For every query class, integers shared with another class vote
-for an offset (query frame minus frame); the offsets with the most votes, at least MIN_VOTES, are verified by the share of
-differing bits over the overlap. Only classes of queries meet all classes, never all with all. Integers that are frequent
-are as good as others: their votes are counted before anything is gathered.
+for an offset (query frame minus frame); every offset with MIN_VOTES or more is verified by the share of differing bits over
+the overlap, and the best one of a pair counts. A run of one integer (silence, a held note) votes once, where it begins.
+Only classes of queries meet all classes, never all with all. An integer that very many recordings hold is dealt over
+several tasks by recording, and the queries that hold it go to each of them.
 
 Defined results: null or short recordings have no integers and match nothing; repeated rows fall into one class; ties of
-offsets go to the smallest; an empty table gives no pairs.
+errors go to more votes, then to the smallest offset; an empty table gives no pairs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from formledger.llm.common import durable, table
 RATE, FRAME, HOP = 4000, 1024, 256
 LOWEST, HIGHEST = 100.0, 1600.0
 MIN_VOTES, MAX_ERROR, MIN_OVERLAP = 6, 0.2, 24
+#: Places of one integer that one task may hold.
+HOT_PLACES = 50_000
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -107,19 +110,19 @@ def classes(prints: DataFrame) -> DataFrame:
 
 def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
     """prints (class_id, prints) of distinct classes; queries (class_id). -> query, other, offset, votes, overlap, error."""
-    frames = prints.select("class_id", F.posexplode("prints").alias("at", "value"))
-    # A value that a recording holds many times votes once for each of its places; runs of one value count once.
-    asked = frames.join(queries, "class_id").withColumnRenamed("class_id", "query").withColumnRenamed("at", "q")
-    votes = (
-        asked.join(frames.withColumnRenamed("class_id", "other"), "value")
+    turns = F.filter(F.transform("prints", lambda x, i: F.struct(i.alias("at"), x.alias("value"), F.try_element_at("prints", F.greatest(i, F.lit(1))).alias("last"))), lambda t: (t["at"] == 0) | (t["value"] != t["last"]))
+    frames = prints.select("class_id", F.explode(turns).alias("t")).select("class_id", "t.at", "t.value")
+    hot = frames.groupBy("value").count().where(F.col("count") > HOT_PLACES).select("value", F.ceil(F.col("count") / HOT_PLACES).cast("int").alias("parts"))
+    dealt = frames.join(hot, "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = dealt.join(queries, "class_id").select(F.col("class_id").alias("query"), F.col("at").alias("q"), "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    held = dealt.select(F.col("class_id").alias("other"), "at", "value", F.pmod(F.xxhash64("class_id"), "parts").cast("int").alias("part"))
+    best = (
+        asked.join(held, ["value", "part"])
         .where("query <> other")
         .groupBy("query", "other", (F.col("q") - F.col("at")).alias("offset"))
         .agg(F.count(F.lit(1)).alias("votes"))
         .where(F.col("votes") >= MIN_VOTES)
     )
-    best = votes.groupBy("query", "other").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).select(
-        "query", "other", (-F.col("b.o")).alias("offset"), F.col("b.votes").alias("votes")
-    )
     left = prints.select(F.col("class_id").alias("query"), F.col("prints").alias("x"))
     right = prints.select(F.col("class_id").alias("other"), F.col("prints").alias("y"))
     both = best.join(left, "query").join(right, "other")
@@ -128,12 +131,15 @@ def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
     cut_x = F.slice("x", start + 1, F.col("overlap"))
     cut_y = F.slice("y", F.greatest(F.lit(0), -F.col("offset")) + 1, F.col("overlap"))
     wrong = F.aggregate(F.zip_with(cut_x, cut_y, lambda a, b: F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda s, v: s + v)
-    return (
+    good = (
         both.withColumn("overlap", overlap)
         .where(F.col("overlap") >= MIN_OVERLAP)
         .withColumn("error", wrong / (F.col("overlap") * 32))
         .where(F.col("error") <= MAX_ERROR)
-        .select("query", "other", "offset", "votes", "overlap", F.round("error", 6).alias("error"))
+    )
+    first = F.min(F.struct("error", (-F.col("votes")).alias("v"), "offset", "overlap")).alias("m")
+    return good.groupBy("query", "other").agg(first).select(
+        "query", "other", "m.offset", (-F.col("m.v")).alias("votes"), "m.overlap", F.round("m.error", 6).alias("error")
     )
 
 
