@@ -8,7 +8,7 @@ is an ordinary skewed key of an inner join, which adaptive execution splits.
 
 Defined results: a null or hostless URL matches nothing; a null fetch day matches nothing; repeated rows are judged alike;
 same-day entries take effect in the order add, remove (so a remove wins); repeated adds prolong, they do not nest; an
-empty list blocks nothing.
+empty list blocks nothing; a host of more than LONGEST_HOST characters is no host; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,9 +20,14 @@ from pyspark.sql import functions as F
 from formledger.llm.common import table
 
 
+#: Fixed value: characters that a host name may have; so a host has a bounded number of parent domains.
+LONGEST_HOST = 253
+
+
 def host(url: Column) -> Column:
-    """Lower-case host without user, port or a final dot; "" if there is none."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?:[:/?#]|$)", 1))
+    """Lower-case host without user, port or a final dot; "" if there is none, or it is longer than a host name may be."""
+    name = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?:[:/?#]|$)", 1))
+    return F.when(F.length(name) <= LONGEST_HOST, name).otherwise("")
 
 
 def patterns(name: Column) -> Column:
@@ -46,13 +51,13 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
     """captures (page_id, url, day) -> page_id, host, day, blocked, n_entries and the most specific pattern in force."""
-    named = captures.withColumn("host", host(F.col(url))).withColumn("row", F.monotonically_increasing_id())
+    named = captures.select("page_id", host(F.col(url)).alias("host"), F.col(day).alias("day"))
     keys = named.where("host <> ''").select(
-        "host", F.col(day).alias("day"), F.explode(patterns(F.col("host"))).alias("pattern")
+        "host", "day", F.explode(patterns(F.col("host"))).alias("pattern")
     ).distinct()  # one row a host and day, however many captures share them
     in_force = keys.join(intervals(entries), "pattern").where("day >= since AND (until IS NULL OR day < until)")
     judged = in_force.groupBy("host", "day").agg(F.count(F.lit(1)).alias("n"), F.max_by("pattern", F.length("pattern")).alias("pattern"))
-    return named.withColumnRenamed(day, "day").join(judged, ["host", "day"], "left").select(
+    return named.join(judged, ["host", "day"], "left").select(
         "page_id",
         "host",
         "day",
@@ -67,9 +72,10 @@ _DAYS = 365
 
 
 def entries_of(pages: DataFrame) -> DataFrame:
-    """A dated list derived from the pages' hosts: two in five hosts are added, half of these removed, some added again."""
+    """A dated list derived from the pages' hosts and their parent domains: two in five are added, half of these removed, some
+    added again."""
     h = F.conv(F.substring(F.md5(F.col("pattern").cast("binary")), 1, 8), 16, 10).cast("long")
-    hosts = pages.select(host(F.col("url")).alias("pattern")).where("pattern <> ''").distinct()
+    hosts = pages.select(host(F.col("url")).alias("host")).where("host <> ''").select(F.explode(patterns(F.col("host"))).alias("pattern")).distinct()
     added = hosts.where(h % 5 < 2).withColumn("first", (h % 97).cast("int"))
     log = F.array(
         F.struct(F.lit("add").alias("action"), F.col("first").alias("day")),
@@ -88,10 +94,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH p AS (
   SELECT page_id, (page_id * 7919 % 365)::INT AS day,
-         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?:[:/?#]|$)', 1)) AS host
-  FROM pages
+         CASE WHEN length(name) <= 253 THEN name ELSE '' END AS host
+  FROM (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?:[:/?#]|$)', 1)) AS name FROM pages)
 ), h AS (
-  SELECT DISTINCT host AS pattern FROM p WHERE host <> ''
+  SELECT DISTINCT unnest(list_transform(range(1, greatest(len(string_split(host, '.')), 2)),
+         lambda x: array_to_string(list_slice(string_split(host, '.'), x, len(string_split(host, '.'))), '.'))) AS pattern
+  FROM p WHERE host <> ''
 ), c AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 8))::BIGINT AS h FROM h), a AS (SELECT *, (h % 97)::INT AS first FROM c WHERE h % 5 < 2),
 e AS (
   SELECT pattern, 'add' AS action, first AS day FROM a
