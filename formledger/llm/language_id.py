@@ -5,7 +5,8 @@ FEATURES columns; log-damped counts times inverse document frequencies, scaled t
 counted over all labelled training documents, in one pass that sums fixed-size vectors.
 
 Training: follow the regularised leader with per-coordinate rates and an elastic net (L1 keeps the weights sparse), on a
-bounded sample: the training documents whose id's hash lies below a threshold set for SAMPLE of them, whatever the table's size. It is dealt to SHARDS tasks; after
+bounded sample: an expected SAMPLE training rows, picked by a hash of the row below a threshold of each language's own, so that all
+languages have alike many, or all that there are, whatever the table's size. It is dealt to SHARDS tasks; after
 each of EPOCHS passes the shards' states are averaged. A temperature is then fitted on sampled documents that training
 did not see.
 
@@ -51,12 +52,12 @@ def grams(text: str) -> np.ndarray | None:
     """The hashed n-grams of a text's letters, blanks once; None if it has no letter."""
     if not _FOLD:
         _FOLD.append(_letters())
-    points = _FOLD[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    points = np.append(_FOLD[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], np.uint32(32))
     blank = points == 32
     if blank.all():
         return None
     keep = ~(blank & np.concatenate(([True], blank[:-1])))
-    points = np.concatenate((points[keep], [np.uint32(32)])).astype(np.uint32)
+    points = points[keep]
     out, h = [], np.zeros(len(points), np.uint32)
     for n in ORDERS:
         h = (h[: len(points) - n + 1] * np.uint32(0x01000193)) ^ (points[n - 1 :] * np.uint32(0x9E3779B1))
@@ -145,22 +146,34 @@ class Model:
         return self.classes[best], float(p[best])
 
 
+def quotas(sizes: dict[str, int], sample: int) -> dict[str, int]:
+    """How many rows of each language are expected in a sample: alike many, all of those with fewer."""
+    out, left = {}, sample
+    for i, c in enumerate(sorted(sizes, key=lambda c: (sizes[c], c))):
+        out[c] = min(sizes[c], -(-left // (len(sizes) - i)))
+        left = max(0, left - out[c])
+    return out
+
+
 def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Model:
     """docs (doc_id, text, lang): the rows that may teach."""
     docs = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull())
     spark = docs.sparkSession
     total, df = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + df)) + 1
-    classes = sorted(r[0] for r in docs.select(label).distinct().collect())
+    sizes = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}  # a row a language
+    classes = sorted(sizes)
     if not classes or not total:
         return Model([], idf, np.zeros((0, FEATURES + 1)), 1.0)
     known = spark.sparkContext.broadcast((idf, {c: i for i, c in enumerate(classes)}))
     span = 1 << 40
-    picked = docs.select("text", F.col(label).alias("label"), F.xxhash64("doc_id").alias("h"))
-    picked = picked.where(F.pmod("h", F.lit(span)) < F.lit(min(span, span * sample // total)))
+    shares = F.create_map(*[F.lit(x) for c, n in quotas(sizes, sample).items() for x in (c, min(span, span * n // sizes[c]))])
+    # The row is hashed too, so that one repeated or missing id is not picked, or left out, as a whole.
+    picked = docs.select("text", F.col(label).alias("label"), F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("h"))
+    picked = picked.where(F.pmod("h", F.lit(span)) < F.element_at(shares, F.col("label")))
     # A tenth is kept for the temperature; the rest is dealt to the shards.
     dealt = picked.withColumn("shard", F.when(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(10)) == 0, -1).otherwise(F.pmod(F.xxhash64("h"), F.lit(SHARDS))).cast("int"))
-    vectors = dealt.repartition(SHARDS + 1, "shard").mapInPandas(_vectors(known), "shard int, label int, at array<int>, x array<double>").persist()
+    vectors = dealt.repartitionByRange(SHARDS + 1, "shard").mapInPandas(_vectors(known), "shard int, label int, at array<int>, x array<double>").persist()
     z, n = np.zeros((len(classes), FEATURES + 1)), np.zeros((len(classes), FEATURES + 1))
     for epoch in range(EPOCHS):
         state = spark.sparkContext.broadcast((z, n))
