@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formledger.llm.common import durable
+from formledger.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,10 +15,11 @@ def components(links: DataFrame) -> DataFrame:
     adaptive execution may split; no neighbourhood is gathered anywhere. The number of rounds grows with the logarithm
     of the longest path.
     """
-    edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
-        edges = durable(_small_star(_large_star(edges)))
+        old, edges = edges, stored(_small_star(_large_star(edges)))
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formledger.llm.common import durable, table
+from formledger.llm.common import stored, table
 from formledger.llm.graph import components
 
 NGRAM, PERCENT = 5, 80
@@ -259,7 +259,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _links(classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that give the same components as all links do."""
-    lists = durable(_prefixes(classes, percent))
+    lists = stored(_prefixes(classes, percent))
     hub = lists.groupBy("token").agg(
         F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), "id", "n", "s")).alias("h")
     ).select("token", "h.own", "h.id", "h.n", "h.s")
@@ -269,7 +269,7 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
         .select(F.least("x.id", "h.id").alias("a"), F.greatest("x.id", "h.id").alias("b"))
         .distinct()
     )
-    first = durable(_verified(star, classes, percent))
+    first = stored(_verified(star, classes, percent))
     groups = components(first).select(F.col("node").alias("id"), "component")
     named = lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("token").agg(
@@ -279,7 +279,7 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
         F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), "id", "component"))["component"].alias("major"),
     ).where("low <> high").select("token", "major")
     rest = named.join(mixed, "token")
-    rest = durable(rest.join(_differences(rest, hub, classes), "id"))
+    rest = stored(rest.join(_differences(rest, hub, classes), "id"))
     x, y = rest.where("component <> major").alias("x"), rest.alias("y")
     across = (
         x.join(
@@ -302,15 +302,15 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
 def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text, any others) -> one row a row: doc_id, n_shingles, component_id (its group's smallest id)."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    screened = durable(_screen(docs, ngram, percent))
+    screened = stored(_screen(docs, ngram, percent))
     n, low = F.col("n"), least_overlap(F.col("n"), percent)
     emitted = F.least(n, n - low + F.greatest(F.lit(1), F.floor(n / 10)))
     enough = (emitted - F.col("u") >= F.greatest(F.lit(1), F.floor(low / 10))) & (n > 0)
     screened = screened.withColumn("active", (F.col("rows") > 1) | enough)
-    rows = durable(
+    rows = stored(
         _sets(semi(docs, screened.where("active").select("doc"), "doc"), ngram).withColumn("row", F.monotonically_increasing_id())
     )
-    keys = durable(
+    keys = stored(
         rows.where("n > 0").groupBy("key").agg(F.min(F.struct("doc", "row")).alias("r")).select("key", F.col("r.doc").alias("first"), F.col("r.row").alias("id"))
     )
     # Read from the one table of sets each time: a second copy of it would take more disk than the reading costs.
@@ -336,9 +336,9 @@ def keep_first(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> D
 
     Rows of a repeated id stay or go together, equal texts among them once; rows without an id always stay.
     """
-    joined = durable(ngram_join(docs, ngram, percent))
+    joined = stored(ngram_join(docs, ngram, percent))
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = durable(joined.groupBy("doc_id").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("rows")))
+    ids = stored(joined.groupBy("doc_id").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("rows")))
     kept = semi(docs, ids.where("NOT first").select("doc_id"), "doc_id", "left_anti")
     repeated = ids.where("first AND rows > 1 AND doc_id IS NOT NULL").select("doc_id")
     once = semi(kept, repeated, "doc_id").withColumn("__key", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "__key"]).drop("__key")
