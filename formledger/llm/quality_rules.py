@@ -177,5 +177,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 O
        (f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT)::BIGINT AS fail_bits
 FROM f
 """
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLES = {"op10_quality_rules": OP10_SQL}
+
+
+def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy does to all documents, from their bits."""
+    return ablation(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+ABLATION_SQL = f"""
+WITH b AS ({OP10_SQL}), r AS (SELECT unnest({list(RULES)}) AS rule, unnest({[1 << i for i in range(len(RULES))]}) AS bit)
+SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0) AS failed, count(*) FILTER (WHERE fail_bits = bit) AS only_this,
+       count(*) FILTER (WHERE fail_bits & ~bit = 0) AS kept_without
+FROM b CROSS JOIN r GROUP BY rule
+"""
+QUERIES = {"op10_quality_rules": op10_quality_rules, "quality_rules_ablation": quality_rules_ablation}
+ORACLES = {"op10_quality_rules": OP10_SQL, "quality_rules_ablation": ABLATION_SQL}
