@@ -320,6 +320,65 @@ def test_language_of_held_out_texts(spark):
     assert nothing.predict("some text") == ("und", 0.0)
 
 
+def test_sample_by_language(spark, monkeypatch):
+    assert language_id.quotas({"a": 10, "b": 5000, "c": 4000}, 600) == {"a": 10, "c": 295, "b": 295}
+    assert language_id.quotas({"a": 3}, 10) == {"a": 3}
+    # One repeated id and text makes most rows, and a language has few: it is still learned.
+    rows = [(7, "the of and to in is that for it", "en")] * 3000 + [(i, "zu ba ko ri mo ta ne pu " * (1 + i % 3), "xx") for i in range(20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200)
+    assert model.predict("ko ri zu")[0] == "xx" and model.predict("to the of")[0] == "en"
+
+
+def plain_features(text, idf):
+    """TF-IDF of the text's n-grams, one by one."""
+    letters = re.sub(r"\s+", " ", "".join(c.lower() if c.isalpha() else " " for c in text) + " ").lstrip()
+    found = Counter()
+    for n in language_id.ORDERS:
+        for i in range(len(letters) - n + 1):
+            h = 0
+            for c in letters[i : i + n]:
+                h = (h * 0x01000193) % 2**32 ^ ord(c) * 0x9E3779B1 % 2**32
+            h ^= h >> 15
+            found[(h * 0x85EBCA6B + n) % 2**32 >> 17] += 1
+    x = {k: (1 + np.log(c)) * idf[k] for k, c in found.items()}
+    norm = np.sqrt(sum(v * v for v in x.values()))
+    return {k: v / norm for k, v in x.items()}
+
+
+def test_features_and_steps_one_by_one(spark):
+    rng = np.random.default_rng(18)
+    idf = rng.uniform(1, 5, language_id.FEATURES)
+    for text in ("Hello, wörld! hello", "  ÀÉ 12 b", "x"):
+        at, x = language_id.features(text, idf)
+        want = plain_features(text, idf)
+        assert set(at.tolist()) == set(want) and np.allclose(x, [want[k] for k in at.tolist()])
+    docs = spark.createDataFrame([("ab ab",), ("b",), (None,), ("12",)], "text string")
+    total, df = language_id.document_frequencies(docs)
+    assert total == 2 and df.sum() == len(plain_features("ab ab", idf)) + len(plain_features("b", idf))
+    # One pass of FTRL against a plain per-coordinate version.
+    rows = [(np.array([1, 3]), np.array([0.6, 0.8]), 0), (np.array([3, 5]), np.array([1.0, -0.5]), 1), (np.array([1]), np.array([1.0]), 0)]
+    z, n = language_id.ftrl(rows, np.zeros((2, language_id.FEATURES + 1)), np.zeros((2, language_id.FEATURES + 1)))
+    zz, nn = defaultdict(float), defaultdict(float)
+
+    def w(k, j):
+        if abs(zz[k, j]) <= language_id.L1:
+            return 0.0
+        return -(zz[k, j] - np.sign(zz[k, j]) * language_id.L1) / ((language_id.BETA + np.sqrt(nn[k, j])) / language_id.ALPHA + language_id.L2)
+
+    for at, x, label in rows:
+        cells = [*zip(at.tolist(), x.tolist(), strict=True), (language_id.FEATURES, 1.0)]
+        weights = {(k, j): w(k, j) for k in (0, 1) for j, _ in cells}
+        s = [sum(weights[k, j] * v for j, v in cells) for k in (0, 1)]
+        p = np.exp(s) / np.exp(s).sum()
+        for k in (0, 1):
+            for j, v in cells:
+                g = (p[k] - (k == label)) * v
+                sigma = (np.sqrt(nn[k, j] + g * g) - np.sqrt(nn[k, j])) / language_id.ALPHA
+                zz[k, j] += g - sigma * weights[k, j]
+                nn[k, j] += g * g
+    assert all(np.isclose(z[k, j], v) for (k, j), v in zz.items()) and np.isclose(np.abs(z).sum(), sum(map(abs, zz.values())))
+
+
 def test_quality_scores(spark):
     rng = random.Random(9)
     good = [" ".join(rng.choice(["the", "house", "stands", "near", "water,", "and", "was."]) for _ in range(60)) for _ in range(60)]
@@ -497,6 +556,17 @@ def test_intervals(spark):
     assert got == {i * 100 + d: i in (0, 1, 5) and d in (5, 8, 12) for i in range(6) for d in (4, 5, 8, 9, 12)}
 
 
+def test_captures_and_entries_of_all_kinds(spark):
+    captures = [(1, "http://www.A.com/x", 5), (1, "http://www.A.com/x", 5), (None, "http://b.a.com", 5), (2, None, 5), (3, "http://a.com", None), (4, "http://" + "a." * 100_000 + "com/", 5), (5, "", 5), (6, "http://other.org", 5)]
+    captures = spark.createDataFrame([(*c, "h", 0, "p", 1) for c in captures], "page_id long, url string, day int, host string, row int, pattern string, n int")
+    entries = spark.createDataFrame([("a.com", "add", 1, 7), ("www.a.com", "add", 2, 7), (None, "add", 1, 7), ("a.com", None, 3, 7), ("a.com", "add", None, 7), ("a.com", "add", 1, 7)], "pattern string, action string, day int, since int")
+    got = sorted(((r["page_id"], r["blocked"], r["n_entries"], r["pattern"]) for r in url_filter.evaluate(captures, entries).collect()), key=repr)
+    want = [(1, True, 2, "www.a.com"), (1, True, 2, "www.a.com"), (None, True, 1, "a.com"), (2, False, 0, ""), (3, False, 0, ""), (4, False, 0, ""), (5, False, 0, ""), (6, False, 0, "")]
+    assert got == sorted(want, key=repr)
+    assert {r["blocked"] for r in url_filter.evaluate(captures, entries.limit(0)).collect()} == {False}
+    assert url_filter.evaluate(captures.limit(0), entries).count() == 0
+
+
 def test_recordings_align(spark):
     rng = np.random.default_rng(12)
     t = np.arange(audio.RATE // 10) / audio.RATE
@@ -512,6 +582,62 @@ def test_recordings_align(spark):
     assert [(r["query"], r["other"], r["offset"]) for r in found] == [(1, 3, 9)]
 
 
+def recordings(spark, rows):
+    return spark.createDataFrame([(i, None if x is None else bytearray(x.astype("<i2").tobytes()), 1, "x") for i, x in rows], "id long, pcm binary, value int, query string")
+
+
+def plain_matches(prints, queries):
+    """(query, other) -> the least share of differing bits over all offsets with enough overlap, by trying each."""
+    out = {}
+    for q in queries:
+        for o in prints:
+            if q == o:
+                continue
+            x, y = prints[q], prints[o]
+            errors = []
+            for d in range(audio.MIN_OVERLAP - len(y), len(x) - audio.MIN_OVERLAP + 1):
+                a, b = x[max(0, d) :], y[max(0, -d) :]
+                n = min(len(a), len(b))
+                if n >= audio.MIN_OVERLAP:
+                    errors.append((int(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n), d))
+            if errors and min(errors)[0] <= audio.MAX_ERROR:
+                out[q, o] = min(errors)
+    return out
+
+
+@pytest.mark.parametrize("places", [50_000, 3])
+def test_alignment_against_all_offsets(spark, monkeypatch, places):
+    monkeypatch.setattr(audio, "HOT_PLACES", places)  # so that most integers are dealt over several tasks
+    rng = np.random.default_rng(17)
+    t = np.arange(audio.RATE // 10) / audio.RATE
+    song = lambda seed, n=70: np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) for k in np.random.default_rng(seed).integers(0, 12, n)]) * 9000
+    rows = []
+    for k in range(6):
+        a = song(k)
+        rows += [(k, a), (100 + k, 0.6 * a[audio.HOP * (3 * k) :] + rng.normal(0, 120, len(a) - audio.HOP * 3 * k))]
+        # The same tune between stretches of one held note, which all of these share.
+        rest = np.tile(np.sin(2 * np.pi * 440 * t), 25) * 9000
+        rows.append((200 + k, np.concatenate((rest, a, rest))))
+    prints = audio.fingerprints(recordings(spark, rows)).collect()
+    held = {r["id"]: np.array(r["prints"], np.int32).view(np.uint32) for r in prints}
+    single = spark.createDataFrame([(r["id"], r["prints"], 1) for r in prints], "class_id long, prints array<int>, other int").drop("other")
+    found = {(r["query"], r["other"]): (r["error"], r["offset"]) for r in audio.align(single, spark.createDataFrame([(k,) for k in range(6)], "class_id long")).collect()}
+    want = plain_matches(held, range(6))
+    assert set(found) <= set(want)
+    same = [p for p in want if p[0] % 100 == p[1] % 100]
+    assert len(same) == 12 and set(same) <= set(found)  # every other recording of a tune
+    assert len(found) >= 0.9 * len(want)
+    assert all(abs(found[p][0] - want[p][0]) < 1e-6 for p in same)
+
+
+def test_audio_of_nothing(spark):
+    nothing = audio.fingerprints(recordings(spark, [(1, None)]).limit(0))
+    assert nothing.count() == 0 and audio.classes(nothing).count() == 0
+    assert audio.align(nothing.selectExpr("id AS class_id", "prints"), spark.createDataFrame([], "class_id long")).count() == 0
+    odd = audio.fingerprints(recordings(spark, [(None, np.zeros(9000)), (1, np.zeros(9000)), (1, np.zeros(9000)), (2, np.zeros(3)), (3, None)]))
+    assert sorted(((r["id"], r["class_id"]) for r in audio.classes(odd).collect()), key=repr) == [(1, 1), (1, 1), (2, 2), (3, 3), (None, 1)]
+
+
 def test_integral_filters_as_sums():
     rng = np.random.default_rng(13)
     samples = rng.normal(0, 3000, 20_000)
