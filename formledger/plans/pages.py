@@ -229,7 +229,17 @@ def g13_nearest_line_above(spark, sf_dir):
     return lines.nearest_line_above(asked(spark, sf_dir).selectExpr("request", "doc_id", "page_no", "x0", "x1", "expected AS y_top", "120 AS max_up"), rows(spark, sf_dir, runs))
 
 
-@query()
+@query(_ABOVE.replace("WITH ", "WITH RECURSIVE ", 1) + """, i AS (SELECT request, pos, pos - row_number() OVER (PARTITION BY request ORDER BY pos) AS band FROM s),
+b AS (SELECT request, band, min(pos) AS a, max(pos) AS z FROM i GROUP BY 1, 2), l AS (SELECT request, arg_max(((a + z) // 2)::INT, z) AS found FROM b GROUP BY 1),
+o AS (SELECT q.doc_id, expected AS t, found AS y, row_number() OVER (PARTITION BY q.doc_id ORDER BY expected, found) AS n FROM requests q JOIN l ON l.request = q.request),
+c AS (
+  SELECT doc_id, n, t, y, t AS at_t, y AS at_y, true AS ok FROM o WHERE n = 1
+  UNION ALL
+  SELECT doc_id, n, t, y, CASE WHEN ok THEN t ELSE at_t END, CASE WHEN ok THEN y ELSE at_y END, ok FROM (
+    SELECT o.doc_id, o.n, o.t, o.y, c.at_t, c.at_y, o.y > c.at_y AND o.y >= c.at_y + o.t - c.at_t - 40 AND o.y <= c.at_y + o.t - c.at_t + 300 AS ok
+    FROM c JOIN o ON o.doc_id = c.doc_id AND o.n = c.n + 1)
+)
+SELECT doc_id, 1 AS page_no, 'z' AS zone, t AS template_y, y FROM c WHERE ok""")
 def g14_label_line_seeds(spark, sf_dir):
     above = g13_nearest_line_above(spark, sf_dir).join(asked(spark, sf_dir), "request")
     return lines.label_line_seeds(above.selectExpr("doc_id", "page_no", "'z' AS zone", "expected AS template_y", "found AS y"))

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 from formledger.functions import fields as f
-from formledger.operators import ink
+from formledger.operators import ink, ledger
 from formledger.sources import submissions, templates
 from formledger.streaming import incremental
 from tests.test_records import frame, unit
@@ -51,3 +51,58 @@ def test_replayed_stream_changes_nothing(spark, tmp_path):
     assert run("c2") == [("A", 2, 90.0)]  # the same batch number again
     assert spark.read.parquet(str(tmp_path / "history")).count() == 3
     assert f.UNIT in data.columns
+
+
+def test_history_of_several_bucket_counts(spark, tmp_path):
+    path, schema = str(tmp_path / "history"), "seq long, record_key string, note string"
+    rows = spark.createDataFrame([(i, f"k{i % 40}", None) for i in range(200)], schema)
+    assert ledger.read_history(spark, path, schema).count() == 0
+    ledger.append_history(rows.where("seq < 120"), path, "a", buckets=8)
+    ledger.append_history(rows.where("seq >= 120"), path, "b", buckets=3)
+    assert sorted(r["seq"] for r in ledger.read_history(spark, path, schema).collect()) == list(range(200))
+    keys = spark.createDataFrame([("k3",), ("k17",), ("k3",), ("none",)], "record_key string")
+    some = ledger.read_history(spark, path, schema, keys)
+    assert sorted(r["seq"] for r in some.collect()) == [i for i in range(200) if i % 40 in (3, 17)]
+    assert {r["note"] for r in some.collect()} == {""}
+    scan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((" in scan or "bucket" in scan.split("PartitionFilters")[1][:400]  # buckets are pruned before reading
+
+
+def test_half_written_batch_is_replayed_whole(spark, tmp_path):
+    data = frame(spark, [unit(1, "A", "U1", "8"), unit(2, "A", "U2", "10"), unit(3, "B", "U1", "5"), unit(4, "B", "U2", "5")])
+    data.write.parquet(str(tmp_path / "in"))
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in data.schema)
+    # What a crash left of batch 0: one of its rows.
+    keyed = data.where("seq = 2").selectExpr("*", f"`{f.SUPPLIER}` AS record_key")
+    ledger.append_history(keyed, str(tmp_path / "history"), f"{0:010}")
+    stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
+    incremental.ingest_stream(stream, str(tmp_path / "history"), str(tmp_path / "rollups"), schema, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    history = ledger.read_history(spark, str(tmp_path / "history"), schema)
+    assert sorted(r["seq"] for r in history.collect()) == [1, 2, 3, 4]
+    versions = spark.read.parquet(str(tmp_path / "rollups"))
+    assert sorted((r["record_key"], r["total"]) for r in incremental.current_rollups(versions).collect()) == [("A", 90.0), ("B", 50.0)]
+    table = incremental.eval_summary(history, versions, [f.SUPPLIER, f.UNIT, f.TOTAL])
+    assert sorted(tuple(r) for r in table.collect() if r[1].startswith(f.ROLLUP_PREFIX)) == [("A", "彙總(U1、U2)", "90.0"), ("B", "彙總(U1、U2)", "50.0")]
+    assert table.count() == 6
+
+
+def test_supplier_summary_in_a_stream(spark, tmp_path):
+    schema = f"seq long, `{f.TAX_ID}` string, name string"
+    for n, rows in enumerate(([(1, "a", "x"), (2, "", "y")], [(3, "a", "z"), (4, "b", "w")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for checkpoint in ("c", f"again{n}"):  # the second time from the start, as after a loss of the checkpoint
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            incremental.ingest_suppliers(stream, str(tmp_path / "summary"), schema, str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
+    got = incremental.read_summary(spark, str(tmp_path / "summary"), schema)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", "z"), (2, "", "y"), (4, "b", "w")]
+
+
+def test_template_tables(spark):
+    made = templates.parse_templates(spark.createDataFrame([("t", """{"versions": [{"template": "n", "detect_hline": {"y_range": [1, 9], "page_top_line": 4}}, {"template": "no"}],
+      "zones": {"z": {"anchor_left": 5, "ocr_anchors": {"9": "A|B"}, "type": "rows", "row_boundaries": [5, 9, 12], "row_search_radii": [[30, 30], 7]}},
+      "fields": [{"name": "g", "type": "checkbox_group", "options": [{"label": "x", "zone": "z", "box": [1, 2, 3, 4]}, {"label": "y", "page": 2}]}]}""")], "template string, json string"))
+    tables = templates.all_tables(made)
+    assert [tuple(r) for r in tables.versions.collect()] == [("t", 0, "n", 1, 1, 9, 0.5, 4)]
+    assert [(r["opt_no"], r["label"], r["page"], r["zone"], r["box"]) for r in tables.options.orderBy("opt_no").collect()] == [(0, "x", None, "t/z", [1, 2, 3, 4]), (1, "y", 2, None, None)]
+    assert [(r["template_y"], r["radius_back"], r["radius_fwd"], r["pair"], r["ocr_label"]) for r in tables.lines.orderBy("line_no").collect()] == [(5, 40, 40, False, None), (9, 30, 30, True, "A|B"), (12, 7, 7, False, None)]
+    assert [(r["zone"], r["type"], r["anchor_left"]) for r in tables.zones.collect()] == [("t/z", "rows", 5)]

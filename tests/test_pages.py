@@ -110,3 +110,52 @@ def test_box_off_the_lines_is_set_aside(spark):
     maps = spark.createDataFrame([(1, 1, "z", 20, 25), (1, 1, "z", 40, 45)], "doc_id long, page_no int, zone string, template_y int, found int")
     good, lost = lines.remap_boxes(fields, maps)
     assert good.count() == 0 and lost.count() == 1
+
+
+def test_slack_and_pairs_of_steps():
+    # The first search widens by 4 % of the way from the top line, where the template has one.
+    zone, asked = {"anchor_left": 0, "anchor_right": 200, "dy": 0}, []
+
+    class Watched(ink.Page):
+        def first_anchor(self, x, expected, gap, radius, check):
+            asked.append((expected, gap, radius))
+            return expected
+
+    for top in (None, 50, 400):
+        Watched(np.zeros((0, 3), int)).walk(zone | {"page_top_line": top}, [(400, 10, 10, False), (450, 10, 10, False)], {})
+    assert asked == [(400, 50, 10), (400, 50, 24), (400, 50, 10)]
+    # A step given as a pair is looked at again a gap further down if there is no ink below what was found, be its radii alike or not.
+    bare = ink.Page(np.array([[100, 0, 200], [150, 0, 200], [215, 0, 200], *[[y, 20, 60] for y in range(110, 122)], *[[y, 20, 60] for y in range(225, 240)]]))
+    assert bare.walk(zone, [(100, 5, 5, False), (150, 8, 8, False), (200, 8, 8, False)], {100: 100})[150] == 150
+    assert bare.walk(zone, [(100, 5, 5, False), (150, 20, 20, True), (200, 8, 8, False)], {100: 100})[150] == 215
+
+
+def test_outermost_band(spark):
+    strengths = spark.createDataFrame([(1, p, 10) for p in (5, 6, 7, 20, 40, 41)], "request long, pos int, strength long")
+    asked = spark.createDataFrame([(1, 18), (2, 33)], "request long, expected int")
+    for side, place in (("left", 6), ("right", 40)):
+        assert {r["request"]: r["found"] for r in lines.pick_line(asked, strengths, True, None, side).collect()} == {1: place, 2: 33}
+    excluded = spark.createDataFrame([(1, 19)], "request long, pos int")
+    assert {r["request"]: r["found"] for r in lines.pick_line(asked, strengths, True, excluded).collect()} == {1: 7, 2: 33}
+
+
+def test_empty_and_crossed_boxes(spark):
+    runs = spark.createDataFrame([(1, 1, "h", 50, 0, 100)], "doc_id long, page_no int, axis string, pos int, start int, end int")
+    gaps = spark.createDataFrame([("a", 1, 1, 0, 100, 40, 20), ("b", 1, 1, 10, 10, 40, 20), ("c", 1, 1, 0, 300, 40, 20)], "box string, doc_id long, page_no int, x0 int, x1 int, y0 int, gap int")
+    assert {r["box"]: r["crosses"] for r in lines.has_crossing_line(gaps, runs).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_boxes_of_all_kinds(spark):
+    """G18 on a page whose rules are known: a zoneless field, a plain zone, a row zone with each refinement."""
+    runs = [(1, 1, "v", x, 0, 400) for x in (18, 102, 222)] + [(1, 1, "h", y, 0, 230) for y in (42, 83)] + [(1, 1, "h", 90, 100, 222)]
+    runs = spark.createDataFrame(runs, "doc_id long, page_no int, axis string, pos int, start int, end int")
+    fields = [("free", None, "text", False, 1, 2, 3, 4), ("plain", "p", "text", False, 10, 20, 30, 40), ("snapped", "r", "text", False, 100, 40, 220, 80), ("ticked", "r", "checkbox_single", False, 100, 40, 220, 80),
+              ("refined", "r", "text", True, 100, 80, 220, 120), ("lost", "r", "text", False, 0, 41, 9, 80)]
+    fields = spark.createDataFrame([(n, 1, 1, *r) for n, *r in fields], "field string, doc_id long, page_no int, zone string, type string, column_refine boolean, x0 int, y0 int, x1 int, y1 int")
+    transforms = spark.createDataFrame([(1, 1, "p", 0, 5, 2.0, 0, 7, 0.5, 0, 100, None, None), (1, 1, "r", 20, 19, 1.0, None, None, None, 20, 220, None, True)],
+        "doc_id long, page_no int, zone string, tx0 int, left int, x_scale double, ty0 int, top int, y_scale double, anchor_left int, anchor_right int, row_local_x boolean, snap_cell_x boolean")
+    maps = spark.createDataFrame([(1, 1, "r", 40, 42), (1, 1, "r", 80, 83), (1, 1, "r", 120, 124)], "doc_id long, page_no int, zone string, template_y int, found int")
+    found, lost = lines.resolve_boxes(fields, transforms, maps, runs)
+    got = {r["field"]: (r["x0"], r["y0"], r["x1"], r["y1"]) for r in found.collect()}
+    assert got == {"free": (1, 2, 3, 4), "plain": (25, 17, 65, 27), "snapped": (102, 42, 222, 83), "ticked": (99, 42, 219, 83), "refined": (102, 83, 222, 124)}
+    assert [r["field"] for r in lost.collect()] == ["lost"]

@@ -123,3 +123,55 @@ def test_empty_tables(spark):
     rows = frame(spark, [unit(1, "A", "U1")]).limit(0)
     assert validation.check_eval_record(rows).count() == 0
     assert scoring.rollups(rows.withColumn("record_key", F.lit("x"))).count() == 0
+
+
+WIDE, HARD = "\u3000", "\u00a0"  # the ideographic and the no-break space
+
+
+def test_all_white_space_counts(spark):
+    assert one(spark, v.stripped(F.col("t")), t=f"{WIDE} a{WIDE}b {HARD}\x1f") == f"a{WIDE}b"
+    assert one(spark, v.to_number(F.col("t")), t=f"{WIDE}７.5{HARD}") == 7.5
+    assert one(spark, v.parse_number(F.col("t")), t=f"{HARD}1,０００") == 1000.0
+    assert one(spark, v.supplier_record_key(F.col("i"), F.col("c")), i=f"{WIDE}12", c=HARD) == "12"
+    assert one(spark, v.eval_record_key(F.col("c")), c=f"{WIDE}A{HARD}") == "A"
+    assert one(spark, v.eval_record_key(F.col("c")), c=WIDE) == f.UNNAMED
+    rows = spark.createDataFrame([(1, f"1234{WIDE}567", WIDE), (2, f"{HARD}12345678", "x"), (3, "１２３", "x")], f"seq int, `{f.TAX_ID}` string, name string")
+    found = {r["seq"]: [w["code"] for w in r["warnings"]] for r in validation.supplier_warnings(rows, ("name",)).collect()}
+    assert found == {1: ["blank", "tax_id_length"], 2: [], 3: ["tax_id_length"]}
+    two = [unit(1, "A", "U1", f"{WIDE}8"), unit(2, f"A{WIDE}", "U2", "10")]
+    assert rolled(spark, two)["A"]["total"] == 90.0
+    assert validation.check_eval_record(frame(spark, two[:1])).first()["subtotal"] == 80.0
+
+
+def test_absent_columns_are_blank(spark):
+    rows = spark.createDataFrame([(1, "7", "x")], f"seq int, `a1_{f.SCORE}` string, `e1_{f.BONUS}` string")
+    checked = validation.check_eval_record(rows).first()
+    assert (checked["subtotal"], checked["full_score"]) == (7.0, 0.0)
+    assert [(w["code"], w["field"], w["value"]) for w in checked["warnings"]] == [("not_a_number", f"e1_{f.BONUS}", "x")]
+    assert checked.asDict().keys() == {"seq", f"a1_{f.SCORE}", f"e1_{f.BONUS}", "subtotal", "full_score", "warnings"}
+    made = validation.build_evaluation(rows, ("seq",)).first()
+    assert made["supplier_name"] == "" and made["items"]["a1"]["score"] == "7" and made["unit_subtotal"] == 7.0
+    assert validation.build_supplier(rows, ("seq",)).first()["tax_id"] == ""
+    assert len(validation.supplier_warnings(rows, ("none",)).first()["warnings"]) == 1
+
+
+def test_warnings_in_order(spark):
+    cells_ = {f"a1_{f.SCORE}": "12", f"a2_{f.LIMIT}": "x", f"a3_{f.SCORE}": "9", f"e2_{f.BONUS}": "11", f.TOTAL: "50"}
+    found = validation.check_eval_record(frame(spark, [unit(1, "A", "U1", "", **cells_)])).first()
+    assert [(w["code"], w["field"], w["value"], w["limit"]) for w in found["warnings"]] == [
+        ("over_limit", f"a1_{f.SCORE}", "12.0", 10.0), ("not_a_number", f"a2_{f.LIMIT}", "x", None), ("over_limit", f"e2_{f.BONUS}", "11.0", 10.0),
+        ("total_differs", f.TOTAL, "50.0", 22.0),
+    ]
+
+
+def test_corrections(spark):
+    held = spark.createDataFrame([(1, "x", "old"), (1, "y", "kept")], "doc_id long, field string, value string")
+    fixed = spark.createDataFrame([(1, "x", "second", 2), (1, "x", "first", 1), (1, "z", "added", 1), (2, "x", "", 1)], "doc_id long, field string, value string, seq int")
+    got = sorted(tuple(r) for r in cells.apply_corrections(held, fixed).collect())
+    assert got == [(1, "x", "second"), (1, "y", "kept"), (1, "z", "added"), (2, "x", "")]
+
+
+def test_default_options(spark):
+    held = spark.createDataFrame([(1, "g", ""), (2, "g", "b"), (3, "h", "")], "doc_id long, field string, value string")
+    options = spark.createDataFrame([("g", 1, "b"), ("g", 0, "a")], "field string, opt_no int, label string")
+    assert sorted(tuple(r) for r in cells.default_options(held, options).collect()) == [(1, "g", "a"), (2, "g", "b"), (3, "h", "")]
