@@ -16,8 +16,8 @@ share at least l within their first m - o + l and n - o + l. A set of size n nee
 
 Defined results: null or empty texts have no shingles and are linked with nothing; a text with fewer than n words is one
 shingle; a null id comes last among ids; repeated rows and repeated ids are documents of their own; an empty table gives
-no rows. Shingles are told apart by 64 bits of a fold of
-their words' BLAKE2 digests.
+no rows. Shingles are told apart by a 64-bit fold of
+their words' XXH3 digests.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formledger.llm.common import stored, table
+from formledger.llm.common import coded_words, slices, stored, table
 from formledger.llm.graph import components
 
 NGRAM, PERCENT = 5, 80
@@ -40,33 +41,8 @@ MATCHES = 6
 BROADCAST_IDS = 1_000_000
 #: Stands for a null id within; the largest long, so that real ids come first.
 NO_ID = (1 << 63) - 1
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Words whose hashes a worker keeps: up to so many bytes of them, long words left out.
-KEPT_BYTES, KEPT_WORD = 1 << 24, 64
-
-
-class WordHashes(dict):
-    """Word -> 64 bits of its BLAKE2 digest, kept for the words met last."""
-
-    held = 0
-
-    def __missing__(self, word: bytes) -> int:
-        number = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= KEPT_WORD:
-            if self.held > KEPT_BYTES:
-                self.clear()
-                self.held = 0
-            self[word] = number
-            self.held += len(word) + 64
-        return number
-
-    def of(self, tokens: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
-
-
-_hashes = WordHashes()
-
-
+#: Bytes of text that a task shingles at once.
+SLICE_BYTES = 4 << 20
 def folded(hashes: Sequence[np.ndarray]) -> np.ndarray:
     """One number for each row of equally long arrays of hashes, by turns of adding, multiplying and shifting: no sum of them,
     so that sequences whose differences cancel out stay apart."""
@@ -77,13 +53,21 @@ def folded(hashes: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
+def shingle_sets(texts: pa.Array, n: int = NGRAM) -> Iterator[np.ndarray]:
+    """For each text, the sorted hashes of the distinct n-word sequences of the whole of it, A-Z lower-cased."""
+    ends, at, words = coded_words(texts)
+    found = words.to_numpy(zero_copy_only=False).tolist()
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))[at]
+    whole = folded([each[i : len(each) - n + 1 + i] for i in range(n)]).view(np.int64) if len(each) >= n else np.empty(0, np.int64)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if b - a >= n:
+            yield np.unique(whole[a : b - n + 1])
+        else:
+            yield folded([each[i : i + 1] for i in range(a, b)]).view(np.int64) if b > a else np.empty(0, np.int64)
+
+
 def shingles(text: str | None, n: int = NGRAM) -> np.ndarray:
-    """The sorted hashes of the distinct n-word sequences of the whole text, A-Z lower-cased."""
-    tokens = text.encode().translate(LOWER).split() if text else ()
-    if not tokens:
-        return np.empty(0, np.int64)
-    words, k = _hashes.of(tokens), min(n, len(tokens))
-    return np.unique(folded([words[i : len(words) - k + 1 + i] for i in range(k)]).view(np.int64))
+    return next(shingle_sets(pa.array([text], pa.string()), n))
 
 
 def least_overlap(n, percent: int):
@@ -95,13 +79,6 @@ def _screen_length(n: int, percent: int) -> int:
     return min(n, n - least_overlap(n, percent) + max(1, n // 10))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        columns = [batch.column(i) for i in range(batch.num_columns)]
-        for i in range(batch.num_rows):
-            yield tuple(c[i].as_py() for c in columns)
-
-
 def _screen(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     """(doc, n, u, rows): set size, how many of the emitted shingles nobody else emits, rows with this id."""
 
@@ -114,16 +91,16 @@ def _screen(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
                 ["token", "doc", "n"],
             )
 
-        for doc, mark, text in _texts(batches):
-            found = shingles(text, ngram)
-            part = np.append(found[: _screen_length(len(found), percent)], mark)
-            tokens.append(part)
-            ids.append(np.full(len(part), doc, np.int64))
-            sizes.append(np.full(len(part), len(found), np.int32))
-            held += len(part)
-            if held >= 1 << 18:
-                yield out()
-                tokens, ids, sizes, held = [], [], [], 0
+        for rows in slices(batches, SLICE_BYTES):
+            for doc, mark, found in zip(rows.column("doc").to_pylist(), rows.column("mark").to_pylist(), shingle_sets(rows.column("text"), ngram), strict=True):
+                part = np.append(found[: _screen_length(len(found), percent)], mark)
+                tokens.append(part)
+                ids.append(np.full(len(part), doc, np.int64))
+                sizes.append(np.full(len(part), len(found), np.int32))
+                held += len(part)
+                if held >= 1 << 18:
+                    yield out()
+                    tokens, ids, sizes, held = [], [], [], 0
         if held:
             yield out()
 
@@ -166,12 +143,13 @@ def _sets(docs: DataFrame, ngram: int) -> DataFrame:
             )
 
         rows, held = [], 0
-        for doc, text in _texts(batches):
-            rows.append((doc, shingles(text, ngram)))
-            held += len(rows[-1][1]) + 1
-            if held >= 1 << 18:
-                yield out()
-                rows, held = [], 0
+        for part in slices(batches, SLICE_BYTES):
+            for doc, found in zip(part.column("doc").to_pylist(), shingle_sets(part.column("text"), ngram), strict=True):
+                rows.append((doc, found))
+                held += len(found) + 1
+                if held >= 1 << 18:
+                    yield out()
+                    rows, held = [], 0
         if rows:
             yield out()
 
