@@ -21,6 +21,7 @@ WORD_CHARACTER = "[^\\x20\\x09-\\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,14 +44,38 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: The bytes of a batch between Spark and Python: both sides hold several of them beside all else.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4MB"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of the session, unless it has a bound of its own; Spark's default is 64 MB."""
+    if spark.conf.get(_BATCH, "64MB").lower() in ("67108864b", "67108864", "64mb", "64m"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut into parts of about ``size`` bytes of text; a longer text comes alone."""
+    """The rows of all batches again, in parts of about ``size`` bytes of text; a longer text comes alone."""
+    held, total = [], 0
     for batch in batches:
-        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64) + 64)
+        held.append(batch)
+        total += batch.column(text).nbytes
+        if total >= size:
+            yield from _cut(held, size, text)
+            held, total = [], 0
+    yield from _cut(held, size, text)
+
+
+def _cut(batches: list[pa.RecordBatch], size: int, text: str) -> Iterator[pa.RecordBatch]:
+    for whole in pa.Table.from_batches(batches).combine_chunks().to_batches() if batches else ():
+        upto = np.cumsum(pc.fill_null(pc.binary_length(whole.column(text)), 0).to_numpy().astype(np.int64) + 64)
+        if not len(upto):
+            continue
+        step = int(upto[-1]) // max(1, round(int(upto[-1]) / size)) + 1  # equal parts
         at = 0
-        while at < batch.num_rows:
-            until = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
-            yield batch.slice(at, until - at)
+        while at < len(upto):
+            until = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + step, side="right")))
+            yield whole.slice(at, until - at)
             at = until
 
 

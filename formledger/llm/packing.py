@@ -19,9 +19,8 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import compress
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -39,12 +38,8 @@ BUCKET_TOKENS, OVERDRAW = 1 << 21, 256
 STRIDE = 1 << 32
 #: A place is the number of a file and, in the lower bits, of a row in it.
 PLACE_BITS = 40
-#: Bytes of chunks, and of words, whose ids a worker keeps in each half of its two caches; longer ones than LONGEST_KEPT
-#: characters are not kept.
-KEPT_CHUNKS, KEPT_WORDS, LONGEST_KEPT = 28 << 20, 12 << 20, 64
-#: What an entry takes beside its characters; bytes of text whose chunks are looked up at once, words that are encoded at
-#: once, and texts that are laid out at once.
-ENTRY_BYTES, SLICE_BYTES, BATCH_WORDS, SLICE_TEXTS = 200, 8 << 20, 20_000, 256
+#: Bytes of text whose chunks are told apart at once, words that are encoded at once, and texts that are laid out at once.
+SLICE_BYTES, BATCH_WORDS, SLICE_TEXTS = 8 << 20, 20_000, 256
 BROADCAST_BLOCKS = 1_000_000
 #: How the tokenizer parts a chunk without special tokens into words.
 _WORD = regex.compile(r"(?i)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -54,33 +49,6 @@ _MARKS = ".,;:!?#$%&*"
 _cache: dict[str, tuple] = {}
 
 
-class Recent:
-    """The entries met last, in two halves: what is still in use comes back from the older one."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.older, self.held = most, {}, {}, 0
-
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        """Those of the distinct keys that are not in the young half now; those of the older half move there."""
-        if self.held > self.most:
-            self.young, self.older, self.held = {}, self.young, 0
-        missing = [k for k in keys if k not in self.young]
-        if self.older and missing:
-            again = [k for k in missing if k in self.older]
-            self.add(again, map(self.older.__getitem__, again))
-            missing = [k for k in missing if k not in self.older]
-        return missing
-
-    def add(self, keys: list[str], values: Iterable[bytes]) -> None:
-        self.held += 2 * sum(map(len, keys)) + ENTRY_BYTES * len(keys)
-        self.young.update(zip(keys, values, strict=True))
-
-    def drop_long(self, keys: Iterable[str]) -> None:
-        for key in keys:
-            if len(key) > LONGEST_KEPT and self.young.pop(key, None) is not None:
-                self.held -= 2 * len(key) + ENTRY_BYTES
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -100,7 +68,7 @@ def encoder(path: str):
     text's end; and that dtype.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its white-space-separated
-    chunks; each distinct chunk is encoded once. (Only the six ASCII spaces part chunks: other ones stay within.)
+    chunks; each distinct chunk of many texts is encoded once. (Only the six ASCII spaces part chunks: other ones stay within.)
     """
     if path not in _cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark runs the others
@@ -114,76 +82,70 @@ def encoder(path: str):
         bare = Tokenizer(model.model)
         bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         bare = bare if ids_by(bare, _PROBE) == ids_by(model, _PROBE) else model
-        _cache[path] = (model, bare, np.dtype("<u2" if len(last) <= 1 << 16 else "<u4"), last, Recent(KEPT_CHUNKS), Recent(KEPT_WORDS))
-    model, bare, dtype, last, kept, parts = _cache[path]
+        _cache[path] = (model, bare, np.dtype("<u2" if len(last) <= 1 << 16 else "<u4"), last)
+    model, bare, dtype, last = _cache[path]
 
-    def cuts_of(texts: list[str]) -> tuple[bytes, list[int]]:
-        """The ids of all texts as bytes, and where each text's begin and end."""
+    def cuts_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each one's end (0 first)."""
         joined = "\n".join(texts)
         if "<|" not in joined:  # a special token is no word
-            found = ids_by(model, joined)
             # A text of letters is one word of the tokenizer; others are split by its rule.
             counts = [1 if t.isalpha() and t.lower().isalpha() else len(_WORD.findall(unicodedata.normalize("NFC", t))) for t in texts]
-            ids = np.array(found, dtype)
+            ids = np.array(ids_by(model, joined), dtype)
             ends = np.concatenate(([0], np.flatnonzero(last[ids]) + 1))  # a word's last piece says so
             bounds = np.cumsum([0, *counts])
             if len(ends) == bounds[-1] + 1 and ends[-1] == len(ids):
-                return ids.tobytes(), ends[bounds].tolist()
+                return ids, ends[bounds]
         found = model.encode(joined, add_special_tokens=False)
         begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-        return np.array(found.ids, dtype).tobytes(), np.searchsorted(begins, np.cumsum([0] + [len(t) + 1 for t in texts])).tolist()
-
-    def ids_of(words: set[str]) -> dict[str, bytes] | None:
-        """A table with the ids of these words, each a single one for the tokenizer; None if it sees them otherwise."""
-        missing = parts.missing(words)
-        for at in range(0, len(missing), BATCH_WORDS):
-            some = missing[at : at + BATCH_WORDS]
-            text = "\n".join(some)
-            ids = np.array(ids_by(bare if unicodedata.is_normalized("NFC", text) and not any(c in text for c in _MARKS) else model, text), dtype)
-            ends = (np.concatenate(([0], np.flatnonzero(last[ids]) + 1)) * dtype.itemsize).tolist()
-            if len(ends) != len(some) + 1:
-                return None
-            raw = ids.tobytes()
-            parts.add(some, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])))
-        return parts.young
-
-    def learn(chunks: list[str]) -> None:
+        return np.array(found.ids, dtype), np.searchsorted(begins, np.cumsum([0] + [len(t) + 1 for t in texts]))
+
+    def words_of(words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """As cuts_of, for words of letters, or of marks, alone; None if the tokenizer sees them otherwise."""
+        text = "\n".join(words)
+        plain = unicodedata.is_normalized("NFC", text) and not any(c in text for c in _MARKS)
+        ids = np.array(ids_by(bare if plain else model, text), dtype)
+        ends = np.concatenate(([0], np.flatnonzero(last[ids]) + 1))
+        return (ids, ends) if len(ends) == len(words) + 1 else None
+
+    def pieces_of(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two numbers for each chunk, and the ids and lengths of what they stand for; 0 stands for nothing."""
         # Most chunks are letters with marks behind them: two words of the tokenizer, which drops case. (Not so with a
         # sigma, whose lower case depends on its place.)
-        other = [c for c in chunks if "\u03a3" in c]
-        chunks = [c for c in chunks if "\u03a3" not in c] if other else chunks
         low = "\n".join(chunks).lower().split("\n") if chunks else []
         stems = [x.rstrip(_MARKS) for x in low]
-        plain = [not x or x.isalpha() for x in stems]
         marks = [x[len(y) :] for x, y in zip(low, stems, strict=True)]
-        words = set(compress(stems, plain)).union(compress(marks, plain))
-        words.discard("")
-        found = ids_of(words)
-        if found is None:
-            other += chunks
-        else:
-            found[""] = b""
-            kept.add(list(compress(chunks, plain)), map(add, map(found.__getitem__, compress(stems, plain)), map(found.__getitem__, compress(marks, plain))))
-            other += [c for c, p in zip(chunks, plain, strict=True) if not p]
-            parts.drop_long(words)
+        plain = [(not y or y.isalpha()) and "\u03a3" not in c for c, y in zip(chunks, stems, strict=True)]
+        ids, lengths, number = [np.zeros(0, dtype)], [np.zeros(1, np.int64)], {"": 0}
+        for words in (set(compress(stems, plain)), set(compress(marks, plain))):
+            words = list(words.difference(number))
+            for at in range(0, len(words), BATCH_WORDS):
+                some = words[at : at + BATCH_WORDS]
+                if found := words_of(some):
+                    number.update(zip(some, range(len(number), len(number) + len(some)), strict=True))
+                    ids.append(found[0])
+                    lengths.append(np.diff(found[1]))
+        if len(ids) > 1 and len(number) < len(set(compress(stems, plain)).union(compress(marks, plain), [""])):
+            plain = [p and y in number and m in number for p, y, m in zip(plain, stems, marks, strict=True)]
+        is_plain = np.array(plain, bool)
+        first, second = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        first[is_plain] = np.fromiter(map(number.__getitem__, compress(stems, plain)), np.int64)
+        second[is_plain] = np.fromiter(map(number.__getitem__, compress(marks, plain)), np.int64)
+        other = [c for c, p in zip(chunks, plain, strict=True) if not p]
+        first[~is_plain] = len(number) + np.arange(len(other))
         for at in range(0, len(other), BATCH_WORDS):
-            some = other[at : at + BATCH_WORDS]
-            raw, cuts = cuts_of(some)
-            n = dtype.itemsize
-            kept.add(some, (raw[n * a : n * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)))
+            found, ends = cuts_of(other[at : at + BATCH_WORDS])
+            ids.append(found)
+            lengths.append(np.diff(ends))
+        return first, second, np.concatenate(ids), np.concatenate(lengths)
 
     def encode(texts: pa.Array, end_id: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if missing := kept.missing(chunks):
-            learn(missing)
-        values = list(map(kept.young.__getitem__, chunks))
-        kept.drop_long(missing)
+        first, second, ids, lengths = pieces_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         if end_id is not None:
-            values.append(np.array([end_id], dtype).tobytes())
-        ids = np.frombuffer(b"".join(values), dtype)
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // dtype.itemsize
+            first, second = np.append(first, len(lengths)), np.append(second, 0)
+            ids, lengths = np.append(ids, np.array([end_id], dtype)), np.append(lengths, 1)
         starts = np.cumsum(lengths) - lengths
         offsets, indices = split.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy()
         offsets = offsets - offsets[0]
@@ -192,11 +154,12 @@ def encoder(path: str):
             at = indices[some[0] : some[-1]]
             some = some - some[0]
             if end_id is not None:  # one more chunk behind each text
-                at = np.insert(at, some[1:], len(values) - 1)
+                at = np.insert(at, some[1:], len(first) - 1)
                 some = some + np.arange(len(some))
-            n = lengths[at]
+            each = np.stack((first[at], second[at]), 1).ravel()
+            n = lengths[each]
             ends = np.concatenate(([0], np.cumsum(n)))
-            yield begin, ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])], ends[some]
+            yield begin, ids[np.repeat(starts[each] - ends[:-1], n) + np.arange(ends[-1])], ends[2 * some]
 
     return encode, dtype
 

@@ -698,8 +698,6 @@ def test_long_and_many_words(monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "_cache", {})
-    for name in ("KEPT_CHUNKS", "KEPT_WORDS"):
-        monkeypatch.setattr(packing, name, 20_000)  # so that the halves turn over
     monkeypatch.setattr(packing, "BATCH_WORDS", 40)
     monkeypatch.setattr(packing, "SLICE_TEXTS", 3)
     encode, _ = packing.encoder(packing.default_tokenizer())
