@@ -6,12 +6,13 @@ run() writes each stage as Parquet and reads it again for the next, so that a lo
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formledger.llm import mixing, ngram_join, packing, quality_rules, secret_scan
-from formledger.llm.common import n_words, shared_folder
+from formledger.llm.common import n_words, shared_folder, small_batches
 
 
 def _whole(docs: DataFrame):
@@ -46,12 +47,25 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, place=packing.place_in_files()).withColumn("ids_crc32", F.crc32("ids"))
 
 
+
+
+def _settled(stage):
+    """stage, with the session's batches bounded."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality),
-    ("ngram_join", near_duplicates),
-    ("secret_scan", secrets),
-    ("mixing", mix),
-    ("packing", pack),
+    ("quality_rules", _settled(quality)),
+    ("ngram_join", _settled(near_duplicates)),
+    ("secret_scan", _settled(secrets)),
+    ("mixing", _settled(mix)),
+    ("packing", _settled(pack)),
 ]
 #: Tokenizing cannot be told in SQL: tests compare with a brute-force version.
 ORACLE_SQL = None
