@@ -416,7 +416,24 @@ def o3_assign_symbols_to_slots(spark, sf_dir):
     return tokens.assign_symbols_to_slots(rows(spark, sf_dir, symbols), rows(spark, sf_dir, slots)).select("event_id", "sheet_id", "slot")
 
 
-@query()
+_OVERLAP = "(least({0}.{2}1, {1}.{2}1) - greatest({0}.{2}0, {1}.{2}0))"
+_AREA = "(greatest(0, {0}.x1 - {0}.x0) * greatest(0, {0}.y1 - {0}.y0))"
+_SAME = " AND ".join((
+    "k.text = o.cell.text", _OVERLAP.format("k", "o.cell", "x") + " > 0", _OVERLAP.format("k", "o.cell", "y") + " > 0",
+    _OVERLAP.format("k", "o.cell", "x") + " * " + _OVERLAP.format("k", "o.cell", "y") + f" > 0.5 * greatest(least({_AREA.format('k')}, {_AREA.format('o.cell')}), 1)",
+))
+
+
+@query(a.cte(symbols, slots).replace("WITH ", "WITH RECURSIVE ", 1) + f""", s AS (SELECT *, (floor((y0 + y1) / 2 / slot_h) * 6 + floor((x0 + x1) / 2 / slot_w))::BIGINT AS slot FROM symbols),
+o AS (SELECT sheet_id, slot, row_number() OVER (PARTITION BY sheet_id, slot ORDER BY x0, y0, x1, y1, text) AS n, struct_pack(text := text, x0 := x0, y0 := y0, x1 := x1, y1 := y1) AS cell
+  FROM s WHERE EXISTS (SELECT 1 FROM slots p WHERE p.sheet_id = s.sheet_id AND p.slot = s.slot)),
+r AS (
+  SELECT sheet_id, slot, n, [cell] AS kept FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.sheet_id, o.slot, o.n, CASE WHEN len(list_filter(kept, lambda k: {_SAME})) > 0 THEN kept ELSE list_append(kept, o.cell) END
+  FROM r JOIN o ON o.sheet_id = r.sheet_id AND o.slot = r.slot AND o.n = r.n + 1
+), f AS (SELECT sheet_id, slot, arg_max(array_to_string(list_transform(kept, lambda k: k.text), ''), n) AS value FROM r GROUP BY 1, 2)
+SELECT p.sheet_id, p.slot, coalesce(value, '') AS value FROM slots p LEFT JOIN f ON f.sheet_id = p.sheet_id AND f.slot = p.slot""")
 def o4_dedupe_symbols(spark, sf_dir):
     held = rows(spark, sf_dir, slots)
     return tokens.dedupe_symbols(tokens.assign_symbols_to_slots(rows(spark, sf_dir, symbols), held), held)

@@ -17,6 +17,6 @@ def test_same_rows_as_sql(spark, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", ["g1_ink_runs", "g11_row_sequence", "g18_resolve_boxes", "o4_dedupe_symbols"])
+@pytest.mark.parametrize("name", ["g1_ink_runs", "g11_row_sequence", "g18_resolve_boxes"])
 def test_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, SMALL).count() > 0
