@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formledger.llm.common import coded_words, slices, stored, table
+from formledger.llm.common import coded_words, discard, slices, stored, table
 from formledger.llm.graph import components
 
 NGRAM, PERCENT = 5, 80
@@ -235,8 +235,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _links(classes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes that give the same components as all links do."""
+def _links(classes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between classes that give the same components as all links do, and the stored tables they are read from."""
     lists = stored(_prefixes(classes, percent))
     hub = lists.groupBy("token").agg(
         F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), "id", "n", "s")).alias("h")
@@ -274,11 +274,16 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
         .where("matches >= l")
         .select("a", "b")
     )
-    return first.unionByName(_verified(across, classes, percent))
+    return first.unionByName(_verified(across, classes, percent)), [lists, first, rest, groups]
 
 
 def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text, any others) -> one row a row: doc_id, n_shingles, component_id (its group's smallest id)."""
+    return _joined(docs, ngram, percent)[0]
+
+
+def _joined(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """As ngram_join(), and the stored tables that the result is read from."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     screened = stored(_screen(docs, ngram, percent))
     n, low = F.col("n"), least_overlap(F.col("n"), percent)
@@ -293,7 +298,9 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> D
     )
     # Read from the one table of sets each time: a second copy of it would take more disk than the reading costs.
     classes = semi(rows.select(F.col("row").alias("id"), "n", "tokens"), keys.select("id"), "id")
-    groups = components(_links(classes, percent)).select(F.col("node").alias("id"), "component")
+    links, used = _links(classes, percent)
+    groups = components(links).select(F.col("node").alias("id"), "component")
+    discard(*used)
     named = keys.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(least, "component").select("key", "component_id")
@@ -304,9 +311,8 @@ def ngram_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> D
     )
     alone = screened.where("NOT active").select("doc", F.col("n").cast("long").alias("n"), F.col("doc").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return found.unionByName(alone).select(
-        real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id")
-    )
+    out = found.unionByName(alone).select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"))
+    return out, [screened, rows, keys, groups]
 
 
 def keep_first(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -314,9 +320,10 @@ def keep_first(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> D
 
     Rows of a repeated id stay or go together, equal texts among them once; rows without an id always stay.
     """
-    joined = stored(ngram_join(docs, ngram, percent))
+    joined, used = _joined(docs, ngram, percent)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = stored(joined.groupBy("doc_id").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("rows")))
+    discard(*used)
     kept = semi(docs, ids.where("NOT first").select("doc_id"), "doc_id", "left_anti")
     repeated = ids.where("first AND rows > 1 AND doc_id IS NOT NULL").select("doc_id")
     once = semi(kept, repeated, "doc_id").withColumn("__key", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "__key"]).drop("__key")
