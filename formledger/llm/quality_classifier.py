@@ -183,7 +183,7 @@ def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = durable(measured(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    labels = table(spark, sf_dir, "labels").where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("long").alias("label"))
+    labels = table(spark, sf_dir, "labels").where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("long").alias("label")).distinct()
     train = durable(rows.where(fold(F.col("doc_id"), 5) != 0).join(labels, "doc_id").select("label", "x"))
     held = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
     return scored(rows, fit(train)).select("doc_id", held, "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -27,7 +27,7 @@ from formledger.llm import (
     url_filter,
 )
 
-from formledger.llm.common import summed_before
+from formledger.llm.common import coded_words, slices, summed_before
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, n int, row int, token string, component string"
@@ -710,3 +710,22 @@ def test_long_and_many_words(monkeypatch):
         for _, ids, ends in encode(pa.array(["cut off", *made], pa.string())[1:], 1):
             got += [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         assert got == [[*model.encode(t or "", add_special_tokens=False).ids, 1] for t in made]
+
+
+def test_slices_keep_all_rows():
+    rng = random.Random(19)
+    made = [None if rng.random() < 0.1 else "x" * rng.choice((0, 3, 40, 5000)) for _ in range(300)]
+    frame = [(i, t) for i, t in enumerate(made)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string())], ["row", "text"]) for part in (frame[:7], [], frame[7:8], frame[8:200], frame[200:])]
+    for size in (1, 2000, 1 << 20):
+        parts = list(slices(iter(batches), size))
+        assert [r for p in parts for r in zip(p.column("row").to_pylist(), p.column("text").to_pylist(), strict=True)] == frame
+        assert all(p.num_rows for p in parts)
+    assert list(slices(iter([]), 10)) == [] and list(slices(iter(batches[1:2]), 10)) == []
+
+
+def test_coded_words():
+    texts = ["A b  a", None, "", " \x0b\x1c É", "b\n"]
+    ends, at, words = coded_words(pa.array(["cut", *texts], pa.string())[1:])
+    names = words.to_pylist()
+    assert [[names[k].decode() for k in at[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [["a", "b", "a"], [], [], ["\x1c", "É"], ["b"]]
