@@ -442,7 +442,8 @@ def number(word):
 @pytest.mark.parametrize(("known", "train"), [(300_000, "coalesce(doc_id, 0) % 2 = 1"), (3, "coalesce(doc_id, 0) % 2 = 1"), (3, "true"), (3, "false")])
 def test_language_model_scores(spark, monkeypatch, known, train):
     monkeypatch.setattr(pitman_yor, "KNOWN_WORDS", known)  # so that most words, and pairs, go by the join
-    monkeypatch.setattr(pitman_yor, "KNOWN_PAIRS", known)
+    for name in ("SCORED_WORDS", "SCORED_PAIRS"):
+        monkeypatch.setattr(pitman_yor, name, known)
     monkeypatch.setattr(pitman_yor, "BITS", 20)
     made = [(200 + i, " ".join(random.Random(i).choices(["red", "cat", "sat", "on", "the", "mat.", "É1"], k=i % 9))) for i in range(60)]
     docs = awkward(spark).select("doc_id", "text", "token").union(spark.createDataFrame([(*r, "x") for r in made], "doc_id long, text string, token string"))
