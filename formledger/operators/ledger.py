@@ -6,18 +6,16 @@ place of its first. Rows without a key are never compared, so the window never s
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from formledger.functions import fields as f
 from formledger.functions import values as v
-
-BUCKETS = 64
+from formledger.operators import keyed
+from formledger.operators.keyed import BUCKETS
 
 
 def align_to_header(rows: DataFrame, header: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -64,40 +62,43 @@ def eval_summary_table(units: DataFrame, rollups: DataFrame) -> DataFrame:
     return units.unionByName(rollups.select(*[v.column(c) for c in units.columns]))
 
 
-def bucket_of(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
 def append_history(rows: DataFrame, path: str, batch: str, buckets: int = BUCKETS) -> None:
     """Appends one batch by name. A batch of the same name is replaced as a whole, so a repeated or broken write does no harm.
 
     Files are split by a hash of the record key, not by key, so that they stay few; how many buckets there are is kept with them.
     """
-    rows.withColumns({"of": F.lit(buckets), "bucket": bucket_of(F.col("record_key"), buckets)}).repartition("bucket").write.mode("overwrite").partitionBy("of", "bucket").parquet(
-        f"{path}/batch={batch}"
-    )
+    keyed.append(rows, path, batch, buckets)
 
 
 def read_history(spark: SparkSession, path: str, schema: str, keys: DataFrame | None = None) -> DataFrame:
-    """The history by name, nulls as ""; empty if there is none yet. keys (record_key): only these; other buckets are not read."""
-    try:
-        rows = spark.read.schema(f"{schema}, batch string, of int, bucket int").option("basePath", path).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """The history by name, nulls as ""; empty if there is none yet. keys (record_key): only these; other buckets are not opened."""
+    folders = keyed.history_folders(spark, path, keys)
+    if not folders:
         return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, batch string, of int, bucket int").option("basePath", path).parquet(*folders)
     if keys is not None:
-        used = F.lit(False)
-        for n in sorted({int(m[1]) for file in rows.inputFiles() if (m := re.search(r"/of=(\d+)/", file))}):
-            # n numbers at most, and literals, so that partitions are pruned before anything is read.
-            wanted = [r[0] for r in keys.select(bucket_of(F.col("record_key"), n)).distinct().collect()]
-            used = used | ((F.col("of") == n) & F.col("bucket").isin(wanted))
-        rows = rows.where(used).join(keys.select("record_key").distinct(), "record_key", "left_semi")
+        rows = rows.join(keys.select("record_key").distinct(), "record_key", "left_semi")
     return rows.select(*[v.column(c) for c in spark.createDataFrame([], schema).columns]).na.fill("")
 
 
-def write_summary(rows: DataFrame, folder: str, version: str) -> str:
-    """A new version beside the old ones, never over the path being read; returns its path for the caller to keep."""
-    path = f"{folder}/version={version}"
-    rows.write.mode("overwrite").parquet(path)
-    return path
+def summary_table(spark: SparkSession, path: str, schema: str, key: str = f.TAX_ID, buckets: int = BUCKETS) -> keyed.KeyedTable:
+    """A summary as a table by key: a batch is one delta, and only the buckets that it touches are ever written anew.
+
+    schema: seq and the header's columns; seqs grow from batch to batch. The last row of a key stands at the place of its first; rows
+    without a key stay each, and are dealt by their place.
+    """
+    given = v.blank(v.column(key)) != ""
+
+    def latest(rows: DataFrame) -> DataFrame:
+        same = W.partitionBy(v.column(key))
+        ranked = rows.where(given).withColumns({"__n": F.row_number().over(same.orderBy(F.desc("__order"), F.desc("seq"))), "__first": F.min("seq").over(same)})
+        return ranked.where("__n = 1").withColumn("seq", F.col("__first")).drop("__n", "__first").unionByName(rows.where(~given))
+
+    return keyed.KeyedTable(spark, path, schema, key, latest, buckets, F.when(given, v.column(key)).otherwise(F.col("seq").cast("string")))
+
+
+def write_summary(rows: DataFrame, table: keyed.KeyedTable, batch: str) -> None:
+    """Rows go into a summary under the batch's name, in the summary's own columns (A2)."""
+    header = [c for c in table.columns if c != "seq"]
+    table.add(align_to_header(rows, header, keep=("seq",)), batch)
+    table.fold()

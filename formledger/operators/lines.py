@@ -123,10 +123,15 @@ def page_y_offset(pages: DataFrame, runs: DataFrame, zones: DataFrame) -> DataFr
     )
 
 
-def detect_template_version(documents: DataFrame, runs: DataFrame, rules: DataFrame) -> DataFrame:
+def detect_template_version(documents: DataFrame, runs: DataFrame, rules: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
     """Documents (doc_id, template, width, dy) and rules (template, version_no, version_template, page, y_from, y_to,
-    min_width_frac) -> (doc_id, template): the first version whose rule line is there, else the template itself."""
+    min_width_frac) -> (doc_id, template): the first version whose rule line is there, else the template itself.
+
+    offsets (doc_id, version_no, width, dy): each rule's own page width and shift, in place of one a document.
+    """
     asked = documents.join(rules, "template")  # a few rows a template: adaptive execution broadcasts them if so
+    if offsets is not None:
+        asked = asked.drop("width", "dy").join(offsets, ["doc_id", "version_no"])
     r = runs.where("axis = 'h'").select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), "pos", (F.col("end") - F.col("start")).alias("length"))
     there = asked.join(
         r,

@@ -62,6 +62,53 @@ def rollups(rows: DataFrame, key: str = "record_key", order: str = "seq") -> Dat
     return total_and_grade(min_units_gate(means))
 
 
+_ITEMS = [(i, f"{i}_{f.SCORE}") for i in f.EVAL_ITEMS] + [(i, f"{i}_{f.BONUS}") for i in f.BONUS_ITEMS]
+PARTIAL = (
+    "record_key string, n_rows long, first_seq long, supplier string, category string, units array<string>, people array<struct<seq:long,p:string>>, day string, "
+    + ", ".join(f"{i}_sum double, {i}_n long" for i, _ in _ITEMS)
+)
+
+
+def partials(rows: DataFrame, key: str = "record_key", order: str = "seq") -> DataFrame:
+    """A3, A5, A6, A8 as sums, counts and sets that can be merged: unit rows in, one row a record key out (PARTIAL)."""
+    filled = lambda c: F.when(v.blank(v.column(c)) != "", v.column(c))
+    number = lambda c: v.to_number(v.column(c))
+    person = F.when(filled(f.PERSON).isNotNull(), F.struct(F.col(order).cast("long").alias("seq"), v.column(f.PERSON).alias("p")))
+    return unit_rows(rows).groupBy(F.col(key).alias("record_key")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(F.col(order).cast("long")).alias("first_seq"), F.min_by(v.column(f.SUPPLIER), order).alias("supplier"),
+        F.min_by(v.column(f.CATEGORY), order).alias("category"), F.collect_set(filled(f.UNIT)).alias("units"), F.collect_list(person).alias("people"), F.max(v.blank(v.column(f.DATE))).alias("day"),
+        *[x for i, c in _ITEMS for x in (F.sum(number(c)).alias(f"{i}_sum"), F.count(number(c)).alias(f"{i}_n"))],
+    )
+
+
+def merged_partials(rows: DataFrame) -> DataFrame:
+    """Partials of several batches, each row of the history being in one of them -> one row a record key."""
+    return rows.groupBy("record_key").agg(
+        F.sum("n_rows").alias("n_rows"), F.min("first_seq").alias("first_seq"), F.min_by("supplier", "first_seq").alias("supplier"), F.min_by("category", "first_seq").alias("category"),
+        F.array_distinct(F.flatten(F.collect_list("units"))).alias("units"), F.flatten(F.collect_list("people")).alias("people"), F.max("day").alias("day"),
+        *[F.sum(f"{i}_{x}").alias(f"{i}_{x}") for i, _ in _ITEMS for x in ("sum", "n")],
+    )
+
+
+def rollups_of(merged: DataFrame) -> DataFrame:
+    """The same rows as rollups() gives, from merged partials alone."""
+    mean = lambda i: F.when(F.col(f"{i}_n") > 0, F.col(f"{i}_sum") / F.col(f"{i}_n"))
+    capped = lambda i: F.when(mean(i).isNotNull(), F.least(mean(i), F.lit(float(f.BONUS_CAP))))
+    people = F.transform(F.array_sort("people"), lambda x: x["p"])
+    made = min_units_gate(merged).select(
+        "record_key", "n_rows", *[mean(i).alias(f"{i}_mean") for i in f.EVAL_ITEMS], *[capped(i).alias(f"{i}_mean") for i in f.BONUS_ITEMS],
+        F.col("supplier").alias(f.SUPPLIER), F.col("category").alias(f.CATEGORY),
+        F.concat(F.lit(f.ROLLUP_PREFIX), F.array_join(F.array_sort("units"), "、"), F.lit(")")).alias(f.UNIT), F.array_join(people, "、").alias(f.PERSON), F.col("day").alias(f.DATE),
+    )
+    return total_and_grade(made)
+
+
+ROLLUP = (
+    "record_key string, n_rows long, " + ", ".join(f"{i}_mean double" for i, _ in _ITEMS) + f", `{f.SUPPLIER}` string, `{f.CATEGORY}` string, `{f.UNIT}` string, `{f.PERSON}` string, "
+    f"`{f.DATE}` string, total double, total_shown double, grade string"
+)
+
+
 def as_rollup_rows(rolled: DataFrame, columns: list[str]) -> DataFrame:
     """Roll-ups in the columns of the evaluation ledger: numbers as text with one decimal, all else ""."""
     text = lambda c: v.blank(F.bround(c, 1).cast("string"))

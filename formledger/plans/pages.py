@@ -64,7 +64,7 @@ def _kept(low: str, high: str, k: str) -> str:
 def strength(asked: str, ladder=lines.LADDER, axis: str = "h", p: str = "") -> str:
     """CTEs that end in s(request, pos, strength), their names prefixed by p."""
     steps = " UNION ALL ".join(
-        f"SELECT request, {i} AS step, pos, {_kept('x0', 'x1', f'greatest(floor((x1 - x0) * {share}), 10)')} AS kept FROM {p}z q JOIN runs r "
+        f"SELECT request, {i} AS step, pos, {_kept('x0', 'x1', f'greatest(floor((x1 - x0) * {share}::DOUBLE), 10)')} AS kept FROM {p}z q JOIN runs r "
         f"ON r.doc_id = q.doc_id AND r.page_no = q.page_no AND axis = '{axis}' AND pos >= lo AND pos < hi"
         for i, share in enumerate(ladder)
     )

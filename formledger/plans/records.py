@@ -72,19 +72,26 @@ def i3_supported_format(spark, sf_dir):
     return rows(spark, sf_dir, a.submissions).select("doc_id", intake.file_format(F.col("file_name"), F.col("html").cast("binary")).alias("format"))
 
 
-_PAGES = "SELECT user_id AS doc_id, CASE WHEN user_id % 2 = 0 THEN 'supplier_form' ELSE 'supplier_evaluation' END AS document_type, CAST(event_id % 3 + 1 AS INT) AS page_no FROM {} WHERE event_id % 40 < user_id % 3 + 1 GROUP BY 1, 2, 3"
+_PAGES = """
+      SELECT b * 3 + CASE WHEN k = 0 THEN 0 WHEN k < 3 THEN 1 ELSE 2 END AS doc_id, CASE WHEN b % 2 = 0 THEN 'supplier_form' ELSE 'supplier_evaluation' END AS document_type,
+             CAST(k - CASE WHEN k = 0 THEN 0 WHEN k < 3 THEN 1 ELSE 3 END + 1 AS INT) AS page_no
+      FROM (SELECT CAST(floor(event_id / 6) AS BIGINT) AS b, event_id % 6 AS k FROM {})"""
 
 
 def pages_of(q, t) -> str:
+    """Documents of one, two and three pages: every event is a page."""
     return _PAGES.format(t("events"))
 
 
 @query(a.cte(pages_of) + """, c AS (SELECT doc_id, document_type, count(*) AS n FROM pages_of GROUP BY 1, 2),
 j AS (SELECT *, CASE document_type WHEN 'supplier_form' THEN 1 ELSE 2 END AS needed FROM c)
-SELECT p.doc_id, p.document_type, page_no, n AS n_pages, needed, CASE WHEN n > needed THEN 'cut' ELSE 'ok' END AS status
-FROM pages_of p JOIN j ON p.doc_id = j.doc_id AND p.document_type = j.document_type WHERE n >= needed AND page_no <= needed""")
+SELECT p.doc_id, p.document_type, page_no, n AS n_pages, needed, CASE WHEN n > needed THEN 'cut' WHEN n < needed THEN 'rejected' ELSE 'ok' END AS status
+FROM pages_of p JOIN j ON p.doc_id = j.doc_id AND p.document_type = j.document_type WHERE page_no <= needed""")
 def i4_check_page_count(spark, sf_dir):
-    return intake.check_page_count(rows(spark, sf_dir, pages_of))
+    """The pages to read, and those of documents that are rejected."""
+    pages = rows(spark, sf_dir, pages_of)
+    read, aside = intake.check_page_count(pages)
+    return read.unionByName(pages.join(aside, ["doc_id", "document_type"]))
 
 
 @query(a.cte(a.submissions) + """

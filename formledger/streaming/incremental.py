@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from formledger.functions import fields as f
 from formledger.functions import values as v
-from formledger.operators import ledger, scoring
+from formledger.operators import keyed, ledger, scoring
 
 
 def touched(batch: DataFrame) -> DataFrame:
@@ -23,58 +20,61 @@ def reaggregate_touched(history: DataFrame, batch: DataFrame) -> DataFrame:
     return scoring.rollups(history.join(touched(batch), "record_key", "left_semi"))
 
 
-def ingest_stream(stream: DataFrame, history: str, rollups: str, schema: str, checkpoint: str) -> DataStreamWriter:
-    """Each micro-batch of unit rows is one batch of the history, then its suppliers are scored anew.
+def partial_table(spark: SparkSession, path: str, buckets: int = keyed.BUCKETS) -> keyed.KeyedTable:
+    """A11 without the history: each batch's sums, counts and sets by record key, merged when read."""
+    return keyed.KeyedTable(spark, path, scoring.PARTIAL, "record_key", scoring.merged_partials, buckets)
+
+
+def rollup_table(spark: SparkSession, path: str, buckets: int = keyed.BUCKETS) -> keyed.KeyedTable:
+    """The current roll-up of each record key: the last one written."""
+    names = [c.split()[0].strip("`") for c in scoring.ROLLUP.split(", ") if not c.startswith("record_key")]
+
+    def latest(rows: DataFrame) -> DataFrame:
+        last = rows.groupBy("record_key").agg(F.max_by(F.struct(*[v.column(c) for c in names]), "__order").alias("r"))
+        return last.select("record_key", *[F.col("r").getField(c).alias(c) for c in names])
+
+    return keyed.KeyedTable(spark, path, scoring.ROLLUP, "record_key", latest, buckets)
+
+
+def rescored(table: keyed.KeyedTable, batch: DataFrame) -> DataFrame:
+    """Roll-ups of the record keys in the batch, from their partials alone: the cost goes by the keys touched, not by their histories
+    (but for the list of people, which a roll-up shows in full)."""
+    return scoring.rollups_of(table.read(touched(batch)))
+
 
-    A batch is written under its number, over whatever a broken attempt left, so a replay changes nothing. Roll-ups are
-    written as one version a batch; the latest version of a key is the current one.
+def ingest_stream(stream: DataFrame, history: str, partials: str, rollups: str, schema: str, checkpoint: str) -> DataStreamWriter:
+    """Each micro-batch of unit rows is one batch of the history and one delta of the partials; its suppliers are scored anew from these.
+
+    A batch is written under its number, over whatever a broken attempt left, so a replay changes nothing. Small batches are merged as
+    they pile up.
     """
+    full = f"{schema}, record_key string"
 
     def take(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        keyed = batch.withColumn("record_key", v.eval_record_key(v.column(f.SUPPLIER)))
-        full = f"{schema}, record_key string"
-        ledger.append_history(keyed, history, f"{number:010}")
-        scored = scoring.rollups(ledger.read_history(spark, history, full, touched(batch)))
-        scored.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{rollups}/batch={number}")
+        name = f"{number:010}"
+        rows = batch.withColumn("record_key", v.eval_record_key(v.column(f.SUPPLIER)))
+        ledger.append_history(rows, history, name)
+        sums, scored = partial_table(spark, partials), rollup_table(spark, rollups)
+        sums.add(scoring.partials(rows), name)
+        scored.add(rescored(sums, batch), name)
+        keyed.compact(spark, history, full)
+        sums.fold()
+        scored.fold()
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 
 
 def ingest_suppliers(stream: DataFrame, summary: str, schema: str, checkpoint: str, key: str = f.TAX_ID) -> DataStreamWriter:
-    """A12 for supplier records: each micro-batch is upserted into the summary of the batch before.
-
-    A batch's summary is a version of its own, written over what a broken attempt left; read_summary gives the latest.
-    """
+    """A12 for supplier records: each micro-batch is one delta of the summary (A1, S6), under its number."""
 
     def take(batch: DataFrame, number: int) -> None:
-        before = read_summary(batch.sparkSession, summary, schema, number)
-        ledger.write_summary(ledger.upsert_summary(before, batch, key), summary, f"{number:010}")
+        ledger.write_summary(batch, ledger.summary_table(batch.sparkSession, summary, schema, key), f"{number:010}")
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 
 
-def read_summary(spark: SparkSession, summary: str, schema: str, before: int | None = None) -> DataFrame:
-    """The latest version of a summary, of those before a number if one is given; empty if there is none."""
-    try:
-        rows = spark.read.schema(f"{schema}, version long").parquet(summary)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    there = {int(m[1]) for file in rows.inputFiles() if (m := re.search(r"/version=(\d+)/", file))}
-    last = max((n for n in there if before is None or n < before), default=-1)
-    return rows.where(F.col("version") == last).drop("version")
-
-
-def eval_summary(history: DataFrame, versions: DataFrame, columns: list[str]) -> DataFrame:
+def eval_summary(history: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """A10 on what the stream keeps: all unit rows, and the current roll-up of each supplier as a row of the ledger."""
     units = scoring.unit_rows(history).select(*[v.column(c) for c in columns])
-    return ledger.eval_summary_table(units, scoring.as_rollup_rows(current_rollups(versions), columns))
-
-
-def current_rollups(versions: DataFrame) -> DataFrame:
-    """The latest version of each record key's roll-up."""
-    names = [c for c in versions.columns if c not in ("record_key", "batch")]
-    latest = versions.groupBy("record_key").agg(F.max(F.struct("version", *[c for c in names if c != "version"])).alias("r"))
-    return latest.select("record_key", *[F.col("r").getField(c).alias(c) for c in names])
+    return ledger.eval_summary_table(units, scoring.as_rollup_rows(current, columns))
