@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from formledger.sources.intermediate import discard, shared_folder, stored
+from formledger.sources.intermediate import discard, scratch, shared_folder, stored
 
-__all__ = ["discard", "shared_folder", "stored"]
+__all__ = ["discard", "scratch", "shared_folder", "stored"]
 
 #: The six white-space characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "[\\x20\\x09-\\x0D]"

@@ -497,30 +497,56 @@ def test_frequent(spark):
 
 
 def test_spellings_add_up():
-    model, rng = pitman_yor.Spelling(), np.random.default_rng(2)
+    model = pitman_yor.Spelling()
     code, _, _ = pitman_yor.spelled([b"ab", b"abc", b"b", b"", b"zz1"])
     cells, n = np.unique(code, return_counts=True)
-    for _ in range(3):
-        model = model.swept(cells, n, rng)
+    for sweep in range(3):
+        model = model.swept(cells, n, sweep)
     for a, b in ((0, 0), (1, 0), (2, 1), (26, 26)):
         assert abs(model.probability(np.arange(64) | a << 6 | b << 12).sum() - 1) < 1e-9
 
 
 def test_seatings():
-    rng = np.random.default_rng(3)
+    draws = lambda n, sweep=3: pitman_yor.Draws(np.arange(n) * 977 - 5000, sweep)
     # Three customers: weights of 1, 2 and 3 tables are (1-d)(2-d), 3(1-d)a and a^2.
     d, a = 0.5, 0.7
     want = np.array([(1 - d) * (2 - d), 3 * (1 - d) * a, a * a])
-    got = np.bincount(pitman_yor.seat(np.full(40_000, 3), np.full(40_000, a), d, rng), minlength=4)[1:] / 40_000
+    got = np.bincount(pitman_yor.seat(np.full(40_000, 3), np.full(40_000, a), d, draws(40_000)), minlength=4)[1:] / 40_000
     assert np.abs(got - want / want.sum()).max() < 0.015
     # Both ways agree where one takes over from the other.
     n = pitman_yor.EXACT
     for d in (0.3, 0.5, 0.8):
         for a in (0.3, 1.3, 5.0, 20.0, 100.0, 1000.0):
-            exact, limit = (draw(np.full(20_000, n), np.full(20_000, a), d, rng) for draw in (pitman_yor.seat, pitman_yor._seat_many))
+            c, new, x = np.full(20_000, n), np.full(20_000, a), draws(20_000)
+            exact, limit = pitman_yor.seat(c, new, d, x), pitman_yor._seat_many(c, new, d, x.uniform(1), x.uniform(2))
             assert abs(exact.mean() - limit.mean()) < 0.05 * exact.mean() and abs(exact.std() - limit.std()) < 0.15 * exact.std()
-    assert abs(pitman_yor.seat(np.array([1_000_000]), np.array([2000.0]), 0.5, rng)[0] - 3992) < 400  # 4000 * (1 - y^0.5), y = 4e-6
-    assert pitman_yor.seat(np.array([0, 1, 1]), np.array([1.0, 0.0, 9.0]), d, rng).tolist() == [0, 1, 1]
+    assert abs(pitman_yor.seat(np.array([1_000_000]), np.array([2000.0]), 0.5, draws(1))[0] - 3992) < 400  # 4000 * (1 - y^0.5), y = 4e-6
+    assert pitman_yor.seat(np.array([0, 1, 1]), np.array([1.0, 0.0, 9.0]), d, draws(3)).tolist() == [0, 1, 1]
+
+
+def test_draws_belong_to_dishes():
+    whole = pitman_yor.Draws(np.arange(-500, 500), 4)
+    u = whole.uniform(1)
+    assert np.array_equal(pitman_yor.Draws(np.arange(100, 140), 4).uniform(1), u[600:640]) and np.array_equal(whole.uniform(1, np.array([7, 3])), u[[7, 3]])
+    others = [whole.uniform(2), pitman_yor.Draws(np.arange(-500, 500), 5).uniform(1), pitman_yor.Draws(np.arange(-499, 501), 4).uniform(1)]
+    assert all(abs(np.corrcoef(u, x)[0, 1]) < 0.15 for x in others) and abs(u.mean() - 0.5) < 0.03 and abs(u.std() - 12**-0.5) < 0.02
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "ROWS", 50)
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(80)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(80)], k=40))) for i in range(120)], "doc_id long, text string")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            dealt = docs.repartition(parts)
+            found.append({r["doc_id"]: r["score"] for r in pitman_yor.score(dealt, pitman_yor.fit(dealt)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys()
+    assert all(found[1][d] == pytest.approx(x, abs=1e-6) for d, x in found[0].items())
 
 
 @pytest.mark.parametrize(
