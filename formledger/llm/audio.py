@@ -112,12 +112,17 @@ def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
     """prints (class_id, prints) of distinct classes; queries (class_id). -> query, other, offset, votes, overlap, error."""
     turns = F.filter(F.transform("prints", lambda x, i: F.struct(i.alias("at"), x.alias("value"), F.try_element_at("prints", F.greatest(i, F.lit(1))).alias("last"))), lambda t: (t["at"] == 0) | (t["value"] != t["last"]))
     frames = prints.select("class_id", F.explode(turns).alias("t")).select("class_id", "t.at", "t.value")
-    hot = frames.groupBy("value").count().where(F.col("count") > HOT_PLACES).select("value", F.ceil(F.col("count") / HOT_PLACES).cast("int").alias("parts"))
-    dealt = frames.join(hot, "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    asked = dealt.join(queries, "class_id").select(F.col("class_id").alias("query"), F.col("at").alias("q"), "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    held = dealt.select(F.col("class_id").alias("other"), "at", "value", F.pmod(F.xxhash64("class_id"), "parts").cast("int").alias("part"))
+    # A frequent integer's places, and its queries' places, are both dealt over parts, which meet as a grid: no part of the join is large.
+    mine = frames.join(queries, "class_id")
+    parts = lambda c, name: F.ceil(F.col(c) / HOT_PLACES).cast("int").alias(name)
+    often = frames.groupBy("value").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") > HOT_PLACES)
+    hot = often.join(mine.groupBy("value").agg(F.count(F.lit(1)).alias("asked")), "value").select("value", parts("places", "parts"), parts("asked", "rounds"))
+    dealt = lambda rows: rows.join(hot, "value", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("parts", "rounds")})
+    every, own = (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))), (lambda n: F.pmod(F.xxhash64("class_id"), n).cast("int"))
+    asked = dealt(mine).select(F.col("class_id").alias("query"), F.col("at").alias("q"), "value", every("parts").alias("part"), own("rounds").alias("round"))
+    held = dealt(frames).select(F.col("class_id").alias("other"), "at", "value", own("parts").alias("part"), every("rounds").alias("round"))
     best = (
-        asked.join(held, ["value", "part"])
+        asked.join(held, ["value", "part", "round"])
         .where("query <> other")
         .groupBy("query", "other", (F.col("q") - F.col("at")).alias("offset"))
         .agg(F.count(F.lit(1)).alias("votes"))
