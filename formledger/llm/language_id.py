@@ -30,6 +30,8 @@ from formledger.llm.common import fold, table
 
 FEATURES, ORDERS = 1 << 15, (1, 2, 3)
 SAMPLE, SHARDS, EPOCHS = 6000, 4, 2
+#: The languages that are learned, the most frequent ones: the driver holds a weight a feature for each.
+CLASSES = 200
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 UNKNOWN = "und"
 
@@ -37,7 +39,7 @@ UNKNOWN = "und"
 def _letters() -> np.ndarray:
     """Code point -> lower-case code point for letters, 32 for all else."""
     out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x30000):
+    for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
@@ -161,7 +163,8 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     total, df = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + df)) + 1
-    sizes = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}  # a row a language
+    sizes = {r[0]: r[1] for r in docs.groupBy(label).count().orderBy(F.desc("count"), label).limit(CLASSES).collect()}
+    docs = docs.where(F.col(label).isin(*sizes)) if sizes else docs
     classes = sorted(sizes)
     if not classes or not total:
         return Model([], idf, np.zeros((0, FEATURES + 1)), 1.0)
