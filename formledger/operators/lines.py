@@ -15,12 +15,27 @@ from pyspark.sql import functions as F
 LADDER = (0.7, 0.5, 0.35, 0.15)
 
 
+#: Pixels of a position bin, a join key beside document and page: a run meets only the requests that look at its part of the page.
+BIN = 64
+
+
+def bin_of(pos: Column) -> Column:
+    return F.floor(pos / BIN).cast("int")
+
+
+def bins_of(low: Column, high: Column) -> Column:
+    """The bins that [low, high) touches; none if it is empty. A position is in one of them only, so no pair comes twice."""
+    return F.when(high > low, F.sequence(bin_of(low), bin_of(F.ceil(high) - 1)))
+
+
 def _at(requests: DataFrame, runs: DataFrame, axis: str, low: Column, high: Column) -> DataFrame:
     """Requests beside the runs of their page with low <= pos < high."""
     r = runs.where(F.col("axis") == axis).select(
-        F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), "pos", F.col("start").alias("run_start"), F.col("end").alias("run_end")
+        F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), bin_of(F.col("pos")).alias("__run_bin"), "pos", F.col("start").alias("run_start"), F.col("end").alias("run_end")
     )
-    return requests.join(r, (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p")) & (F.col("pos") >= low) & (F.col("pos") < high)).drop("__d", "__p")
+    asked = requests.withColumn("__own_bin", F.explode(bins_of(low, high)))
+    on = (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p")) & (F.col("__own_bin") == F.col("__run_bin"))
+    return asked.join(r, on & (F.col("pos") >= low) & (F.col("pos") < high)).drop("__d", "__p", "__own_bin", "__run_bin")
 
 
 def _kept_length(low: Column, high: Column, k: Column) -> Column:
@@ -36,61 +51,86 @@ def _kept_length(low: Column, high: Column, k: Column) -> Column:
     return F.when((inside > 0) & (inside >= need), inside).otherwise(F.lit(0))
 
 
-def hline_strength(requests: DataFrame, runs: DataFrame, ladder: Sequence[float] = LADDER, axis: str = "h") -> DataFrame:
-    """Requests (request, doc_id, page_no, x0, x1, lo, hi) -> (request, pos, strength) at the first step of the ladder
-    that finds anything. For axis "v" x0 and x1 are the strip's y range."""
+def _strength(requests: DataFrame, runs: DataFrame, ladder: Sequence[float], axis: str, keep: Sequence[str] = ()) -> DataFrame:
+    """hline_strength(), with columns of the requests to keep."""
     beside = _at(requests, runs, axis, F.col("lo"), F.col("hi"))
     width = F.col("x1") - F.col("x0")
-    step = lambda i, share: F.struct(
-        F.lit(i).alias("step"), _kept_length(F.col("x0"), F.col("x1"), F.greatest(F.floor(width * share), F.lit(10))).alias("kept")
-    )
-    tried = beside.withColumn("try", F.explode(F.array(*[step(i, s) for i, s in enumerate(ladder)]))).where("try.kept > 0")
-    sums = tried.groupBy("request", "try.step", "pos").agg(F.sum("try.kept").alias("strength"))
-    first = F.min("step").over(W.partitionBy("request"))
-    return sums.withColumn("first", first).where("step = first").select("request", "pos", "strength")
+    steps = [_kept_length(F.col("x0"), F.col("x1"), F.greatest(F.floor(width * share), F.lit(10))).cast("long") for share in ladder]
+    # All steps side by side: a row's sums, and over the request's rows the first step that finds anything.
+    sums = beside.groupBy("request", *keep, "pos").agg(*[F.sum(kept).alias(f"__s{i}") for i, kept in enumerate(steps)])
+    there = W.partitionBy("request")
+    found = lambda i: F.max(f"__s{i}").over(there) > 0
+    first = F.when(found(0), F.col("__s0"))
+    for i in range(1, len(ladder)):
+        first = first.when(found(i), F.col(f"__s{i}"))
+    return sums.withColumn("strength", first).where("strength > 0").select("request", *keep, "pos", "strength")
 
 
-def pick_line(requests: DataFrame, strengths: DataFrame, prefer_near: bool = True, excluded: DataFrame | None = None, outermost: str | None = None) -> DataFrame:
-    """(request, found): the nearest of the lines of at least half the greatest strength; nothing: the expected place.
+def hline_strength(requests: DataFrame, runs: DataFrame, ladder: Sequence[float] = LADDER, axis: str = "h") -> DataFrame:
+    """Requests (request, doc_id, page_no, x0, x1, lo, hi) -> (request, pos, strength) at the first step of the ladder
+    that finds anything. For axis "v" x0 and x1 are the strip's y range."""
+    return _strength(requests, runs, ladder, axis)
 
-    excluded (request, pos): candidates within 5 pixels of these go, unless all would. outermost "left" or "right": the
-    centre of the outermost unbroken band of candidates.
-    """
+
+def _picked(strong: DataFrame, prefer_near: bool, excluded: DataFrame | None, outermost: str | None) -> DataFrame:
+    """Strengths (request, expected, pos, strength) -> (request, pos): the place that each request takes."""
     if prefer_near:
-        strong = strengths.withColumn("most", F.max("strength").over(W.partitionBy("request"))).where("2 * strength >= most").drop("most")
+        strong = strong.withColumn("most", F.max("strength").over(W.partitionBy("request"))).where("2 * strength >= most").drop("most")
     else:
-        strong = strengths.groupBy("request").agg(F.max_by("pos", F.struct("strength", -F.col("pos"))).alias("pos"), F.max("strength").alias("strength"))
+        strong = strong.groupBy("request", "expected").agg(F.max_by("pos", F.struct("strength", -F.col("pos"))).alias("pos"))
     if excluded is not None:
-        x = excluded.select(F.col("request").alias("__r"), F.col("pos").alias("__x"))
-        close = strong.join(x, (F.col("request") == F.col("__r")) & (F.abs(F.col("pos") - F.col("__x")) < 5), "left_semi").select("request", "pos").withColumn("hit", F.lit(1))
+        x = excluded.select(F.col("request").alias("__of"), F.col("pos").alias("__x"))
+        close = strong.join(x, (F.col("request") == F.col("__of")) & (F.abs(F.col("pos") - F.col("__x")) < 5), "left_semi").select("request", "pos").withColumn("hit", F.lit(1))
         marked = strong.join(close, ["request", "pos"], "left")
         strong = marked.withColumn("free", F.max(F.col("hit").isNull().cast("int")).over(W.partitionBy("request"))).where("free = 0 OR hit IS NULL").drop("hit", "free")
-    asked = requests.select("request", "expected")
     if outermost:
         band = F.col("pos") - F.row_number().over(W.partitionBy("request").orderBy("pos"))
         bands = strong.withColumn("band", band).groupBy("request", "band").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
         centre = F.bround((F.col("a") + F.col("b")) / 2).cast("int")
-        ends = bands.groupBy("request").agg((F.min_by(centre, "a") if outermost == "left" else F.max_by(centre, "b")).alias("pos"))
-        return asked.join(ends, "request", "left").select("request", F.coalesce("pos", "expected").alias("found"))
+        return bands.groupBy("request").agg((F.min_by(centre, "a") if outermost == "left" else F.max_by(centre, "b")).alias("pos"))
     near = F.min(F.struct(F.abs(F.col("pos") - F.col("expected")).alias("off"), "pos"))["pos"]
-    best = strong.join(asked, "request").groupBy("request").agg(near.alias("pos"))
+    return strong.groupBy("request").agg(near.alias("pos"))
+
+
+def pick_line(requests: DataFrame, strengths: DataFrame, prefer_near: bool = True, excluded: DataFrame | None = None, outermost: str | None = None) -> DataFrame:
+    """(request, found): the nearest of the lines of at least half the greatest strength; nothing: the expected place.
+
+    excluded (request, pos): candidates within 5 pixels of these go, unless all would. outermost "left" or "right": the
+    centre of the outermost unbroken band of candidates.
+    """
+    asked = requests.select("request", "expected")
+    best = _picked(strengths.join(asked, "request"), prefer_near, excluded, outermost)
     return asked.join(best, "request", "left").select("request", F.coalesce("pos", "expected").alias("found"))
 
 
+def _found(requests: DataFrame, runs: DataFrame, name: str, axis: str, ladder: Sequence[float], strip: dict[str, Column], prefer_near: bool, excluded: DataFrame | None = None, outermost: str | None = None) -> DataFrame:
+    """requests with a column more: where their line is. strip: x0, x1, lo and hi of the strip that each looks at."""
+    asked = requests.select("request", "doc_id", "page_no", "expected", *[c.alias(n) for n, c in strip.items()])
+    best = _picked(_strength(asked, runs, ladder, axis, ("expected",)), prefer_near, excluded, outermost).withColumnRenamed("pos", "__pos")
+    return requests.join(best, "request", "left").withColumn(name, F.coalesce("__pos", "expected")).drop("__pos")
+
+
+def with_hline(requests: DataFrame, runs: DataFrame, name: str = "found", prefer_near: bool = True, excluded: DataFrame | None = None) -> DataFrame:
+    """Requests (request, doc_id, page_no, x0, x1, expected, back, fwd, any others) with the place found."""
+    strip = {"x0": F.col("x0"), "x1": F.col("x1"), "lo": F.greatest(F.lit(0), F.col("expected") - F.col("back")), "hi": F.col("expected") + F.col("fwd")}
+    return _found(requests, runs, name, "h", LADDER, strip, prefer_near, excluded)
+
+
 def find_hline(requests: DataFrame, runs: DataFrame, prefer_near: bool = True, excluded: DataFrame | None = None) -> DataFrame:
-    """Requests (request, doc_id, page_no, x0, x1, expected, back, fwd) -> (request, found)."""
-    strips = requests.withColumns({"lo": F.greatest(F.lit(0), F.col("expected") - F.col("back")), "hi": F.col("expected") + F.col("fwd")})
-    return pick_line(requests, hline_strength(strips, runs), prefer_near, excluded)
+    """As with_hline() -> (request, found)."""
+    return with_hline(requests, runs, "found", prefer_near, excluded).select("request", "found")
+
+
+def with_vline(requests: DataFrame, runs: DataFrame, name: str = "found", prefer_near: bool = False, outermost: str | None = None) -> DataFrame:
+    """Requests (request, doc_id, page_no, y0, y1, expected, radius, any others) with the place found. With prefer_near the runs must
+    come from pages thickened sideways by 4 pixels (the pass over the images makes them)."""
+    strip = {"x0": F.col("y0"), "x1": F.col("y1"), "lo": F.greatest(F.lit(0), F.col("expected") - F.col("radius")), "hi": F.col("expected") + F.col("radius")}
+    return _found(requests, runs, name, "v", (0.7,), strip, prefer_near, None, outermost if prefer_near else None)
 
 
 def find_vline(requests: DataFrame, runs: DataFrame, prefer_near: bool = False, outermost: str | None = None) -> DataFrame:
-    """Requests (request, doc_id, page_no, y0, y1, expected, radius). With prefer_near the runs must come from pages
-    thickened sideways by 4 pixels (ink_runs does that)."""
-    strips = requests.select(
-        "request", "doc_id", "page_no", "expected", F.col("y0").alias("x0"), F.col("y1").alias("x1"),
-        F.greatest(F.lit(0), F.col("expected") - F.col("radius")).alias("lo"), (F.col("expected") + F.col("radius")).alias("hi"),
-    )
-    return pick_line(requests, hline_strength(strips, runs, (0.7,), "v"), prefer_near, None, outermost if prefer_near else None)
+    """As with_vline() -> (request, found)."""
+    return with_vline(requests, runs, "found", prefer_near, outermost).select("request", "found")
 
 
 def ink_ratio(boxes: DataFrame, runs: DataFrame) -> DataFrame:
@@ -162,16 +202,15 @@ def zone_affine(zones: DataFrame, runs: DataFrame, thick: DataFrame | None = Non
     lined = F.col("page_top_line").isNotNull()
     wide = F.col("y_search") + slack(F.col("anchor_top") - F.coalesce("page_top_line", F.lit(0)), lined)
     strip = {"x0": F.col("anchor_left"), "x1": F.col("anchor_right")}
+    spare = ("x0", "x1", "y0", "y1", "expected", "back", "fwd", "radius")
     top = zones.withColumns(strip | {"expected": F.col("anchor_top") + F.col("dy"), "back": wide, "fwd": wide})
-    zones = zones.join(find_hline(top, runs).withColumnRenamed("found", "top"), "request")
+    zones = with_hline(top, runs, "top").drop(*spare)
     deep = F.col("y_search") + slack(F.col("anchor_bottom") - F.col("anchor_top"), lined)
     below = F.when(lined, F.col("top") + F.col("anchor_bottom") - F.col("anchor_top")).otherwise(F.col("anchor_bottom") + F.col("dy"))
-    bottom = zones.withColumns(strip | {"expected": below, "back": deep, "fwd": deep})
-    zones = zones.join(find_hline(bottom, runs).withColumnRenamed("found", "bottom"), "request")
+    zones = with_hline(zones.withColumns(strip | {"expected": below, "back": deep, "fwd": deep}), runs, "bottom").drop(*spare)
     for side in ("left", "right"):
         asked = zones.withColumns({"y0": F.col("top"), "y1": F.col("bottom"), "expected": F.col(f"anchor_{side}"), "radius": F.col("x_search")})
-        found = find_vline(asked, thick if thick is not None else runs, thick is not None, side if thick is not None else None)
-        zones = zones.join(found.withColumnRenamed("found", side), "request")
+        zones = with_vline(asked, thick if thick is not None else runs, side, thick is not None, side if thick is not None else None).drop(*spare)
     return affine(zones)
 
 
@@ -232,13 +271,13 @@ def _beside_rules(boxes: DataFrame, runs: DataFrame, expected: dict[str, Column]
     asked = boxes.withColumns({f"__{n}": c for n, c in expected.items()} | {"__asked": F.coalesce(when, F.lit(False)) & (bottom - top >= least)})
     names = [F.col(f"__{n}") for n in expected]
     r = runs.where("axis = 'v'").select(
-        F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), "pos", F.col("start").alias("run_start"), F.col("end").alias("run_end")
+        F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), bin_of(F.col("pos")).alias("__run_bin"), "pos", F.col("start").alias("run_start"), F.col("end").alias("run_end")
     )
     # Only rules within the radius of one of the places come beside a box.
-    near_some = (F.col("pos") >= F.least(*names) - radius) & (F.col("pos") < F.greatest(*names) + radius)
-    rules = asked.join(
-        r, (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p")) & F.col("__asked") & near_some & (_kept_length(top, bottom, need) > 0), "left"
-    )
+    low, high = F.least(*names) - radius, F.greatest(*names) + radius
+    spread = asked.withColumn("__own_bin", F.explode_outer(F.when(F.col("__asked"), bins_of(low, high))))
+    on = (F.col("doc_id") == F.col("__d")) & (F.col("page_no") == F.col("__p")) & (F.col("__own_bin") == F.col("__run_bin"))
+    rules = spread.join(r, on & (F.col("pos") >= low) & (F.col("pos") < high) & (_kept_length(top, bottom, need) > 0), "left")
     off = lambda n: F.col("pos") - F.col(f"__{n}")
     near = lambda n: F.min(F.when((off(n) >= -radius) & (off(n) < radius), F.struct(F.abs(off(n)).alias("off"), "pos")))["pos"].alias(n)
     return rules.groupBy("box").agg(*[F.first(c).alias(c) for c in boxes.columns if c != "box"], *[near(n) for n in expected])

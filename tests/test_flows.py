@@ -106,8 +106,8 @@ def test_compaction_keeps_files_few_and_survives_breaks(spark, tmp_path):
     shutil.copytree(tmp_path / "h" / f"batch={live[0]}", broken)
     (broken / "_SUCCESS").unlink()
     assert read() == whole
-    spark.read.schema(schema).parquet(*[f"{path}/batch={x}" for x in live]).createOrReplaceTempView("left")
-    keyed._written(spark.table("left"), str(broken), 2, F.col("record_key"))
+    taken = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/batch={x}" for x in live]).select("seq", "record_key")
+    keyed._written(taken, str(broken), 2, F.col("record_key"))
     assert read() == whole and (tmp_path / "h" / f"batch={live[0]}").exists()
     keyed.compact(spark, path, schema, buckets=2, fan=99)  # clears what is left over
     assert read() == whole and not (tmp_path / "h" / f"batch={live[0]}").exists()
