@@ -226,8 +226,8 @@ def _among(text: np.ndarray, content: np.ndarray, of: np.ndarray, keys: np.ndarr
 
 def first_holders(reference: DataFrame, length: int = LENGTH) -> DataFrame:
     """reference (content, minimizer, doc, windows, words) -> content, first: of each of its windows the smallest document."""
-    shards = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SHARD_PASSAGES)).cast("int")
-    numbered = reference.join(F.broadcast(reference.agg(shards.alias("shards")))).withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.col("shards")).cast("int")).drop("shards")
+    shards = max(1, -(-reference.count() // SHARD_PASSAGES))
+    numbered = reference.withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(shards)).cast("int"))
     sizes = numbered.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (2 * SHARD_PASSAGES)).cast("int").alias("parts"))
     dealt = numbered.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
