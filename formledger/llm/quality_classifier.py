@@ -4,7 +4,8 @@ Each text gives a vector of damped counts and log-odds of shares (symbols, capit
 For each class, count, sums and sums of products over all training rows give mean and covariance exactly; the covariance
 is shrunk towards the pooled one and a scaled identity. Its Cholesky factor is computed once and kept; a score is the
 difference of two Mahalanobis log-densities plus the prior log-odds, through a logistic curve whose slope and offset are
-fitted on the training rows' summed score histogram.
+fitted on the training rows' summed score histogram (400 bins of margins from -40 to 40; what lies beyond counts in the end
+bins, where the curve is flat). Scores use the margins as they are.
 
 Defined results: null and empty texts have the statistics of an empty text and are scored as such; with fewer than two
 classes in training every score is the share of label 1 (0.5 with none); repeated rows are scored alike; a document with

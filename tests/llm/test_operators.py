@@ -425,6 +425,64 @@ def test_quality_scores(spark):
     assert quality_classifier.fit(rows.limit(0)).scores(np.zeros((1, len(quality_classifier.STATISTICS)))).tolist() == [0.5]
 
 
+def plain_statistics(text):
+    """The statistics in order, one by one."""
+    import math
+
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x09-\x0d\x20]+", raw) if w]
+    lines = [x for x in raw.split(b"\n") if re.search(rb"[^\x09-\x0d\x20]", x)]
+    odds = lambda a, n: math.log((a + 0.5) / (n - a + 0.5))
+    count = lambda chars: sum(raw.count(c.encode()) for c in chars)
+    dark, n, low = len(re.sub(rb"[\x09-\x0d\x20]", b"", raw)), len(words), [w.lower() for w in words]
+    mean = sum(map(len, words)) / n if n else 0.0
+    spread = math.sqrt(sum((len(w) - mean) ** 2 for w in words) / n) if n else 0.0
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), math.log1p(n / max(1, len(lines))),
+        odds(sum(lines.index(x) < i for i, x in enumerate(lines)), len(lines)), odds(len(set(low)), n) / max(1.0, math.log1p(n)),
+        odds(sum((low[i], low[i + 1]) in set(zip(low[:i], low[1 : i + 1], strict=True)) for i in range(n - 1)), n),
+        odds(sum(65 <= c <= 90 for c in raw), dark), odds(sum(48 <= c <= 57 for c in raw), dark), odds(count("#*$%&<>@^~_=+\\"), dark), odds(count("!"), dark), odds(count("|"), dark),
+        odds(count(".,;:'\"?()-"), dark), odds(sum(x.strip(b" \t\r\x0b\x0c")[-1:] in (b".", b"!", b"?") for x in lines), len(lines)), odds(sum(len(w) > 20 for w in words), n),
+    ]
+
+
+def test_quality_statistics_one_by_one():
+    rng = random.Random(71)
+    pieces = ["the ", "The\n", "\n\n", "a.b! ", "| ", "x9\t", "É漢 ", "$#@ ", "over-twenty-bytes-long-word ", "end.\n", "the the ", "\r\n"]
+    made = [None, "", " \n\t", "word"] + ["".join(rng.choices(pieces, k=rng.randrange(1, 60))) for _ in range(60)]
+    for text in made:
+        assert quality_classifier.statistics(text) == pytest.approx(plain_statistics(text), abs=1e-9), text
+
+
+def test_quality_scores_as_fitted_plainly(spark):
+    rng = random.Random(72)
+    word = lambda y: rng.choice(["the", "house", "Stands", "water,", "was."] if rng.random() < (0.75 if y else 0.45) else ["A$$$", "b#", "9|9", "x%%", "OK!"])
+    made = [(i, y := int(rng.random() < 0.6), "".join(word(y) + rng.choice((" ", " ", "\n")) for _ in range(rng.randrange(5, 60)))) for i in range(400)]
+    frame = spark.createDataFrame([(d, t, y) for d, y, t in made], "doc_id long, text string, label long")
+    rows = quality_classifier.measured(frame.select("doc_id", "text")).join(frame.select("doc_id", "label"), "doc_id")
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.scored(rows, quality_classifier.fit(rows.where("doc_id % 4 > 0"))).collect()}
+    x, y = np.array([plain_statistics(t) for *_, t in made]), np.array([y for _, y, _ in made])
+    train = np.arange(400) % 4 > 0
+    part = {k: x[train & (y == k)] for k in (0, 1)}
+    cov = {k: np.cov(part[k].T, bias=True) for k in part}
+    pooled = sum(len(part[k]) * cov[k] for k in part) / train.sum()
+    margin = np.log(len(part[1]) / len(part[0]))
+    for k, sign in ((1, 1), (0, -1)):
+        c = (1 - quality_classifier.SHRINK_IDENTITY) * ((1 - quality_classifier.SHRINK_POOLED) * cov[k] + quality_classifier.SHRINK_POOLED * pooled)
+        c += quality_classifier.SHRINK_IDENTITY * np.diag(np.maximum(np.diag(pooled), 1e-6)) + 1e-9 * np.eye(x.shape[1])
+        away = x - part[k].mean(0)
+        margin = margin - sign * 0.5 * (np.einsum("ij,jk,ik->i", away, np.linalg.inv(c), away) + np.linalg.slogdet(c)[1])
+    # Slope and offset by plain steps down the penalised loss of single margins, not of a histogram.
+    m, t, theta = margin[train], y[train], np.array([0.5, 0.0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(theta[0] * m + theta[1])))
+        a = np.stack((m, np.ones_like(m)), 1)
+        theta = theta - np.clip(np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (p - t) + 1e-2 * (theta - [0.5, 0.0])), -0.5, 0.5)
+    want = 1 / (1 + np.exp(-(theta[0] * margin + theta[1])))
+    assert max(abs(got[d] - want[d]) for d in got) < 0.02  # what the bins of the histogram allow
+    assert np.mean([(got[d] >= 0.5) == bool(y[d]) for d in range(0, 400, 4)]) > 0.8
+
+
 def test_density_difference():
     rng = np.random.default_rng(10)
     d = len(quality_classifier.STATISTICS)
