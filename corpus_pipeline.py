@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from formledger.llm import mixing, ngram_join, packing, quality_rules, secret_scan
 from formledger.llm.common import n_words, shared_folder, small_batches
+from formledger.sources.intermediate import delete
 
 
 def _whole(docs: DataFrame):
@@ -48,7 +49,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 
-
 def _settled(stage):
     """stage, with the session's batches bounded."""
 
@@ -72,9 +72,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; a stage's table goes once the next one has been written, and all of them after a failure."""
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before is not None:
+                delete(spark, before)
+            before = f"{folder}/{name}"
+    except BaseException:
+        delete(spark, folder)
+        raise
     return docs
