@@ -159,3 +159,24 @@ def test_boxes_of_all_kinds(spark):
     got = {r["field"]: (r["x0"], r["y0"], r["x1"], r["y1"]) for r in found.collect()}
     assert got == {"free": (1, 2, 3, 4), "plain": (25, 17, 65, 27), "snapped": (102, 42, 222, 83), "ticked": (99, 42, 219, 83), "refined": (102, 83, 222, 124)}
     assert [r["field"] for r in lost.collect()] == ["lost"]
+
+
+def test_shares_of_a_width_are_floored_as_floats(spark):
+    # 0.7 of 90, 180, 340 and 650 is a little less than a whole number in floating point: the opening is by one pixel less.
+    for width in (90, 180, 340, 650):
+        k = int(width * 0.7)
+        runs = spark.createDataFrame([(1, 1, "h", 50, 5, 5 + k), (1, 1, "h", 60, 5, 5 + k - 1)], "doc_id long, page_no int, axis string, pos int, start int, end int")
+        asked = spark.createDataFrame([(1, 1, 1, 0, width, 0, 100)], "request long, doc_id long, page_no int, x0 int, x1 int, lo int, hi int")
+        assert [(r["pos"], r["strength"]) for r in lines.hline_strength(asked, runs).collect()] == [(50, k)]
+
+
+def test_pairs_meet_in_one_bin_only(spark):
+    rng = random.Random(9)
+    runs = [(1, 1, "h", rng.randrange(700), a := rng.randrange(200), a + rng.randrange(5, 250)) for _ in range(300)]
+    boxes = [(i, 1, 1, x := rng.randrange(200), y := rng.randrange(700), x + rng.randrange(-3, 200), y + rng.randrange(-3, 400)) for i in range(80)]
+    got = {r["box"]: r["ratio"] for r in lines.ink_ratio(
+        spark.createDataFrame(boxes, "box long, doc_id long, page_no int, x0 int, y0 int, x1 int, y1 int"), spark.createDataFrame(runs, "doc_id long, page_no int, axis string, pos int, start int, end int")
+    ).collect()}
+    for i, _, _, x0, y0, x1, y1 in boxes:
+        ink_ = sum(max(0, min(e, x1) - max(s, x0)) for *_, p, s, e in runs if y0 <= p < y1)
+        assert abs(got[i] - (ink_ / ((x1 - x0) * (y1 - y0)) if x1 > x0 and y1 > y0 else 0.0)) < 1e-12
