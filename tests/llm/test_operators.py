@@ -425,6 +425,34 @@ def test_quality_scores(spark):
     assert quality_classifier.fit(rows.limit(0)).scores(np.zeros((1, len(quality_classifier.STATISTICS)))).tolist() == [0.5]
 
 
+def test_prediction_and_temperature_one_by_one():
+    import math
+
+    rng = np.random.default_rng(81)
+    classes = ["de", "en", "fr"]
+    idf = rng.uniform(1, 5, language_id.FEATURES)
+    weights = rng.normal(0, 3, (3, language_id.FEATURES + 1)).astype(np.float32)
+    for heat in (0.4, 1.0, 3.0):
+        model = language_id.Model(classes, idf, weights, heat)
+        for text in ("The house.", "ß É 漢字", "a", chr(0x30001) * 3):
+            at, x = language_id.features(text, idf)
+            logits = [(sum(float(weights[c, a]) * float(v) for a, v in zip(at, x, strict=True)) + float(weights[c, -1])) / heat for c in range(3)]
+            whole = sum(math.exp(s - max(logits)) for s in logits)
+            lang, score = model.predict(text)
+            assert lang == classes[logits.index(max(logits))] and score == pytest.approx(1 / whole, abs=1e-4)
+        assert [model.predict(t) for t in (None, "", "12 .!")] == [("und", 0.0)] * 3
+    held = [(rng.normal(0, 2, 3) + 2 * np.eye(3)[y], y) for y in rng.integers(0, 3, 40)]
+    loss = lambda t: sum(math.log(sum(math.exp((b - s[y]) / t) for b in s)) for s, y in held)
+    assert language_id.temperature(held) == pytest.approx(min(np.geomspace(0.05, 20, 121), key=loss))
+
+
+def test_languages_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CLASSES", 2)
+    words = {"en": "the of and", "de": "und der die", "xx": "zu ba ko"}
+    docs = spark.createDataFrame([(i, words[k] + f" {words[k]}", k) for i in range(60) for k in (("en", "de", "xx") if i < 20 else ("en", "de"))], "doc_id long, text string, lang string")
+    assert language_id.fit(docs).classes == ["de", "en"]
+
+
 def plain_statistics(text):
     """The statistics in order, one by one."""
     import math
