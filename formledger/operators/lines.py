@@ -6,7 +6,7 @@ it looks at, so every join is an equality on (doc_id, page_no, axis) with range
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -194,20 +194,21 @@ def slack(distance: Column, has_top_line: Column) -> Column:
     return F.when(has_top_line, F.floor(F.abs(distance) * 0.04)).otherwise(0).cast("int")
 
 
-def zone_affine(zones: DataFrame, runs: DataFrame, thick: DataFrame | None = None) -> DataFrame:
+def zone_affine(zones: DataFrame, runs: DataFrame, thick: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Zones (request, doc_id, page_no, anchor_*, page_top_line, y_search, x_search, dy) -> the zone's transform.
 
-    The bottom is looked for from the found top where the page has a top line. thick: runs for the sides, see find_vline.
+    The bottom is looked for from the found top where the page has a top line. thick: runs for the sides, see with_vline. settle: what
+    is done with the zones between the searches; stored() keeps the plan of one search from holding those of all before it twice.
     """
     lined = F.col("page_top_line").isNotNull()
     wide = F.col("y_search") + slack(F.col("anchor_top") - F.coalesce("page_top_line", F.lit(0)), lined)
     strip = {"x0": F.col("anchor_left"), "x1": F.col("anchor_right")}
     spare = ("x0", "x1", "y0", "y1", "expected", "back", "fwd", "radius")
     top = zones.withColumns(strip | {"expected": F.col("anchor_top") + F.col("dy"), "back": wide, "fwd": wide})
-    zones = with_hline(top, runs, "top").drop(*spare)
+    zones = settle(with_hline(top, runs, "top").drop(*spare))
     deep = F.col("y_search") + slack(F.col("anchor_bottom") - F.col("anchor_top"), lined)
     below = F.when(lined, F.col("top") + F.col("anchor_bottom") - F.col("anchor_top")).otherwise(F.col("anchor_bottom") + F.col("dy"))
-    zones = with_hline(zones.withColumns(strip | {"expected": below, "back": deep, "fwd": deep}), runs, "bottom").drop(*spare)
+    zones = settle(with_hline(zones.withColumns(strip | {"expected": below, "back": deep, "fwd": deep}), runs, "bottom").drop(*spare))
     for side in ("left", "right"):
         asked = zones.withColumns({"y0": F.col("top"), "y1": F.col("bottom"), "expected": F.col(f"anchor_{side}"), "radius": F.col("x_search")})
         zones = with_vline(asked, thick if thick is not None else runs, side, thick is not None, side if thick is not None else None).drop(*spare)
