@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from formledger.llm.common import discard, stored, table
+from formledger.llm.common import scratch, stored, table
 
 SCALE = 256
 #: Components in a slice of rows and in a block of anchors, and rows in a bucket of like length.
-SLICE_CELLS, BLOCK_CELLS, BUCKET_ROWS = 1 << 22, 1 << 18, 8192
+SLICE_CELLS, BLOCK_CELLS, BUCKET_ROWS = 1 << 20, 1 << 20, 8192
 #: A bucket ends where lengths fall below this share of its longest.
 BUCKET_RATIO = 0.9
 FOCUS = 5
@@ -262,25 +262,24 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negativ
     """rows (vec_id, label, embedding), anchors: which of them are (on id) -> anchor_id, positive_id, rank, negative_id, positive_score,
     negative_score: for each anchor and each of its best rows of its label, the best rows of other labels whose score is
     low to high hundredths of the positive's."""
-    base = stored(scaled_vectors(rows).withColumn("row", F.monotonically_increasing_id()))
-    chosen = base.where(F.col("id") != NO_ID).where(anchors)
-    ask = lambda a, b: F.struct(a.cast("long").alias("low"), b.cast("long").alias("high"))
-    any_ = F.array(ask(F.lit(None), F.lit(None)))
-    found = stored(best_of(chosen.withColumn("asks", any_), base, positives, True).select("row", "place", F.col("id").alias("positive"), F.col("score").alias("positive_score")))
-    # low * p <= 100 n <= high * p, in whole numbers that a long holds.
-    p = F.col("positive_score").cast("decimal(25,0)")
-    asks = F.array_sort(F.collect_list(F.struct("place", ask(F.ceil(p * low / 100), F.floor(p * high / 100)).alias("ask"))))
-    wanted = found.where(F.lit(low) * p <= F.lit(high) * p).groupBy("row").agg(asks.alias("a"))
-    wanted = wanted.select("row", F.transform("a", lambda x: x["ask"]).alias("asks"), F.transform("a", lambda x: x["place"]).alias("places"))
-    mined = best_of(chosen.join(wanted.select("row", "asks"), "row"), base, negatives, False)
-    mined = mined.join(wanted.select("row", "places"), "row").withColumn("positive_place", F.element_at("places", F.col("nth") + 1))
-    named = mined.alias("m").join(found.alias("f"), (F.col("m.row") == F.col("f.row")) & (F.col("m.positive_place") == F.col("f.place"))).join(
-        chosen.select(F.col("row").alias("r"), F.col("id").alias("anchor_id")), F.col("m.row") == F.col("r")
-    )
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    out = stored(named.select("anchor_id", real("positive").alias("positive_id"), F.col("m.place").cast("int").alias("rank"), real("m.id").alias("negative_id"), "positive_score", F.col("m.score").alias("negative_score")))
-    discard(base, found)
-    return out
+    with scratch(rows.sparkSession) as keep:
+        base = stored(scaled_vectors(rows).withColumn("row", F.monotonically_increasing_id()))
+        chosen = base.where(F.col("id") != NO_ID).where(anchors)
+        ask = lambda a, b: F.struct(a.cast("long").alias("low"), b.cast("long").alias("high"))
+        any_ = F.array(ask(F.lit(None), F.lit(None)))
+        found = stored(best_of(chosen.withColumn("asks", any_), base, positives, True).select("row", "place", F.col("id").alias("positive"), F.col("score").alias("positive_score")))
+        # low * p <= 100 n <= high * p, in whole numbers that a long holds.
+        p = F.col("positive_score").cast("decimal(25,0)")
+        asks = F.array_sort(F.collect_list(F.struct("place", ask(F.ceil(p * low / 100), F.floor(p * high / 100)).alias("ask"))))
+        wanted = found.where(F.lit(low) * p <= F.lit(high) * p).groupBy("row").agg(asks.alias("a"))
+        wanted = wanted.select("row", F.transform("a", lambda x: x["ask"]).alias("asks"), F.transform("a", lambda x: x["place"]).alias("places"))
+        mined = best_of(chosen.join(wanted.select("row", "asks"), "row"), base, negatives, False)
+        mined = mined.join(wanted.select("row", "places"), "row").withColumn("positive_place", F.element_at("places", F.col("nth") + 1))
+        named = mined.alias("m").join(found.alias("f"), (F.col("m.row") == F.col("f.row")) & (F.col("m.positive_place") == F.col("f.place"))).join(
+            chosen.select(F.col("row").alias("r"), F.col("id").alias("anchor_id")), F.col("m.row") == F.col("r")
+        )
+        real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+        return keep(named.select("anchor_id", real("positive").alias("positive_id"), F.col("m.place").cast("int").alias("rank"), real("m.id").alias("negative_id"), "positive_score", F.col("m.score").alias("negative_score")))
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
