@@ -1,5 +1,6 @@
 """Files: images through Spark's own reader, and a stream whose batch is replayed."""
 
+import hashlib
 import shutil
 import struct
 import zlib
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from formledger.functions import fields as f
 from formledger.operators import ink, keyed, ledger, scoring
+from formledger.plans import flows
 from formledger.sources import submissions, templates
 from formledger.streaming import incremental
 from tests.test_records import frame, unit
@@ -30,6 +32,14 @@ def test_image_files_to_runs(spark, tmp_path):
     assert submissions.read_submissions(spark, str(tmp_path)).first()["file_name"] == "p.png"
 
 
+@pytest.mark.parametrize("rows", [[], [(7, "b"), (7, "b"), (8, None), (9, ""), (10, "é\n\nx"), (107, "b"), (-3, "y"), (None, "z"), (None, None)]])
+def test_each_page_is_a_submission(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in flows.s3_read_submissions(spark, str(tmp_path)).select("page_id", "size_bytes", "digest").collect()]
+    files = [(i, ((h or "") + "\n").encode()) for i, h in rows]
+    assert sorted(got, key=repr) == sorted([(i, len(x), hashlib.md5(x).hexdigest()) for i, x in files], key=repr)
+
+
 def test_template_files(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"form_name": "x", "zones": {"z": {"type": "rows", "row_boundaries": [5, 9, 14], "row_search_radii": [30, [1, 2]]}}, "fields": [{"name": "n", "type": "text", "box": [1, 2, 3, 4]}]}')
     made = templates.load_templates(spark, str(tmp_path))
