@@ -2,10 +2,10 @@
 
 Every word is a context: its restaurant seats the words that follow it (a text begins and ends with the end token). The
 tables of all contexts are the customers of the word restaurant, the parent they share; its tables in turn are customers of
-the spelling restaurants, which hold contexts of 2, 1 and 0 symbols, each with the context shortened by one as its parent. A pair
-met once has one table, and hands its whole weight back to the parent (a discount of 1); pairs met again have the discount
-of their restaurant. So pairs met once need not be kept one by one: what a word or a context has of them is its count less
-that of its kept pairs.
+the spelling restaurants, which hold contexts of 2, 1 and 0 symbols, each with the context shortened by one as its parent. All
+pairs of the context restaurants have one discount. A pair met once has one table whatever is drawn, so in the sweeps such pairs
+need not be seated one by one: what a word or a context has of them is its count less that of its other pairs. In
+predictions each has its own share, 1 - discount.
 
 A sweep seats all customers of every dish again: the number of its tables is drawn from its conditional distribution given
 the dish's parent probability and its restaurant's tables in the sweep before (all dishes at once, as parallel Gibbs
@@ -20,7 +20,10 @@ Distribution: words and pairs are counted by each task before they are summed, u
 table of the most frequent ones, KNOWN_WORDS at most, and a shuffle for all others. A text's score is a sum of facts: one for
 each token (its probability, and what its context leaves to the parent), and the gain of each pair that is kept. Facts of
 frequent words and pairs are looked up in bounded arrays; the others by one join, where a bitmap of BITS positions
-keeps out most pairs that are not kept. Only that bitmap's usefulness, not the result, depends on the corpus's size.
+keeps out most pairs that are not kept. A pair of a training text has been met, so without a fact of its own it has been met once,
+and its gain is worked out from its words where both are in the array. So where the texts to be scored are known, pairs met once are
+kept only if another text may have them, or if a word of theirs may be beyond the array; bitmaps tell both. Only the bitmaps'
+usefulness, not the result, depends on the corpus's size.
 
 Defined results: null and empty texts are the end token alone; with an empty training set every token is the unknown word
 (N = V = 0, score 0); repeated rows are scored and counted each; a null id counts as the empty text in the fold; other columns are not read.
@@ -244,8 +247,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, word binary, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """Training texts -> (b, w, c): digests of neighbouring words; the end token stands at both ends of a text."""
+def _met(docs: DataFrame) -> DataFrame:
+    """Texts -> (b, w, c): digests of neighbouring words, counted by slice; the end token stands at both ends of a text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, COUNTED):
@@ -257,9 +260,29 @@ def pair_counts(docs: DataFrame) -> DataFrame:
                 some = pairs[begin : begin + ROWS]  # sorted by the first word: equal digests stand together
                 yield pa.RecordBatch.from_arrays([pa.array(number[some >> 32]), pa.array(number[some & 0xFFFFFFFF]), pa.array(c[begin : begin + ROWS])], ["b", "w", "c"])
 
+    return docs.select("text").mapInArrow(count, "b long, w long, c long")
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """Training texts -> (b, w, c): digests of neighbouring words."""
     # A task's pairs are distinct already, so they are dealt before they are summed.
-    rows = docs.select("text").mapInArrow(count, "b long, w long, c long")
-    return rows.repartition("b", "w").groupBy("b", "w").agg(F.sum("c").alias("c"))
+    return _met(docs).repartition("b", "w").groupBy("b", "w").agg(F.sum("c").alias("c"))
+
+
+def _asked(counts: DataFrame, others: DataFrame, rare_words: DataFrame) -> DataFrame:
+    """counts (b, w, c), of those met once only what a text of others may have, or what may have one of rare_words (h)."""
+    context = counts.sparkSession.sparkContext
+    shared = context.broadcast((_bitmap(_met(others).select(pair_number(F.col("b"), F.col("w")).alias("h"))), _bitmap(rare_words)))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, rare = shared.value
+        for batch in batches:
+            b, w, c = (batch.column(n).to_numpy() for n in ("b", "w", "c"))
+            yield batch.filter(pa.array((c > 1) | _hit(pairs, _pair_numbers(b, w)) | _hit(rare, b) | _hit(rare, w)))
+
+    kept = stored(counts.mapInArrow(emit, "b long, w long, c long"))
+    shared.destroy()
+    return kept
 
 
 def frequent(counts: DataFrame, most: int) -> int:
@@ -279,8 +302,9 @@ def frequent(counts: DataFrame, most: int) -> int:
 
 
 class Fitted(NamedTuple):
-    """words: (h, c, p, back), back: what the word's restaurant leaves to the parent; pairs: (b, w, c, t), those met twice or
-    more, with their average tables; unknown: probability of the unknown word."""
+    """words: (h, c, p, back), back: what the word's restaurant leaves to the parent; pairs: (b, w, c, t), with their average
+    tables; unknown: probability of the unknown word; hot, scored: counts from which words are broadcast to joins, to scoring;
+    whole: whether pairs has all that were met once."""
 
     words: DataFrame
     pairs: DataFrame
@@ -289,6 +313,8 @@ class Fitted(NamedTuple):
     unknown: float
     discount: float
     hot: int
+    scored: int
+    whole: bool
 
 
 def _with_words(pairs: DataFrame, words: DataFrame, hot: int, of_word: tuple[str, ...], of_context: tuple[str, ...]) -> DataFrame:
@@ -346,12 +372,13 @@ def _seat_pairs(pairs: DataFrame, discount: float, sweep: int) -> DataFrame:
     return pairs.select("b", "w", "c", "t", "p", "tables").mapInArrow(emit, "b long, w long, c long, t long, now long")
 
 
-def fit(docs: DataFrame, samples: int = SAMPLES) -> Fitted:
-    """docs (text): the training texts."""
+def fit(docs: DataFrame, samples: int = SAMPLES, others: DataFrame | None = None) -> Fitted:
+    """docs (text): the training texts. others (text): if it is known, all other texts that will be scored."""
     counted = stored(word_counts(docs))
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = frequent(counted, KNOWN_WORDS)
-    pairs = stored(pair_counts(docs).where("c > 1").withColumn("t", F.lit(0).cast("long")))
+    hot, scored = frequent(counted, KNOWN_WORDS), frequent(counted, SCORED_WORDS)
+    met = stored(pair_counts(docs)) if others is None else _asked(pair_counts(docs), others, counted.where(F.col("c") < scored))
+    pairs = met.where("c > 1").withColumn("t", F.lit(0).cast("long"))
     again, two = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") == 2, 1))).first()
     discount = _discount(tokens - again, two)
 
@@ -387,16 +414,18 @@ def fit(docs: DataFrame, samples: int = SAMPLES) -> Fitted:
         if sweep < samples:
             spelling = spelling.swept(*_cells(seats), sweep)
             before, pairs = pairs, stored(_seat_pairs(_with_words(pairs, words, hot, ("p",), ("tables",)), discount, sweep))
-            discard(before)
+            if sweep:
+                discard(before)
             more = words.drop("p", "q", "t", "k", "tables").join(by("w", F.col("now"), "wt"), "h", "left").join(by("b", F.col("now"), "bt"), "h", "left")
             words = stored(more.withColumns({"k": F.col("w1") + F.coalesce("wt", none), "tables": F.col("b1") + F.coalesce("bt", none)}).drop("wt", "bt"))
             discard(seats)
             pairs = pairs.drop("now")
     tables = F.col("tables_sum") / samples
-    back = (CONTEXT_THETA + F.col("b1") + discount * (tables - F.col("b1"))) / (CONTEXT_THETA + F.col("c"))
+    back = (CONTEXT_THETA + discount * tables) / (CONTEXT_THETA + F.col("c"))
     final = stored(words.select("h", "c", (F.col("p_sum") / samples).alias("p"), back.alias("back")))
     discard(seats)
-    return Fitted(final, pairs.withColumn("t", F.col("t") / samples), tokens, vocabulary, max(unknown, 1e-300) if tokens else 1.0, discount, hot)
+    seated = pairs.withColumn("t", F.col("t") / samples).unionByName(met.where("c = 1").withColumn("t", F.lit(1.0)))
+    return Fitted(final, seated, tokens, vocabulary, max(unknown, 1e-300) if tokens else 1.0, discount, hot, scored, others is None)
 
 
 # --- scoring
@@ -430,22 +459,37 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def score(docs: DataFrame, model: Fitted) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_tokens, n_known, base_score, score by row."""
+def _hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a _bitmap may have h."""
+    place = (h.view(np.uint64) >> np.uint64(65 - (8 * len(bits)).bit_length())).astype(np.int64)
+    return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def score(docs: DataFrame, model: Fitted, last: bool = False) -> DataFrame:
+    """docs (doc_id, text, and train: whether fit had the text, taken as no without it) -> doc_id, n_tokens, n_known, base_score,
+    score by row. last: nothing else reads the model's pairs, so they are deleted as soon as their facts are stored."""
+    if not model.whole and "train" not in docs.columns:
+        raise ValueError("a model that was fitted for certain other texts needs a column train")
+    train = F.coalesce("train", F.lit(False)) if "train" in docs.columns else F.lit(False)
     whole, unknown = float(np.log10(model.tokens + model.vocabulary + 1)), float(np.log10(model.unknown))
-    # A word's fact: log10 of its count and 1, of its probability, and of what it leaves to the parent as a context.
-    words = model.words.select("h", "c", F.log10(F.col("c") + 1).alias("base"), F.log10(F.col("p") * F.col("back")).alias("v"))
+    # A word's fact: log10 of its count and 1, of its probability, and of what it leaves to the parent as a context; also the
+    # share of a pair that it meets once, against what it leaves.
+    once = ((1 - model.discount) / (CONTEXT_THETA + F.col("c")) / F.col("back")).alias("once")
+    words = model.words.select("h", "c", F.log10(F.col("c") + 1).alias("base"), F.log10(F.col("p") * F.col("back")).alias("v"), "p", once)
     near = _with_words(model.pairs, model.words.withColumn("n", F.col("c")), model.hot, ("p",), ("back", "n"))
     own = (F.col("c") - model.discount * F.col("t")) / (CONTEXT_THETA + F.col("n"))
-    pairs = stored(near.select(pair_number(F.col("b"), F.col("w")).alias("h"), "c", F.log10(1 + own / (F.col("back") * F.col("p"))).alias("v")))
-    often, hot = frequent(pairs, SCORED_PAIRS), frequent(model.words, SCORED_WORDS)
+    pairs = stored(near.select(pair_number(F.col("b"), F.col("w")).alias("h"), "c", F.log10(1 + own / (F.col("back") * F.col("p"))).cast("float").alias("v")))
+    if last:
+        discard(model.pairs)
+    often, hot = frequent(pairs, SCORED_PAIRS), model.scored
     rare_pairs = pairs.where(F.col("c") < often)
     facts = words.where(F.col("c") < hot).select("h", "base", (F.col("v") - unknown).alias("v")).unionByName(rare_pairs.select("h", F.lit(0.0).alias("base"), "v"))
     shared = docs.sparkSession.sparkContext.broadcast(
-        (_array(words.where(F.col("c") >= hot).select("h", "base", "v")), _array(pairs.where(F.col("c") >= often).select("h", F.col("v").cast("float"))), _bitmap(rare_pairs))
+        (_array(words.where(F.col("c") >= hot).select("h", "base", "v", "p", "once")), _array(pairs.where(F.col("c") >= often).select("h", "v")), _bitmap(rare_pairs.where("c > 1")), _bitmap(rare_pairs.where("c = 1")))
     )
     kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("v", pa.float64())]
-    schema = "row long, h long, doc struct<doc_id: long, n_tokens: long, n_known: long, base: double, v: double>"
+    names = ["row", "h", "less", "doc"]
+    schema = "row long, h long, less float, doc struct<doc_id: long, n_tokens: long, n_known: long, base: double, v: double>"
 
     def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(keys):
@@ -454,7 +498,7 @@ def score(docs: DataFrame, model: Fitted) -> DataFrame:
         return at, keys[at] == wanted
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (word_keys, word_base, word_v), (pair_keys, pair_v), bits = shared.value
+        (word_keys, word_base, word_v, word_p, word_once), (pair_keys, pair_v), again, single = shared.value
         for part in slices(batches, SCORED):
             n, at, words = sequences(part.column("text"))
             number, doc = digests(words), np.repeat(np.arange(len(n)), n)
@@ -462,25 +506,33 @@ def score(docs: DataFrame, model: Fitted) -> DataFrame:
             base = np.where(known, word_base[where], 0.0) if len(word_keys) else np.zeros(len(number))
             v = np.where(known, word_v[where], unknown) if len(word_keys) else np.full(len(number), unknown)
             # Digests of pairs, each distinct one looked up once.
-            pairs, pair_at = np.unique(_pair_numbers(number[np.concatenate(([len(words)], at[:-1]))], number[at]), return_inverse=True)
-            where, often = found_in(pair_keys, pairs)
-            gain = np.where(often, pair_v[where], 0.0) if len(pair_keys) else np.zeros(len(pairs))
-            place = (pairs.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
-            perhaps = ~often & ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
-            cold_words, cold_pairs = np.flatnonzero(~known[at]), np.flatnonzero(perhaps[pair_at])
+            before = np.concatenate(([len(words)], at[:-1]))
+            pairs, pair_at = np.unique(_pair_numbers(number[before], number[at]), return_inverse=True)
+            found, often = found_in(pair_keys, pairs)
+            gain = np.where(often, pair_v[found], 0.0) if len(pair_keys) else np.zeros(len(pairs))
+            # What a pair met once gains: it is so in a training text, unless the join finds a fact.
+            token = np.zeros(len(pairs), np.int64)
+            token[pair_at] = np.arange(len(at))
+            b, w, once = before[token], at[token], np.zeros(len(pairs), np.float32)
+            near = np.flatnonzero(~often & known[b] & known[w])
+            once[near] = np.log1p(word_once[where[b[near]]] / word_p[where[w[near]]]) / np.log(10)
+            less = np.where(part.column("train").to_numpy(zero_copy_only=False)[doc], once[pair_at], np.float32(0))
+            perhaps, alone = ~often & _hit(again, pairs), ~often & _hit(single, pairs)
+            cold_words, cold_pairs = np.flatnonzero(~known[at]), np.flatnonzero(perhaps[pair_at] | (alone[pair_at] & (less == 0)))
             total = lambda values: np.bincount(doc, values, len(n))  # noqa: B023, E731
-            found = [part.column("doc_id"), pa.array(n), pa.array(total(known[at].astype(float)).astype(np.int64)), pa.array(total(base[at])), pa.array(total(v[at] + gain[pair_at]))]
+            found = [part.column("doc_id"), pa.array(n), pa.array(total(known[at].astype(float)).astype(np.int64)), pa.array(total(base[at])), pa.array(total(v[at] + gain[pair_at] + less))]
             own = pa.StructArray.from_arrays(found, fields=[pa.field(k, t) for k, t in kinds])
             rows = part.column("row").to_numpy()
             # A text's own row has nothing to look up: its key spreads it.
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(number[at[np.cumsum(n) - n]] ^ (rows << 20)), own], ["row", "h", "doc"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(number[at[np.cumsum(n) - n]] ^ (rows << 20)), pa.nulls(len(rows), pa.float32()), own], names)
             owner = rows[np.concatenate((doc[cold_words], doc[cold_pairs]))]
             keys = np.concatenate((number[at[cold_words]], pairs[pair_at[cold_pairs]]))
+            less = np.concatenate((np.zeros(len(cold_words), np.float32), less[cold_pairs]))
             for begin in range(0, len(keys), ROWS):
                 some = keys[begin : begin + ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(owner[begin : begin + ROWS]), pa.array(some), pa.nulls(len(some), own.type)], ["row", "h", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(owner[begin : begin + ROWS]), pa.array(some), pa.array(less[begin : begin + ROWS]), pa.nulls(len(some), own.type)], names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, schema)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train")).mapInArrow(split, schema)
     added = rows.join(facts, "h", "left").where("doc IS NOT NULL OR v IS NOT NULL")
     of = lambda name: F.when(F.col("doc").isNotNull(), F.col(f"doc.{name}"))
     return added.groupBy("row").agg(
@@ -488,16 +540,16 @@ def score(docs: DataFrame, model: Fitted) -> DataFrame:
         F.sum(of("n_tokens")).alias("n_tokens"),
         F.sum(F.coalesce(of("n_known"), (F.col("base") > 0).cast("long"))).alias("n_known"),
         (F.sum(F.coalesce(of("base"), "base")) - F.sum(of("n_tokens")) * F.lit(whole)).alias("base_score"),
-        F.sum(F.coalesce(of("v"), "v")).alias("score"),
+        F.sum(F.coalesce(of("v"), F.col("v") - F.coalesce("less", F.lit(0.0)))).alias("score"),
     ).drop("row")
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("train", fold(F.col("doc_id"), 7) != 2)
     with scratch(spark) as keep:
-        model = fit(docs.where("train"))
+        model = fit(docs.where("train"), others=docs.where("NOT train"))
         return keep(
-            score(docs, model).select(
+            score(docs, model, last=True).select(
                 "doc_id",
                 (fold(F.col("doc_id"), 7) == 2).alias("held_out"),
                 "n_tokens",

@@ -585,6 +585,42 @@ def test_language_model_scores(spark, monkeypatch, known, train):
     assert pitman_yor.score(docs.limit(0), model).count() == 0
 
 
+def test_pairs_met_once_have_the_restaurant_s_discount(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "a b d"), (3, "e"), (4, None)], "doc_id long, text string")
+    model = pitman_yor.fit(docs)
+    met = Counter(p for _, t in texts(docs) for w in [[b"", *(t or "").encode().split(), b""]] for p in zip(w[:-1], w[1:], strict=True))
+    pairs = {(r["b"], r["w"]): r for r in model.pairs.collect()}
+    assert {k: r["c"] for k, r in pairs.items()} == {(number(a), number(b)): c for (a, b), c in met.items()}
+    assert all(r["t"] == 1 for r in pairs.values() if r["c"] == 1) and 0 < model.discount < 1
+    word = {r["h"]: r for r in model.words.collect()}
+    own = lambda a, b: (pairs[a, b]["c"] - model.discount * pairs[a, b]["t"]) / (pitman_yor.CONTEXT_THETA + word[a]["c"])
+    end, e, d = number(b""), number(b"e"), number(b"d")
+    want = sum(np.log10(own(a, b) + word[a]["back"] * word[b]["p"]) for a, b in ((end, e), (e, end)))
+    unmet = np.log10(own(end, e) + word[end]["back"] * word[e]["p"]) + np.log10(word[e]["back"] * word[d]["p"]) + np.log10(own(d, end) + word[d]["back"] * word[end]["p"])
+    got = pitman_yor.score(spark.createDataFrame([(3, "e"), (9, "e d")], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx({3: want, 9: unmet}, abs=1e-5)
+
+
+@pytest.mark.parametrize(("most", "bits"), [(1_000_000, 27), (40, 15), (0, 20)])
+def test_scores_where_the_other_texts_are_known(spark, monkeypatch, most, bits):
+    """Of pairs met once, fewer are kept; the scores are those of all."""
+    for name in ("KNOWN_WORDS", "SCORED_WORDS", "SCORED_PAIRS"):
+        monkeypatch.setattr(pitman_yor, name, most)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(30)), i % 5 > 0) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (150, None, True), (151, "", False), (152, "w1 nowhere w2", False), (153, rows[1][1], True)], "doc_id long, text string, train boolean")
+    whole = pitman_yor.fit(docs.where("train"))
+    want = {r["doc_id"]: tuple(r)[1:] for r in pitman_yor.score(docs.drop("train"), whole).collect()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in pitman_yor.score(docs, whole).collect()} == {d: pytest.approx(x, abs=1e-4) for d, x in want.items()}
+    monkeypatch.setattr(pitman_yor, "BITS", bits)
+    model = pitman_yor.fit(docs.where("train"), others=docs.where("not train"))
+    if most == 1_000_000:
+        assert model.pairs.count() < whole.pairs.count()
+    assert {r["doc_id"]: tuple(r)[1:] for r in pitman_yor.score(docs, model).collect()} == {d: pytest.approx(x, abs=1e-4) for d, x in want.items()}
+    with pytest.raises(ValueError, match="train"):
+        pitman_yor.score(docs.drop("train"), model)
+
+
 def test_word_order_counts(spark):
     rows = [(i, "red cat sat on the mat", True) for i in range(30)] + [(98, "the mat sat on red cat", False), (99, "red cat sat on the mat", False), (None, "the zebra", False), (97, None, False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
