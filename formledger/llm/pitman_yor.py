@@ -16,8 +16,9 @@ from the averages add up to 1.
 The outcomes are the training words and one "unknown word", whose base probability is what the spelling model leaves to
 all other spellings; so a score is the probability of the text as those tokens, comparable with the base score.
 
-Distribution: words and pairs are counted by each task before they are summed, under 64-bit digests of the words. Lookups of words use a broadcast
-table of the most frequent ones, KNOWN_WORDS at most, and a shuffle for all others. A text's score is a sum of facts: one for
+Distribution: words and pairs are counted by each task before they are summed, under 64-bit digests of the words. A pair of two of the most
+frequent words, KNOWN_WORDS at most, is marked as near when it is stored; its words are looked up in arrays that Python's tasks share, so
+that the driver builds no join tables. All other pairs get their words by a shuffle. A text's score is a sum of facts: one for
 each token (its probability, and what its context leaves to the parent), and the gain of each pair that is kept. Facts of
 frequent words and pairs are looked up in bounded arrays; the others by one join, where a bitmap of BITS positions
 keeps out most pairs that are not kept. A pair of a training text has been met, so without a fact of its own it has been met once,
@@ -31,13 +32,14 @@ Defined results: null and empty texts are the end token alone; with an empty tra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ SAMPLES = 2
 THETA, CONTEXT_THETA = 100.0, 1.0
 #: Discount and concentration of the spelling restaurants, by context length.
 SPELLING = ((0.3, 1.0), (0.5, 1.0), (0.6, 2.0))
-#: The most words that are broadcast to joins; the most words, and pairs, whose facts are broadcast for scoring; the positions
+#: The most words that are broadcast for lookups of pairs; the most words, and pairs, whose facts are broadcast for scoring; the positions
 #: of the bitmap of all other kept pairs, as a power of two.
 KNOWN_WORDS, SCORED_WORDS, SCORED_PAIRS, BITS = 300_000, 1_000_000, 2_000_000, 27
 #: Bytes of text that a task counts, or scores, at once, and rows that it hands on at once.
@@ -269,19 +271,26 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     return _met(docs).repartition("b", "w").groupBy("b", "w").agg(F.sum("c").alias("c"))
 
 
-def _asked(counts: DataFrame, others: DataFrame, rare_words: DataFrame) -> DataFrame:
-    """counts (b, w, c), of those met once only what a text of others may have, or what may have one of rare_words (h)."""
+def _kept(counts: DataFrame, known: DataFrame, asked: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """counts (b, w, c) -> with near: whether both are words of known (h). asked: of pairs met once keeps only what may be in
+    its first table (h: the pair's number), or may have a word of its second (h)."""
     context = counts.sparkSession.sparkContext
-    shared = context.broadcast((_bitmap(_met(others).select(pair_number(F.col("b"), F.col("w")).alias("h"))), _bitmap(rare_words)))
+    # One after the other, so that the driver holds one at a time.
+    words, *bits = shared = [context.broadcast(_array(known.select("h")))] + [context.broadcast(_bitmap(x)) for x in asked or ()]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, rare = shared.value
+        (keys,) = words.value
         for batch in batches:
-            b, w, c = (batch.column(n).to_numpy() for n in ("b", "w", "c"))
-            yield batch.filter(pa.array((c > 1) | _hit(pairs, _pair_numbers(b, w)) | _hit(rare, b) | _hit(rare, w)))
-
-    kept = stored(counts.mapInArrow(emit, "b long, w long, c long"))
-    shared.destroy()
+            if bits:
+                b, w, c = (batch.column(n).to_numpy() for n in ("b", "w", "c"))
+                pairs, rare = (x.value for x in bits)
+                batch = batch.filter(pa.array((c > 1) | _hit(pairs, _pair_numbers(b, w)) | _hit(rare, b) | _hit(rare, w)))
+            near = _found(keys, batch.column("b").to_numpy())[1] & _found(keys, batch.column("w").to_numpy())[1]
+            yield batch.append_column("near", pa.array(near))
+
+    kept = stored(counts.mapInArrow(emit, "b long, w long, c long, near boolean"))
+    for x in shared:
+        x.destroy()
     return kept
 
 
@@ -302,9 +311,9 @@ def frequent(counts: DataFrame, most: int) -> int:
 
 
 class Fitted(NamedTuple):
-    """words: (h, c, p, back), back: what the word's restaurant leaves to the parent; pairs: (b, w, c, t), with their average
-    tables; unknown: probability of the unknown word; hot, scored: counts from which words are broadcast to joins, to scoring;
-    whole: whether pairs has all that were met once."""
+    """words: (h, c, p, back), back: what the word's restaurant leaves to the parent; pairs: (b, w, c, t, near), with their average
+    tables; unknown: probability of the unknown word; hot, scored: counts from which words are broadcast for near pairs, for
+    scoring; whole: whether pairs has all that were met once."""
 
     words: DataFrame
     pairs: DataFrame
@@ -317,14 +326,32 @@ class Fitted(NamedTuple):
     whole: bool
 
 
-def _with_words(pairs: DataFrame, words: DataFrame, hot: int, of_word: tuple[str, ...], of_context: tuple[str, ...]) -> DataFrame:
-    """pairs with columns of words for w and for b. Words of hot occurrences or more are broadcast, KNOWN_WORDS at most."""
-    known = words.where(F.col("c") >= hot)
-    named = lambda rows, key, columns: rows.select(F.col("h").alias(key), *columns)
-    near = pairs.join(F.broadcast(named(known, "w", of_word)), "w", "left").join(F.broadcast(named(known, "b", of_context)), "b", "left")
-    found = F.col(of_word[0]).isNotNull() & F.col(of_context[0]).isNotNull()
-    far = near.where(~found).select(*pairs.columns).join(named(words, "w", of_word), "w").join(named(words, "b", of_context), "b")
-    return near.where(found).unionByName(far) if hot > 1 else near
+def _stored_with_words(pairs: DataFrame, words: DataFrame, hot: int, of_word: tuple[str, ...], of_context: tuple[str, ...], then: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """What then(batch of pairs, columns of words for w, those for b) makes of all pairs (b, w, near, any others), with near.
+    Words of hot occurrences or more, KNOWN_WORDS at most, are broadcast for near pairs."""
+    known = pairs.sparkSession.sparkContext.broadcast(_array(words.where(F.col("c") >= hot).select("h", *of_word, *of_context)))
+    columns = [n for n in pairs.columns if n != "near"]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, *values = known.value
+        for batch in batches:
+            if batch.num_rows:
+                w, b = (_found(keys, batch.column(n).to_numpy())[0] for n in ("w", "b"))
+                yield then(batch, *(v[w] for v in values[: len(of_word)]), *(v[b] for v in values[len(of_word) :]))
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield then(batch, *(batch.column(n).to_numpy() for n in (*of_word, *of_context)))
+
+    out = pairs.where("near").select(columns).mapInArrow(near, schema).withColumn("near", F.lit(True))
+    if hot > 1:
+        named = lambda key, wanted: words.select(F.col("h").alias(key), *wanted)
+        joined = pairs.where("NOT near").select(columns).join(named("w", of_word), "w").join(named("b", of_context), "b")
+        out = out.unionByName(joined.select(*columns, *of_word, *of_context).mapInArrow(far, schema).withColumn("near", F.lit(False)))
+    out = stored(out)
+    known.destroy()
+    return out
 
 
 def _seat_words(words: DataFrame, spelling: Spelling, tables: float, discount: float, sweep: int) -> DataFrame:
@@ -360,16 +387,15 @@ def _cells(seats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], n[order]
 
 
-def _seat_pairs(pairs: DataFrame, discount: float, sweep: int) -> DataFrame:
-    """pairs (b, w, c, t, p, tables) -> b, w, c, t: with this sweep's tables added, now: these alone."""
+def _seat_pairs(pairs: DataFrame, words: DataFrame, hot: int, discount: float, sweep: int) -> DataFrame:
+    """pairs (b, w, c, t, near), words (h, c, p, tables) -> b, w, c, t: with this sweep's tables added, near, now: these alone."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = (CONTEXT_THETA + discount * batch.column("tables").to_numpy()) * batch.column("p").to_numpy()
-            now = seat(batch.column("c").to_numpy(), new, discount, Draws(_pair_numbers(batch.column("b").to_numpy(), batch.column("w").to_numpy()), sweep))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("b", "w", "c")), pa.array(batch.column("t").to_numpy() + now), pa.array(now)], ["b", "w", "c", "t", "now"])
+    def seated(batch: pa.RecordBatch, p: np.ndarray, tables: np.ndarray) -> pa.RecordBatch:
+        b, w, c, t = (batch.column(n) for n in ("b", "w", "c", "t"))
+        now = seat(c.to_numpy(), (CONTEXT_THETA + discount * tables) * p, discount, Draws(_pair_numbers(b.to_numpy(), w.to_numpy()), sweep))
+        return pa.RecordBatch.from_arrays([b, w, c, pa.array(t.to_numpy() + now), pa.array(now)], ["b", "w", "c", "t", "now"])
 
-    return pairs.select("b", "w", "c", "t", "p", "tables").mapInArrow(emit, "b long, w long, c long, t long, now long")
+    return _stored_with_words(pairs, words, hot, ("p",), ("tables",), seated, "b long, w long, c long, t long, now long")
 
 
 def fit(docs: DataFrame, samples: int = SAMPLES, others: DataFrame | None = None) -> Fitted:
@@ -377,7 +403,8 @@ def fit(docs: DataFrame, samples: int = SAMPLES, others: DataFrame | None = None
     counted = stored(word_counts(docs))
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     hot, scored = frequent(counted, KNOWN_WORDS), frequent(counted, SCORED_WORDS)
-    met = stored(pair_counts(docs)) if others is None else _asked(pair_counts(docs), others, counted.where(F.col("c") < scored))
+    asked = None if others is None else (_met(others).select(pair_number(F.col("b"), F.col("w")).alias("h")), counted.where(F.col("c") < scored))
+    met = _kept(pair_counts(docs), counted.where(F.col("c") >= hot), asked)
     pairs = met.where("c > 1").withColumn("t", F.lit(0).cast("long"))
     again, two = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") == 2, 1))).first()
     discount = _discount(tokens - again, two)
@@ -413,7 +440,7 @@ def fit(docs: DataFrame, samples: int = SAMPLES, others: DataFrame | None = None
             words = words.withColumns({"p_sum": F.col("p_sum") + F.col("p"), "tables_sum": F.col("tables_sum") + F.col("tables")})
         if sweep < samples:
             spelling = spelling.swept(*_cells(seats), sweep)
-            before, pairs = pairs, stored(_seat_pairs(_with_words(pairs, words, hot, ("p",), ("tables",)), discount, sweep))
+            before, pairs = pairs, _seat_pairs(pairs, words, hot, discount, sweep)
             if sweep:
                 discard(before)
             more = words.drop("p", "q", "t", "k", "tables").join(by("w", F.col("now"), "wt"), "h", "left").join(by("b", F.col("now"), "bt"), "h", "left")
@@ -444,9 +471,16 @@ def _pair_numbers(b: np.ndarray, w: np.ndarray) -> np.ndarray:
 def _array(rows: DataFrame) -> tuple[np.ndarray, ...]:
     """The columns of bounded rows as arrays, sorted by the first."""
     found = rows.toArrow()
-    columns = [c.to_numpy() for c in found.columns]
-    order = np.argsort(columns[0])
-    return tuple(c[order] for c in columns)
+    order = np.argsort(found.column(0).to_numpy())
+    return tuple(c.to_numpy()[order] for c in found.columns)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted number stands in the sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
@@ -454,8 +488,8 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     at = F.shiftrightunsigned("h", 64 - BITS)
     blocks = rows.groupBy(F.shiftright(at, 15).alias("block")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).toArrow()
     out = np.zeros((max(1, 1 << (BITS - 15)), 4096), np.uint8)
-    for block, bits in zip(blocks.column("block").to_pylist(), blocks.column("bits").to_pylist(), strict=True):
-        out[block] = np.frombuffer(bits, np.uint8)
+    for block, bits in zip(blocks.column("block"), blocks.column("bits"), strict=True):
+        out[block.as_py()] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out.ravel()
 
 
@@ -465,50 +499,57 @@ def _hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def score(docs: DataFrame, model: Fitted, last: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Fitted, last: bool = False, held: list[Broadcast] | None = None) -> DataFrame:
     """docs (doc_id, text, and train: whether fit had the text, taken as no without it) -> doc_id, n_tokens, n_known, base_score,
-    score by row. last: nothing else reads the model's pairs, so they are deleted as soon as their facts are stored."""
+    score by row. last: nothing else reads the model's pairs, so they are deleted as soon as their facts are stored.
+    held: gets what the tasks share, to be destroyed once the scores are stored."""
     if not model.whole and "train" not in docs.columns:
         raise ValueError("a model that was fitted for certain other texts needs a column train")
     train = F.coalesce("train", F.lit(False)) if "train" in docs.columns else F.lit(False)
+    discount = model.discount
     whole, unknown = float(np.log10(model.tokens + model.vocabulary + 1)), float(np.log10(model.unknown))
     # A word's fact: log10 of its count and 1, of its probability, and of what it leaves to the parent as a context; also the
     # share of a pair that it meets once, against what it leaves.
-    once = ((1 - model.discount) / (CONTEXT_THETA + F.col("c")) / F.col("back")).alias("once")
+    once = ((1 - discount) / (CONTEXT_THETA + F.col("c")) / F.col("back")).alias("once")
     words = model.words.select("h", "c", F.log10(F.col("c") + 1).alias("base"), F.log10(F.col("p") * F.col("back")).alias("v"), "p", once)
-    near = _with_words(model.pairs, model.words.withColumn("n", F.col("c")), model.hot, ("p",), ("back", "n"))
-    own = (F.col("c") - model.discount * F.col("t")) / (CONTEXT_THETA + F.col("n"))
-    pairs = stored(near.select(pair_number(F.col("b"), F.col("w")).alias("h"), "c", F.log10(1 + own / (F.col("back") * F.col("p"))).cast("float").alias("v")))
+
+    def gained(batch: pa.RecordBatch, p: np.ndarray, back: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        b, w, c, t = (batch.column(k).to_numpy() for k in ("b", "w", "c", "t"))
+        own = (c - discount * t) / (CONTEXT_THETA + n)
+        return pa.RecordBatch.from_arrays([pa.array(_pair_numbers(b, w)), batch.column("c"), pa.array(np.log10(1 + own / (back * p)).astype(np.float32))], ["h", "c", "v"])
+
+    pairs = _stored_with_words(model.pairs, model.words.withColumn("n", F.col("c")), model.hot, ("p",), ("back", "n"), gained, "h long, c long, v float")
     if last:
         discard(model.pairs)
     often, hot = frequent(pairs, SCORED_PAIRS), model.scored
     rare_pairs = pairs.where(F.col("c") < often)
     facts = words.where(F.col("c") < hot).select("h", "base", (F.col("v") - unknown).alias("v")).unionByName(rare_pairs.select("h", F.lit(0.0).alias("base"), "v"))
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (_array(words.where(F.col("c") >= hot).select("h", "base", "v", "p", "once")), _array(pairs.where(F.col("c") >= often).select("h", "v")), _bitmap(rare_pairs.where("c > 1")), _bitmap(rare_pairs.where("c = 1")))
+    send = docs.sparkSession.sparkContext.broadcast
+    # One after the other, so that the driver holds one at a time.
+    shared = (
+        send(_array(words.where(F.col("c") >= hot).select("h", "base", "v", "p", "once"))),
+        send(_array(pairs.where(F.col("c") >= often).select("h", "v"))),
+        send(_bitmap(rare_pairs.where("c > 1"))),
+        send(_bitmap(rare_pairs.where("c = 1"))),
     )
+    if held is not None:
+        held += shared
     kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("v", pa.float64())]
     names = ["row", "h", "less", "doc"]
     schema = "row long, h long, less float, doc struct<doc_id: long, n_tokens: long, n_known: long, base: double, v: double>"
 
-    def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (word_keys, word_base, word_v, word_p, word_once), (pair_keys, pair_v), again, single = shared.value
+        (word_keys, word_base, word_v, word_p, word_once), (pair_keys, pair_v), again, single = (x.value for x in shared)
         for part in slices(batches, SCORED):
             n, at, words = sequences(part.column("text"))
             number, doc = digests(words), np.repeat(np.arange(len(n)), n)
-            where, known = found_in(word_keys, number)
+            where, known = _found(word_keys, number)
             base = np.where(known, word_base[where], 0.0) if len(word_keys) else np.zeros(len(number))
             v = np.where(known, word_v[where], unknown) if len(word_keys) else np.full(len(number), unknown)
             # Digests of pairs, each distinct one looked up once.
             before = np.concatenate(([len(words)], at[:-1]))
             pairs, pair_at = np.unique(_pair_numbers(number[before], number[at]), return_inverse=True)
-            found, often = found_in(pair_keys, pairs)
+            found, often = _found(pair_keys, pairs)
             gain = np.where(often, pair_v[found], 0.0) if len(pair_keys) else np.zeros(len(pairs))
             # What a pair met once gains: it is so in a training text, unless the join finds a fact.
             token = np.zeros(len(pairs), np.int64)
@@ -546,10 +587,11 @@ def score(docs: DataFrame, model: Fitted, last: bool = False) -> DataFrame:
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("train", fold(F.col("doc_id"), 7) != 2)
+    held: list[Broadcast] = []
     with scratch(spark) as keep:
         model = fit(docs.where("train"), others=docs.where("NOT train"))
-        return keep(
-            score(docs, model, last=True).select(
+        out = keep(
+            score(docs, model, last=True, held=held).select(
                 "doc_id",
                 (fold(F.col("doc_id"), 7) == 2).alias("held_out"),
                 "n_tokens",
@@ -559,6 +601,9 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "score",
             )
         )
+    for x in held:
+        x.destroy()
+    return out
 
 
 QUERIES = {"op8_language_model": op8_language_model}

@@ -621,6 +621,32 @@ def test_scores_where_the_other_texts_are_known(spark, monkeypatch, most, bits):
         pitman_yor.score(docs.drop("train"), model)
 
 
+def test_pairs_get_their_words_without_join_tables_of_the_driver(spark, monkeypatch):
+    """The driver builds no broadcast relation of words, and its shared arrays go; near and far pairs score alike."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(30)), i % 4 > 0) for i in range(80)]
+    docs = spark.createDataFrame([*rows, (80, None, True), (81, "w1 nowhere w2", False)], "doc_id long, text string, train boolean")
+    plans, stored, found = [], pitman_yor.stored, {}
+    monkeypatch.setattr(pitman_yor, "stored", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # only a hint could ask for one
+    try:
+        for known in (300_000, 12, 0):
+            monkeypatch.setattr(pitman_yor, "KNOWN_WORDS", known)
+            held = []
+            model = pitman_yor.fit(docs.where("train"), others=docs.where("NOT train"))
+            found[known] = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, model, held=held).collect()}
+            near = {r["near"] for r in model.pairs.select("near").collect()}
+            assert near == {300_000: {True}, 12: {True, False}, 0: {False}}[known]
+            assert len(held) == 4
+            for x in held:
+                x.destroy()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) > 20 and not any("Broadcast" in p for p in plans)
+    assert len(found[12]) == 82 and all(found[k] == pytest.approx(found[300_000], abs=1e-4) for k in (12, 0))
+
+
 def test_word_order_counts(spark):
     rows = [(i, "red cat sat on the mat", True) for i in range(30)] + [(98, "the mat sat on red cat", False), (99, "red cat sat on the mat", False), (None, "the zebra", False), (97, None, False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
