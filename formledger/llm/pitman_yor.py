@@ -55,6 +55,8 @@ SPELLING = ((0.3, 1.0), (0.5, 1.0), (0.6, 2.0))
 KNOWN_WORDS, SCORED_WORDS, SCORED_PAIRS, BITS = 300_000, 1_000_000, 2_000_000, 27
 #: Bytes of text that a task counts, or scores, at once, and rows that it hands on at once.
 COUNTED, SCORED, ROWS = 10 << 20, 4 << 20, 1 << 17
+#: Bytes of rows that a task seats at once.
+SEATED = 4 << 20
 #: Customers up to which a dish's tables are drawn exactly.
 EXACT = 128
 END = b""
@@ -326,6 +328,20 @@ class Fitted(NamedTuple):
     whole: bool
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches again, SEATED bytes at once at most, or one batch: seating has a cost by batch."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > SEATED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _stored_with_words(pairs: DataFrame, words: DataFrame, hot: int, of_word: tuple[str, ...], of_context: tuple[str, ...], then: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
     """What then(batch of pairs, columns of words for w, those for b) makes of all pairs (b, w, near, any others), with near.
     Words of hot occurrences or more, KNOWN_WORDS at most, are broadcast for near pairs."""
@@ -334,15 +350,13 @@ def _stored_with_words(pairs: DataFrame, words: DataFrame, hot: int, of_word: tu
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, *values = known.value
-        for batch in batches:
-            if batch.num_rows:
-                w, b = (_found(keys, batch.column(n).to_numpy())[0] for n in ("w", "b"))
-                yield then(batch, *(v[w] for v in values[: len(of_word)]), *(v[b] for v in values[len(of_word) :]))
+        for batch in _together(batches):
+            w, b = (_found(keys, batch.column(n).to_numpy())[0] for n in ("w", "b"))
+            yield then(batch, *(v[w] for v in values[: len(of_word)]), *(v[b] for v in values[len(of_word) :]))
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield then(batch, *(batch.column(n).to_numpy() for n in (*of_word, *of_context)))
+        for batch in _together(batches):
+            yield then(batch, *(batch.column(n).to_numpy() for n in (*of_word, *of_context)))
 
     out = pairs.where("near").select(columns).mapInArrow(near, schema).withColumn("near", F.lit(True))
     if hot > 1:
@@ -359,11 +373,10 @@ def _seat_words(words: DataFrame, spelling: Spelling, tables: float, discount: f
     state = words.sparkSession.sparkContext.broadcast(spelling)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                q = state.value.words(batch.column("word").to_pylist())
-                t = seat(batch.column("k").to_numpy(), (THETA + discount * tables) * q, discount, Draws(batch.column("h").to_numpy(), sweep))
-                yield batch.append_column("t", pa.array(t, pa.int64())).append_column("q", pa.array(q))
+        for batch in _together(batches):
+            q = state.value.words(batch.column("word").to_pylist())
+            t = seat(batch.column("k").to_numpy(), (THETA + discount * tables) * q, discount, Draws(batch.column("h").to_numpy(), sweep))
+            yield batch.append_column("t", pa.array(t, pa.int64())).append_column("q", pa.array(q))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
     return words.mapInArrow(emit, f"{schema}, t long, q double")

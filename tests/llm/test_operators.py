@@ -647,6 +647,16 @@ def test_pairs_get_their_words_without_join_tables_of_the_driver(spark, monkeypa
     assert len(found[12]) == 82 and all(found[k] == pytest.approx(found[300_000], abs=1e-4) for k in (12, 0))
 
 
+def test_batches_seated_together(monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(range(a, b), pa.int64()), "word": pa.array([b"x" * (i % 5) for i in range(a, b)], pa.binary())}) for a, b in ((0, 4), (4, 4), (4, 5), (5, 90), (90, 93), (93, 95))]
+    for most in (1, 100, 1 << 20):
+        monkeypatch.setattr(pitman_yor, "SEATED", most)
+        got = list(pitman_yor._together(iter(batches)))
+        assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches(batches).to_pydict()
+        assert len(got) in {1: (5,), 100: (3, 4), 1 << 20: (1,)}[most]
+    assert not list(pitman_yor._together(iter([]))) and not list(pitman_yor._together(iter(batches[1:2])))
+
+
 def test_word_order_counts(spark):
     rows = [(i, "red cat sat on the mat", True) for i in range(30)] + [(98, "the mat sat on red cat", False), (99, "red cat sat on the mat", False), (None, "the zebra", False), (97, None, False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
