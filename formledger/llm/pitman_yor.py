@@ -43,7 +43,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formledger.llm.common import coded_words, discard, fold, scratch, slices, stored, table
+from formledger.llm.common import coded_words, discard, fold, n_words, scratch, slices, stored, table
 
 SAMPLES = 2
 #: Concentrations of the word restaurant and of the context restaurants.
@@ -57,6 +57,9 @@ KNOWN_WORDS, SCORED_WORDS, SCORED_PAIRS, BITS = 300_000, 1_000_000, 2_000_000, 2
 COUNTED, SCORED, ROWS = 10 << 20, 4 << 20, 1 << 17
 #: Bytes of rows that a task seats at once.
 SEATED = 4 << 20
+#: Tokens of the training texts whose pairs are summed at once; what a packed array of pairs holds.
+BUCKET = 1 << 18
+_PACKED = {"b": np.int64, "w": np.int64, "c": np.int32}
 #: Customers up to which a dish's tables are drawn exactly.
 EXACT = 128
 END = b""
@@ -251,46 +254,92 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, word binary, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
 
 
+def _pairs_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: digests of the two words of each distinct pair of neighbours, and how often it is met; the end token stands at
+    both ends of a text."""
+    _, at, words = sequences(part.column("text"))
+    # The end of a text is the beginning of the next.
+    pairs, c = np.unique(np.concatenate(([len(words)], at[:-1])) << 32 | at, return_counts=True)
+    number = digests(words)
+    return number[pairs >> 32], number[pairs & 0xFFFFFFFF], c
+
+
 def _met(docs: DataFrame) -> DataFrame:
-    """Texts -> (b, w, c): digests of neighbouring words, counted by slice; the end token stands at both ends of a text."""
+    """Texts -> (h): numbers of the pairs they have."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, COUNTED):
-            _, at, words = sequences(part.column("text"))
-            # The end of a text is the beginning of the next.
-            pairs, c = np.unique(np.concatenate(([len(words)], at[:-1])) << 32 | at, return_counts=True)
-            number = digests(words)
-            for begin in range(0, len(pairs), ROWS):
-                some = pairs[begin : begin + ROWS]  # sorted by the first word: equal digests stand together
-                yield pa.RecordBatch.from_arrays([pa.array(number[some >> 32]), pa.array(number[some & 0xFFFFFFFF]), pa.array(c[begin : begin + ROWS])], ["b", "w", "c"])
+            b, w, _ = _pairs_of(part)
+            for begin in range(0, len(b), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(_pair_numbers(b[begin : begin + ROWS], w[begin : begin + ROWS]))], ["h"])
 
-    return docs.select("text").mapInArrow(count, "b long, w long, c long")
+    return docs.select("text").mapInArrow(emit, "h long")
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """Training texts -> (b, w, c): digests of neighbouring words."""
-    # A task's pairs are distinct already, so they are dealt before they are summed.
-    return _met(docs).repartition("b", "w").groupBy("b", "w").agg(F.sum("c").alias("c"))
+def _packed(docs: DataFrame, buckets: int) -> DataFrame:
+    """Texts -> (bucket, b, w, c): for each slice of text and bucket of pair numbers, the slice's pairs as arrays, so that a shuffle
+    moves some thousands of pairs a row. Nearly all pairs of a slice are rare, so that few rows would meet before it."""
 
-
-def _kept(counts: DataFrame, known: DataFrame, asked: tuple[DataFrame, DataFrame] | None) -> DataFrame:
-    """counts (b, w, c) -> with near: whether both are words of known (h). asked: of pairs met once keeps only what may be in
-    its first table (h: the pair's number), or may have a word of its second (h)."""
-    context = counts.sparkSession.sparkContext
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, COUNTED):
+            b, w, c = _pairs_of(part)
+            bucket = ((_pair_numbers(b, w).view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+            numbers, first = np.unique(bucket[order], return_index=True)
+            ends = np.append(first, len(order))
+            at = 0
+            while at < len(numbers):  # about ROWS pairs at once, or one bucket
+                until = max(at + 1, int(np.searchsorted(ends, ends[at] + ROWS, side="right")) - 1)
+                some, cut = order[ends[at] : ends[until]], ends[at : until + 1] - ends[at]
+                arrays = [pa.Array.from_buffers(pa.binary(), until - at, [None, pa.py_buffer((cut * np.dtype(kind).itemsize).astype(np.int32)), pa.py_buffer(x[some].astype(kind))]) for x, kind in zip((b, w, c), _PACKED.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[at:until]), *arrays], ["bucket", *_PACKED])
+                at = until
+
+    return docs.select("text").mapInArrow(emit, "bucket int, b binary, w binary, c binary")
+
+
+def _summed(b: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every distinct pair, with the sum of its counts."""
+    number = _pair_numbers(b, w)
+    order = np.argsort(number)
+    same = number[order[1:]] == number[order[:-1]]
+    if (b[order[1:]] != b[order[:-1]])[same].any():  # two pairs have one number
+        order = np.lexsort((b, number))
+        same = (number[order[1:]] == number[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    first = np.flatnonzero(np.append(True, ~same))
+    return b[order[first]], w[order[first]], np.add.reduceat(c[order].astype(np.int64), first)
+
+
+def pair_counts(docs: DataFrame, tokens: int | None = None, then: Callable[[pa.Table], pa.Table] = lambda counts: counts, more: str = "") -> DataFrame:
+    """Training texts -> (b, w, c): digests of neighbouring words, and what then() makes of them, bucket by bucket. tokens: how
+    many the texts have, if it is known; a bucket has pairs of BUCKET of them, and its count of each slice's is its own."""
+    if tokens is None:
+        tokens = docs.agg(F.sum(n_words(F.col("text")) + 1)).first()[0] or 0
+
+    def add(group: pa.Table) -> pa.Table:
+        arrays = (np.frombuffer(b"".join(group.column(n).to_pylist()), kind) for n, kind in _PACKED.items())
+        return then(pa.Table.from_arrays([pa.array(x) for x in _summed(*arrays)], ["b", "w", "c"]))
+
+    return _packed(docs, tokens // BUCKET + 1).groupBy("bucket").applyInArrow(add, f"b long, w long, c long{more}")
+
+
+def _kept(docs: DataFrame, tokens: int, known: DataFrame, asked: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """pair_counts (b, w, c) of docs with near: whether both are words of known (h). asked: of pairs met once keeps only what may be
+    in its first table (h: the pair's number), or may have a word of its second (h)."""
+    context = docs.sparkSession.sparkContext
     # One after the other, so that the driver holds one at a time.
     words, *bits = shared = [context.broadcast(_array(known.select("h")))] + [context.broadcast(_bitmap(x)) for x in asked or ()]
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(counts: pa.Table) -> pa.Table:
         (keys,) = words.value
-        for batch in batches:
-            if bits:
-                b, w, c = (batch.column(n).to_numpy() for n in ("b", "w", "c"))
-                pairs, rare = (x.value for x in bits)
-                batch = batch.filter(pa.array((c > 1) | _hit(pairs, _pair_numbers(b, w)) | _hit(rare, b) | _hit(rare, w)))
-            near = _found(keys, batch.column("b").to_numpy())[1] & _found(keys, batch.column("w").to_numpy())[1]
-            yield batch.append_column("near", pa.array(near))
-
-    kept = stored(counts.mapInArrow(emit, "b long, w long, c long, near boolean"))
+        if bits:
+            b, w, c = (counts.column(n).to_numpy() for n in ("b", "w", "c"))
+            pairs, rare = (x.value for x in bits)
+            counts = counts.filter(pa.array((c > 1) | _hit(pairs, _pair_numbers(b, w)) | _hit(rare, b) | _hit(rare, w)))
+        near = _found(keys, counts.column("b").to_numpy())[1] & _found(keys, counts.column("w").to_numpy())[1]
+        return counts.append_column("near", pa.array(near))
+
+    kept = stored(pair_counts(docs, tokens, mark, ", near boolean"))
     for x in shared:
         x.destroy()
     return kept
@@ -360,7 +409,7 @@ def _stored_with_words(pairs: DataFrame, words: DataFrame, hot: int, of_word: tu
 
     out = pairs.where("near").select(columns).mapInArrow(near, schema).withColumn("near", F.lit(True))
     if hot > 1:
-        named = lambda key, wanted: words.select(F.col("h").alias(key), *wanted)
+        named = lambda key, wanted: words.select(F.col("h").alias(key), *wanted).hint("shuffle_hash")
         joined = pairs.where("NOT near").select(columns).join(named("w", of_word), "w").join(named("b", of_context), "b")
         out = out.unionByName(joined.select(*columns, *of_word, *of_context).mapInArrow(far, schema).withColumn("near", F.lit(False)))
     out = stored(out)
@@ -416,21 +465,21 @@ def fit(docs: DataFrame, samples: int = SAMPLES, others: DataFrame | None = None
     counted = stored(word_counts(docs))
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     hot, scored = frequent(counted, KNOWN_WORDS), frequent(counted, SCORED_WORDS)
-    asked = None if others is None else (_met(others).select(pair_number(F.col("b"), F.col("w")).alias("h")), counted.where(F.col("c") < scored))
-    met = _kept(pair_counts(docs), counted.where(F.col("c") >= hot), asked)
+    asked = None if others is None else (_met(others), counted.where(F.col("c") < scored))
+    met = _kept(docs, tokens, counted.where(F.col("c") >= hot), asked)
     pairs = met.where("c > 1").withColumn("t", F.lit(0).cast("long"))
     again, two = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") == 2, 1))).first()
     discount = _discount(tokens - again, two)
 
     def by(key: str, value: Column, name: str) -> DataFrame:
-        return pairs.groupBy(F.col(key).alias("h")).agg(F.sum(value).alias(name))
+        return pairs.groupBy(F.col(key).alias("h")).agg(F.sum(value).alias(name)).hint("shuffle_hash")
 
     none = F.lit(0).cast("long")
     as_word = pairs.groupBy(F.col("w").alias("h")).agg(F.sum("c").alias("wc"), F.count(F.lit(1)).alias("wt"))
     as_context = pairs.groupBy(F.col("b").alias("h")).agg(F.sum("c").alias("bc"), F.count(F.lit(1)).alias("bt"))
     # Of what was met once: customers for the word restaurant, tables in the context's own. To begin with, one table a pair.
     words = stored(
-        counted.join(as_word, "h", "left").join(as_context, "h", "left")
+        counted.join(as_word.hint("shuffle_hash"), "h", "left").join(as_context.hint("shuffle_hash"), "h", "left")
         .withColumns({"w1": F.col("c") - F.coalesce("wc", none), "b1": F.col("c") - F.coalesce("bc", none)})
         .select("h", "word", "c", "w1", "b1", (F.col("w1") + F.coalesce("wt", none)).alias("k"), (F.col("b1") + F.coalesce("bt", none)).alias("tables"),
                 F.lit(0.0).alias("p_sum"), F.lit(0).cast("long").alias("tables_sum"))
@@ -587,7 +636,7 @@ def score(docs: DataFrame, model: Fitted, last: bool = False, held: list[Broadca
                 yield pa.RecordBatch.from_arrays([pa.array(owner[begin : begin + ROWS]), pa.array(some), pa.array(less[begin : begin + ROWS]), pa.nulls(len(some), own.type)], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train")).mapInArrow(split, schema)
-    added = rows.join(facts, "h", "left").where("doc IS NOT NULL OR v IS NOT NULL")
+    added = rows.join(facts.hint("shuffle_hash"), "h", "left").where("doc IS NOT NULL OR v IS NOT NULL")
     of = lambda name: F.when(F.col("doc").isNotNull(), F.col(f"doc.{name}"))
     return added.groupBy("row").agg(
         F.max(of("doc_id")).alias("doc_id"),
