@@ -18,9 +18,10 @@ all other spellings; so a score is the probability of the text as those tokens,
 
 Distribution: words and pairs are counted by each task before they are summed, under 64-bit digests of the words. A pair of two of the most
 frequent words, KNOWN_WORDS at most, is marked as near when it is stored; its words are looked up in arrays that Python's tasks share, so
-that the driver builds no join tables. All other pairs get their words by a shuffle. A text's score is a sum of facts: one for
+that the driver builds no join tables. All other pairs get their words by a shuffle. Pairs on their way to be summed, and what texts
+look up with the facts they look it up in, are shuffled packed: arrays of a slice and bucket in one row, a bucket having a bounded part of the tokens. A text's score is a sum of facts: one for
 each token (its probability, and what its context leaves to the parent), and the gain of each pair that is kept. Facts of
-frequent words and pairs are looked up in bounded arrays; the others by one join, where a bitmap of BITS positions
+frequent words and pairs are looked up in bounded arrays; the others bucket by bucket, where a bitmap of BITS positions
 keeps out most pairs that are not kept. A pair of a training text has been met, so without a fact of its own it has been met once,
 and its gain is worked out from its words where both are in the array. So where the texts to be scored are known, pairs met once are
 kept only if another text may have them, or if a word of theirs may be beyond the array; bitmaps tell both. Only the bitmaps'
@@ -57,9 +58,14 @@ KNOWN_WORDS, SCORED_WORDS, SCORED_PAIRS, BITS = 300_000, 1_000_000, 2_000_000, 2
 COUNTED, SCORED, ROWS = 10 << 20, 4 << 20, 1 << 17
 #: Bytes of rows that a task seats at once.
 SEATED = 4 << 20
-#: Tokens of the training texts whose pairs are summed at once; what a packed array of pairs holds.
-BUCKET = 1 << 18
+#: Tokens of the training texts whose pairs are summed at once, and whose facts are looked up at once.
+BUCKET, LOOKED_UP = 1 << 18, 1 << 20
+#: What packed arrays hold: pairs; what texts ask for; facts; what was found; a text's own part.
 _PACKED = {"b": np.int64, "w": np.int64, "c": np.int32}
+_ASKED = {"row": np.int64, "h": np.int64, "less": np.float32}
+_FACTS = {"h": np.int64, "base": np.float64, "v": np.float64}
+_FOUND = {"row": np.int64, "known": np.int8, "base": np.float64, "v": np.float64}
+_OWN = np.dtype([("row", np.int64), ("doc_id", np.int64), ("named", np.bool_), ("n_tokens", np.int64), ("n_known", np.int64), ("base", np.float64), ("v", np.float64)])
 #: Customers up to which a dish's tables are drawn exactly.
 EXACT = 128
 END = b""
@@ -276,6 +282,29 @@ def _met(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "h long")
 
 
+def _bucket(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of so many equal ranges of the 64-bit numbers each is in."""
+    return ((numbers.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _pack(bucket: np.ndarray, columns: dict[str, np.ndarray], other: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """(bucket, the columns, and empty other ones): the values of each bucket as arrays in one row, some ROWS values at once."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    numbers, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first, len(order))
+    at = 0
+    while at < len(numbers):
+        until = max(at + 1, int(np.searchsorted(ends, ends[at] + ROWS, side="right")) - 1)
+        some, cut = order[ends[at] : ends[until]], ends[at : until + 1] - ends[at]
+        arrays = [pa.Array.from_buffers(pa.binary(), until - at, [None, pa.py_buffer((cut * x.dtype.itemsize).astype(np.int32)), pa.py_buffer(x[some].tobytes())]) for x in columns.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[at:until], pa.int32()), *arrays, *(pa.array([b""] * (until - at), pa.binary()) for _ in other)], ["bucket", *columns, *other])
+        at = until
+
+
+def _unpacked(group: pa.Table, kinds: dict[str, type | np.dtype]) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(group.column(n).to_pylist()), kind) for n, kind in kinds.items()]
+
+
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     """Texts -> (bucket, b, w, c): for each slice of text and bucket of pair numbers, the slice's pairs as arrays, so that a shuffle
     moves some thousands of pairs a row. Nearly all pairs of a slice are rare, so that few rows would meet before it."""
@@ -283,17 +312,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, COUNTED):
             b, w, c = _pairs_of(part)
-            bucket = ((_pair_numbers(b, w).view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-            numbers, first = np.unique(bucket[order], return_index=True)
-            ends = np.append(first, len(order))
-            at = 0
-            while at < len(numbers):  # about ROWS pairs at once, or one bucket
-                until = max(at + 1, int(np.searchsorted(ends, ends[at] + ROWS, side="right")) - 1)
-                some, cut = order[ends[at] : ends[until]], ends[at : until + 1] - ends[at]
-                arrays = [pa.Array.from_buffers(pa.binary(), until - at, [None, pa.py_buffer((cut * np.dtype(kind).itemsize).astype(np.int32)), pa.py_buffer(x[some].astype(kind))]) for x, kind in zip((b, w, c), _PACKED.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[at:until]), *arrays], ["bucket", *_PACKED])
-                at = until
+            yield from _pack(_bucket(_pair_numbers(b, w), buckets), dict(zip(_PACKED, (b, w, c.astype(np.int32)), strict=True)))
 
     return docs.select("text").mapInArrow(emit, "bucket int, b binary, w binary, c binary")
 
@@ -317,8 +336,7 @@ def pair_counts(docs: DataFrame, tokens: int | None = None, then: Callable[[pa.T
         tokens = docs.agg(F.sum(n_words(F.col("text")) + 1)).first()[0] or 0
 
     def add(group: pa.Table) -> pa.Table:
-        arrays = (np.frombuffer(b"".join(group.column(n).to_pylist()), kind) for n, kind in _PACKED.items())
-        return then(pa.Table.from_arrays([pa.array(x) for x in _summed(*arrays)], ["b", "w", "c"]))
+        return then(pa.Table.from_arrays([pa.array(x) for x in _summed(*_unpacked(group, _PACKED))], ["b", "w", "c"]))
 
     return _packed(docs, tokens // BUCKET + 1).groupBy("bucket").applyInArrow(add, f"b long, w long, c long{more}")
 
@@ -561,6 +579,11 @@ def _hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+def _spread(rows: np.ndarray) -> np.ndarray:
+    """Numbers of rows, spread over 64 bits."""
+    return (rows.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def score(docs: DataFrame, model: Fitted, last: bool = False, held: list[Broadcast] | None = None) -> DataFrame:
     """docs (doc_id, text, and train: whether fit had the text, taken as no without it) -> doc_id, n_tokens, n_known, base_score,
     score by row. last: nothing else reads the model's pairs, so they are deleted as soon as their facts are stored.
@@ -596,9 +619,7 @@ def score(docs: DataFrame, model: Fitted, last: bool = False, held: list[Broadca
     )
     if held is not None:
         held += shared
-    kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("v", pa.float64())]
-    names = ["row", "h", "less", "doc"]
-    schema = "row long, h long, less float, doc struct<doc_id: long, n_tokens: long, n_known: long, base: double, v: double>"
+    buckets = max(model.tokens // LOOKED_UP + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (word_keys, word_base, word_v, word_p, word_once), (pair_keys, pair_v), again, single = (x.value for x in shared)
@@ -623,28 +644,44 @@ def score(docs: DataFrame, model: Fitted, last: bool = False, held: list[Broadca
             perhaps, alone = ~often & _hit(again, pairs), ~often & _hit(single, pairs)
             cold_words, cold_pairs = np.flatnonzero(~known[at]), np.flatnonzero(perhaps[pair_at] | (alone[pair_at] & (less == 0)))
             total = lambda values: np.bincount(doc, values, len(n))  # noqa: B023, E731
-            found = [part.column("doc_id"), pa.array(n), pa.array(total(known[at].astype(float)).astype(np.int64)), pa.array(total(base[at])), pa.array(total(v[at] + gain[pair_at] + less))]
-            own = pa.StructArray.from_arrays(found, fields=[pa.field(k, t) for k, t in kinds])
-            rows = part.column("row").to_numpy()
-            # A text's own row has nothing to look up: its key spreads it.
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(number[at[np.cumsum(n) - n]] ^ (rows << 20)), pa.nulls(len(rows), pa.float32()), own], names)
-            owner = rows[np.concatenate((doc[cold_words], doc[cold_pairs]))]
+            rows, own = part.column("row").to_numpy(), np.empty(len(n), _OWN)
+            own["row"], own["doc_id"], own["named"] = rows, part.column("doc_id").fill_null(0).to_numpy(), part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            own["n_tokens"], own["n_known"], own["base"], own["v"] = n, total(known[at].astype(float)), total(base[at]), total(v[at] + gain[pair_at] + less)
+            # A text's own part has nothing to look up: it goes along with any bucket.
+            yield from _pack(np.repeat(_bucket(_spread(rows[:1]), buckets), len(n)), {"own": own}, tuple(_ASKED))
             keys = np.concatenate((number[at[cold_words]], pairs[pair_at[cold_pairs]]))
-            less = np.concatenate((np.zeros(len(cold_words), np.float32), less[cold_pairs]))
-            for begin in range(0, len(keys), ROWS):
-                some = keys[begin : begin + ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(owner[begin : begin + ROWS]), pa.array(some), pa.array(less[begin : begin + ROWS]), pa.nulls(len(some), own.type)], names)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train")).mapInArrow(split, schema)
-    added = rows.join(facts.hint("shuffle_hash"), "h", "left").where("doc IS NOT NULL OR v IS NOT NULL")
-    of = lambda name: F.when(F.col("doc").isNotNull(), F.col(f"doc.{name}"))
-    return added.groupBy("row").agg(
-        F.max(of("doc_id")).alias("doc_id"),
-        F.sum(of("n_tokens")).alias("n_tokens"),
-        F.sum(F.coalesce(of("n_known"), (F.col("base") > 0).cast("long"))).alias("n_known"),
-        (F.sum(F.coalesce(of("base"), "base")) - F.sum(of("n_tokens")) * F.lit(whole)).alias("base_score"),
-        F.sum(F.coalesce(of("v"), F.col("v") - F.coalesce("less", F.lit(0.0)))).alias("score"),
-    ).drop("row")
+            asked = rows[np.concatenate((doc[cold_words], doc[cold_pairs]))], keys, np.concatenate((np.zeros(len(cold_words), np.float32), less[cold_pairs]))
+            yield from _pack(_bucket(keys, buckets), dict(zip(_ASKED, asked, strict=True)), ("own",))
+
+    def packed_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _together(batches):
+            columns = {n: batch.column(n).to_numpy() for n in _FACTS}
+            yield from _pack(_bucket(columns["h"], buckets), columns)
+
+    def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
+        (row, h, less), (keys, base, v), (own,) = _unpacked(asked, _ASKED), _unpacked(known, _FACTS), _unpacked(asked, {"own": _OWN})
+        order = np.argsort(keys)
+        at, there = _found(keys[order], h)
+        row, at = row[there], order[at[there]]
+        found = row, (base[at] > 0).astype(np.int8), base[at], v[at] - less[there]
+        parts = [*_pack(_bucket(_spread(row), buckets), dict(zip(_FOUND, found, strict=True)), ("own",)), *_pack(_bucket(_spread(own["row"]), buckets), {"own": own}, tuple(_FOUND))]
+        names = ["bucket", *_FOUND, "own"]
+        return pa.Table.from_batches([x.select(names) for x in parts], pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in names[1:])]))
+
+    def add(group: pa.Table) -> pa.Table:
+        (row, known, base, v), (own,) = _unpacked(group, _FOUND), _unpacked(group, {"own": _OWN})
+        own = own[np.argsort(own["row"])]
+        of = np.searchsorted(own["row"], row)
+        known, base, v = (own[n] + np.bincount(of, x, len(own)) for n, x in (("n_known", known), ("base", base), ("v", v)))
+        columns = pa.array(own["doc_id"], mask=~own["named"]), own["n_tokens"], known.astype(np.int64), base - own["n_tokens"] * whole, v
+        return pa.table(dict(zip(("doc_id", "n_tokens", "n_known", "base_score", "score"), columns, strict=True)))
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"))
+    binary = lambda names: "bucket int, " + ", ".join(f"{n} binary" for n in names)
+    asked = rows.mapInArrow(lambda batches: (x.select(["bucket", *_ASKED, "own"]) for x in split(batches)), binary([*_ASKED, "own"]))
+    known = facts.mapInArrow(packed_facts, binary(_FACTS))
+    found = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(look_up, binary([*_FOUND, "own"]))
+    return found.groupBy("bucket").applyInArrow(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -647,6 +647,30 @@ def test_pairs_get_their_words_without_join_tables_of_the_driver(spark, monkeypa
     assert len(found[12]) == 82 and all(found[k] == pytest.approx(found[300_000], abs=1e-4) for k in (12, 0))
 
 
+def test_pairs_and_lookups_are_shuffled_packed(spark, monkeypatch):
+    """A slice's pairs are one row a bucket, not a row each; whatever the buckets, counts and scores are the same."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(30))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    met = Counter(p for _, t in texts(docs) for w in [[b"", *t.encode().split(), b""]] for p in zip(w[:-1], w[1:], strict=True))
+    packed = pitman_yor._packed(docs, 3).collect()
+    assert len(packed) == 3 and sum(len(r["b"]) for r in packed) == sum(len(r["w"]) for r in packed) == 8 * len(met)
+    # Two pairs of one number.
+    b, w, c = pitman_yor._summed(np.array([0, 2, 0]), np.array([1, 0, 1]), np.array([1, 5, 2], np.int32))
+    assert pitman_yor._pair_numbers(b, w).tolist() == [2, 2] and sorted(zip(b.tolist(), w.tolist(), c.tolist(), strict=True)) == [(0, 1, 3), (2, 0, 5)]
+    for name in ("SCORED_WORDS", "SCORED_PAIRS"):
+        monkeypatch.setattr(pitman_yor, name, 5)
+    found = []
+    for bucket, rows in ((1 << 18, 1 << 17), (7, 10)):
+        monkeypatch.setattr(pitman_yor, "BUCKET", bucket)
+        monkeypatch.setattr(pitman_yor, "LOOKED_UP", bucket)
+        monkeypatch.setattr(pitman_yor, "ROWS", rows)
+        assert {(r["b"], r["w"]): r["c"] for r in pitman_yor.pair_counts(docs).collect()} == {(number(a), number(b)): c for (a, b), c in met.items()}
+        scored = pitman_yor.score(docs, pitman_yor.fit(docs))
+        assert "CoGroupsInArrow" in (plan := scored._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan
+        found.append({r["doc_id"]: r["score"] for r in scored.collect()})
+    assert len(found[0]) == 60 and found[1] == pytest.approx(found[0], abs=1e-6)
+
+
 def test_batches_seated_together(monkeypatch):
     batches = [pa.RecordBatch.from_pydict({"k": pa.array(range(a, b), pa.int64()), "word": pa.array([b"x" * (i % 5) for i in range(a, b)], pa.binary())}) for a, b in ((0, 4), (4, 4), (4, 5), (5, 90), (90, 93), (93, 95))]
     for most in (1, 100, 1 << 20):
