@@ -48,6 +48,13 @@ def parse_number(text: Column) -> Column:
     return to_number(F.replace(blank(text), F.lit(",")))
 
 
+def half_even(number: Column, digits: int = 1) -> Column:
+    """Number to so many decimals, ties to even; scaled first, so that a sum that misses a tie by its last bit still counts as one."""
+    scale = F.lit(float(10**digits))
+    rounded = F.rint(number * scale) / scale
+    return F.when(F.abs(rounded) < float("inf"), rounded).otherwise(number)
+
+
 def is_numeric_field(name: Column) -> Column:
     """O5"""
     return F.rlike(name, F.lit(f"(_{f.LIMIT}|_{f.SCORE}|_{f.BONUS})$")) | (name == f.TOTAL)

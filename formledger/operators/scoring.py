@@ -37,7 +37,7 @@ def total_and_grade(rolled: DataFrame) -> DataFrame:
     for i in (*f.EVAL_ITEMS, *f.BONUS_ITEMS):
         total = total + F.coalesce(F.col(f"{i}_mean"), F.lit(0.0))
     graded = F.when(F.col("total") >= 90, "A").when(F.col("total") >= 70, "B").otherwise("C")
-    return rolled.withColumn("total", total).withColumns({"total_shown": F.bround("total", 1), "grade": graded})
+    return rolled.withColumn("total", total).withColumns({"total_shown": v.half_even(F.col("total")), "grade": graded})
 
 
 def rollup_header(order: str = "seq") -> tuple[Column, ...]:
@@ -111,7 +111,7 @@ ROLLUP = (
 
 def as_rollup_rows(rolled: DataFrame, columns: list[str]) -> DataFrame:
     """Roll-ups in the columns of the evaluation ledger: numbers as text with one decimal, all else ""."""
-    text = lambda c: v.blank(F.bround(c, 1).cast("string"))
+    text = lambda c: v.blank(v.half_even(F.col(c)).cast("string"))
     made = {f"{i}_{f.SCORE}": text(f"{i}_mean") for i in f.EVAL_ITEMS} | {f"{i}_{f.BONUS}": text(f"{i}_mean") for i in f.BONUS_ITEMS}
     made |= {f.TOTAL: F.col("total_shown").cast("string"), f.GRADE: F.col("grade")}
     made |= {c: v.blank(v.column(c)) for c in (f.SUPPLIER, f.CATEGORY, f.UNIT, f.PERSON, f.DATE)}

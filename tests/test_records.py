@@ -76,6 +76,23 @@ def test_grade_by_unrounded_total(spark):
     assert round(made["total"], 6) == 89.96 and made["total_shown"] == 90.0 and made["grade"] == "B"
 
 
+def beside_a_tie(*sums):
+    """Five unit rows of A: the means, of five rows each and of four for the last item, add up to one bit beside a tie."""
+    of = lambda k: {f"{i}_{f.SCORE}": str(n) if k == 0 else "0" for i, n in zip(f.EVAL_ITEMS, sums, strict=True)}
+    return [unit(k, "A", f"U{k}", **of(k) | ({f"{f.EVAL_ITEMS[-1]}_{f.SCORE}": ""} if k == 4 else {})) for k in range(5)]
+
+
+LOW_TIE, HIGH_TIE = (30, 24, 32, 32, 35, 27, 39, 12, 30, 27), (35, 37, 19, 37, 18, 34, 20, 26, 18, 21)
+
+
+def test_summary_table_shows_totals_as_sql_rounds_them(spark):
+    for sums, shown in ((LOW_TIE, "59.0"), (HIGH_TIE, "54.0")):
+        units = frame(spark, beside_a_tie(*sums))
+        made = scoring.rollups(units.withColumn("record_key", v.eval_record_key(v.column(f.SUPPLIER))))
+        table = ledger.eval_summary_table(units, scoring.as_rollup_rows(made, units.columns[1:]).withColumn("seq", F.lit(9)))
+        assert [r[f.TOTAL] for r in table.collect() if r[f.UNIT].startswith(f.ROLLUP_PREFIX)] == [shown]
+
+
 def test_bonus_caps(spark):
     rows = [unit(1, "A", "U1", "", **{f"e1_{f.BONUS}": "15", f"e2_{f.BONUS}": "3"}), unit(2, "A", "U2", "", **{f"e1_{f.BONUS}": "3"})]
     checked = validation.check_eval_record(frame(spark, rows)).orderBy("seq").collect()
