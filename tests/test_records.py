@@ -1,5 +1,7 @@
 """Golden cases, worked out by hand."""
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from formledger.functions import fields as f
@@ -93,6 +95,20 @@ def test_summary_table_shows_totals_as_sql_rounds_them(spark):
         assert [r[f.TOTAL] for r in table.collect() if r[f.UNIT].startswith(f.ROLLUP_PREFIX)] == [shown]
 
 
+def test_total_and_grade_as_sql_rounds(spark):
+    rng = np.random.default_rng(5)
+    ties = rng.integers(0, 2400, 3000) / 20
+    totals = [*ties, *np.nextafter(ties, 200), *np.nextafter(ties, -1), *-ties, *(rng.integers(0, 60, (3000, 8)) / rng.integers(1, 9, 8)).sum(1), 0.0, 1e22, 1.7e308]
+    rows = spark.createDataFrame([(k, float(x)) for k, x in enumerate(totals)], "k long, a1_mean double")
+    none = {f"{i}_mean": F.lit(None).cast("double") for i in (*f.EVAL_ITEMS, *f.BONUS_ITEMS) if i != "a1"}
+    shown = dict(scoring.total_and_grade(rows.withColumns(none)).select("k", "total_shown").collect())
+    ours = [float(shown[k]) for k in range(len(totals))]
+    con = duckdb.connect()
+    theirs = [con.execute("SELECT round_even(?::DOUBLE, 1)", [float(x)]).fetchone()[0] for x in totals]
+    assert ours == theirs
+    assert [r["total_shown"] for r in scoring.rollups(frame(spark, beside_a_tie(*LOW_TIE)).withColumn("record_key", F.lit("A"))).collect()] == [59.0]
+
+
 def test_bonus_caps(spark):
     rows = [unit(1, "A", "U1", "", **{f"e1_{f.BONUS}": "15", f"e2_{f.BONUS}": "3"}), unit(2, "A", "U2", "", **{f"e1_{f.BONUS}": "3"})]
     checked = validation.check_eval_record(frame(spark, rows)).orderBy("seq").collect()
