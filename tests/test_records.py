@@ -109,6 +109,15 @@ def test_total_and_grade_as_sql_rounds(spark):
     assert [r["total_shown"] for r in scoring.rollups(frame(spark, beside_a_tie(*LOW_TIE)).withColumn("record_key", F.lit("A"))).collect()] == [59.0]
 
 
+def test_roll_up_in_its_place_shows_the_total_as_sql_rounds_it(spark):
+    old = unit(7, "A", f"{f.ROLLUP_PREFIX}old)", **{f.TOTAL: "1.0"})
+    existing = frame(spark, [*beside_a_tie(*LOW_TIE), old])
+    made = scoring.as_rollup_rows(scoring.rollups(existing.withColumn("record_key", F.lit("A"))), existing.columns[1:]).withColumn("seq", F.lit(99).cast("long"))
+    out = ledger.upsert_rollup(existing, made).collect()
+    assert sorted(r["seq"] for r in out) == [0, 1, 2, 3, 4, 7]
+    assert [r[f.TOTAL] for r in out if r["seq"] == 7] == ["59.0"]
+
+
 def test_bonus_caps(spark):
     rows = [unit(1, "A", "U1", "", **{f"e1_{f.BONUS}": "15", f"e2_{f.BONUS}": "3"}), unit(2, "A", "U2", "", **{f"e1_{f.BONUS}": "3"})]
     checked = validation.check_eval_record(frame(spark, rows)).orderBy("seq").collect()
