@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from formledger.operators import ink, lines, tokens
 from formledger.plans import adapters as a
 from formledger.plans.registered import register
+from formledger.sources.intermediate import scratch, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -295,7 +296,8 @@ def g18_resolve_boxes(spark, sf_dir):
         *[F.first(c).alias(c) for c in ("tx0", "left", "x_scale", "ty0", "top", "y_scale")]
     )
     flags = moved.selectExpr("*", "160 AS anchor_left", "1470 AS anchor_right", "zone = 'rows' AS row_local_x", "zone = 'rows' AS snap_cell_x")
-    return _both(*lines.resolve_boxes(fields, flags, rows(spark, sf_dir, y_maps), rows(spark, sf_dir, runs)))
+    with scratch(spark) as keep:
+        return keep(_both(*lines.resolve_boxes(fields, flags, rows(spark, sf_dir, y_maps), rows(spark, sf_dir, runs), stored)))
 
 
 # --- helpers on pixels

@@ -180,3 +180,19 @@ def test_pairs_meet_in_one_bin_only(spark):
     for i, _, _, x0, y0, x1, y1 in boxes:
         ink_ = sum(max(0, min(e, x1) - max(s, x0)) for *_, p, s, e in runs if y0 <= p < y1)
         assert abs(got[i] - (ink_ / ((x1 - x0) * (y1 - y0)) if x1 > x0 and y1 > y0 else 0.0)) < 1e-12
+
+
+def test_boxes_are_dealt_by_page_once(spark):
+    """Both looks at a row's rules take one exchange of the boxes, and copy none for the bins it looks at."""
+    runs = spark.createDataFrame([(1, 1, "v", p, 0, 400) for p in (98, 103, 702, 1290)], "doc_id long, page_no int, axis string, pos int, start int, end int")
+    boxes = spark.createDataFrame([(k, 1, 1, 100 + k, 50, 700 + k, 90, 100, 700, 100, 700) for k in range(9)], "box long, doc_id long, page_no int, x0 int, y0 int, x1 int, y1 int, t_x0 int, t_x1 int, anchor_left int, anchor_right int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = lines.snap_cell_x(lines.row_local_x(boxes, runs), runs)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert {(r["x0"], r["x1"]) for r in made.collect()} == {(98, 702), (103, 702)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Generate " not in plan
+    assert plan.count("Exchange hashpartitioning") <= 3  # boxes, and the rules for each look
