@@ -4,6 +4,7 @@ import hashlib
 import shutil
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from formledger.functions import fields as f
 from formledger.operators import ink, keyed, ledger, scoring
 from formledger.plans import flows
-from formledger.sources import submissions, templates
+from formledger.sources import intermediate, submissions, templates
 from formledger.streaming import incremental
+from tests.oracle import SMALL
 from tests.test_records import frame, unit
 
 
@@ -40,6 +42,20 @@ def test_each_page_is_a_submission(spark, tmp_path, rows):
     assert sorted(got, key=repr) == sorted([(i, len(x), hashlib.md5(x).hexdigest()) for i, x in files], key=repr)
 
 
+def test_pages_are_written_alone_and_again_without_harm(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 7, "b"), (0, 7, "b"), (1, 7, "b"), (1, None, None), (0, -3, "é\ny")], "bucket int, page_id long, value string")
+    for _ in range(2):  # as a task that is run again
+        submissions.write_texts(rows, str(tmp_path / "files"), ("bucket", "page_id"))
+    found = sorted((str(p.relative_to(tmp_path / "files").parent), p.read_bytes()) for p in (tmp_path / "files").rglob("*") if p.is_file())
+    assert found == sorted([
+        ("bucket=0/page_id=7", b"b\n"), ("bucket=0/page_id=7", b"b\n"), ("bucket=1/page_id=7", b"b\n"), ("bucket=1/page_id=__HIVE_DEFAULT_PARTITION__", b"\n"), ("bucket=0/page_id=-3", "é\ny\n".encode()),
+    ])
+    flows.s3_read_submissions(spark, SMALL)
+    newest = max(Path(intermediate.shared_folder(spark).removeprefix("file:")).glob("flow-*"), key=lambda p: p.stat().st_mtime)
+    names = [p.name for p in newest.rglob("*") if p.is_file()]
+    assert len(names) == spark.read.parquet(f"{SMALL}/pages.parquet").count() and not any(n.endswith(".crc") for n in names)
+
+
 def test_template_files(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"form_name": "x", "zones": {"z": {"type": "rows", "row_boundaries": [5, 9, 14], "row_search_radii": [30, [1, 2]]}}, "fields": [{"name": "n", "type": "text", "box": [1, 2, 3, 4]}]}')
     made = templates.load_templates(spark, str(tmp_path))
